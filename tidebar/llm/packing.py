@@ -17,6 +17,7 @@ one block (or one document, if that is longer).
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .textio import small_batches
+from .tokencount import byte_symbols
 
 LIMIT = 4096
 BLOCK_TOKENS = 1 << 20
@@ -35,8 +37,17 @@ END_ID = 2
 MAX_CACHED_RUNS = 1_000_000
 
 
+# Punctuation that makes pre-tokens of its own wherever it stands; an apostrophe may begin a contraction.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
+
 class RunEncoder:
-    """Token ids of texts, from a bounded cache by white-space separated run; no token crosses white space."""
+    """Token ids of texts, from a bounded cache by white-space separated run; no token crosses white space.
+
+    A new run of Latin-1 letters with punctuation around it is at most three
+    pre-tokens, each known or given to the library's model; any other run goes
+    through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,35 +55,30 @@ class RunEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.cache: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
         words = self.library.get_vocab()
         self.ends_sentence = np.zeros(max(words.values()) + 1, bool)
         self.ends_sentence[[i for w, i in words.items() if w.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
-        self.mark = self._ids("\x01")
-
-    def _ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, runs: list[bytes]) -> None:
-        """Encode new runs, many in a text, between runs of a control character."""
-        if len(self.cache) + len(runs) > MAX_CACHED_RUNS:
-            self.cache.clear()
-        alone = [r for r in runs if len(r) > 256 or b"\x01" in r]
-        joint = [r for r in runs if not (len(r) > 256 or b"\x01" in r)]
-        if len(self.mark) != 1:
-            alone, joint = runs, []
-        for r in alone:
-            self.cache[r] = np.array(self._ids(r.decode("utf-8", "replace")), "<u4").tobytes()
-        parts = [joint[k : k + 256] for k in range(0, len(joint), 256)]
-        found = self.library.encode_batch_fast([" \x01 ".join(r.decode("utf-8", "replace") for r in part) for part in parts], add_special_tokens=False)
-        for part, got in zip(parts, found, strict=True):
-            ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) != len(part) - 1:
-                raise ValueError("a run changed its neighbours' tokens")
-            raw = ids.tobytes()
-            for r, a, b in zip(part, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                self.cache[r] = raw[4 * a : 4 * b]
+        self.symbols = str.maketrans({b: s for b, s in byte_symbols().items()})
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) > MAX_CACHED_RUNS // 2:
+                self.pieces = {"": b""}
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
+            got = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return got
+
+    def _run(self, run: bytes) -> bytes:
+        text = run.decode("utf-8", "replace")
+        rest = text.lstrip(_MARKS)
+        word = rest.rstrip(_MARKS)
+        if (not word or word.isalpha() and max(word) < "\u0100") and "<|" not in text and len(text) <= 256:
+            return self._piece(text[: len(text) - len(rest)]) + self._piece(word.lower()) + self._piece(rest[len(word) :])
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers, with the end id."""
@@ -83,7 +89,8 @@ class RunEncoder:
             if len(self.cache) + len(new) > MAX_CACHED_RUNS:
                 self.cache.clear()
                 new = {r for runs in split for r in runs}
-            self._learn(list(new))
+            for r in new:
+                self.cache[r] = self._run(r)
         get = self.cache.__getitem__
         return [b"".join(map(get, runs)) + end for runs in split]
 

@@ -52,7 +52,7 @@ _WIDTH = len(_ALPHABET)
 _ENDINGS = {b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"}
 
 
-def _byte_symbols() -> dict[int, str]:
+def byte_symbols() -> dict[int, str]:
     """The public byte-level alphabet: printable bytes stand for themselves, others for code points from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -70,7 +70,7 @@ class Transducer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        model, to_byte = spec["model"], {s: b for b, s in _byte_symbols().items()}
+        model, to_byte = spec["model"], {s: b for b, s in byte_symbols().items()}
         self.end = model["end_of_word_suffix"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
@@ -82,7 +82,7 @@ class Transducer:
             if raw and all(c in to_byte for c in raw):
                 (self.final if ends else self.inner)[bytes(to_byte[c] for c in raw)] = token
         self.begins = {raw[:k] for raws in (self.inner, self.final) for raw in raws for k in range(1, len(raw) + 1)}
-        self.symbol = _byte_symbols()
+        self.symbol = byte_symbols()
         self.fits: dict[tuple[str, str], bool] = {}
         self.runs: dict[bytes, int] = {}
         self.reset()
