@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, packing, pii, quality, rules, tokencount, toxicity
+from . import chat, decontaminate, licenses, ngram_join, packing, pii, quality, rules, tokencount, toxicity
 from .textio import table
 
 
@@ -44,6 +44,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokencount.vocabulary_path())
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = rules.apply_rules(docs, rules.trusted_ids(table(spark, sf_dir, "labels")))
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_token_counts": op7_token_counts,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
