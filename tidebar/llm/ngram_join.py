@@ -7,9 +7,10 @@ is exact:
 1. Equal sets are one class, known by a 128-bit fingerprint.
 2. In one order of all shingles, two sets that link share a shingle among the
    first n - ceil(0.8 n) + 1 of each. Shingles seen often come last, which is only
-   a matter of speed. Classes that share such a shingle are candidates, and the
-   connected components of the candidates are the only places where links can be.
-   Stars to the smallest class stand for all pairs, first within each task.
+   a matter of speed. Classes that share such a shingle and whose sizes lie close
+   are candidates, and the connected components of the candidates are the only
+   places where links can be. Stars to the smallest class of a run of sizes stand
+   for all pairs, first within each task.
 3. Each component, or pair of blocks of a large one, builds signature trees: leaf
    and inner nodes hold the OR of their sets' bitmaps, the range of sizes and the
    most shingles that share bits. Two trees are walked together; a pair of nodes
@@ -37,7 +38,10 @@ SHINGLE = 5
 BITMAP_WORDS = 32
 FANOUT, FRONTIER = 8, 50_000
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-LOCAL_OFTEN, OFTEN, MAX_OFTEN = 16, 64, 1 << 16
+LOCAL_OFTEN, OFTEN, MAX_OFTEN = 2, 4, 1 << 18
+#: Sizes on a log scale, so that sizes that can link lie REACH apart at most.
+STEP, REACH = 1.01, 24
+_ROW = np.dtype([("key", "<u8"), ("node", "<i8"), ("low", "<u2"), ("high", "<u2")])
 FILTER_BITS = 23
 _U = np.uint64
 
@@ -125,59 +129,69 @@ def _described(narrow: DataFrame, often: np.ndarray, kind: str) -> DataFrame:
     return narrow.select("id", "text").mapInPandas(describe, f"id {kind}, n bigint, class binary, node bigint, prefix binary")
 
 
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key and node; (first place of every key, edges to the key's smallest node)."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    least = np.repeat(nodes[begin], np.diff(np.append(begin, len(keys))))
-    away = nodes != least
-    edges = np.unique(np.stack([nodes[away], least[away]], axis=1), axis=0)
-    return keys[begin], nodes[begin], edges
+def _joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row for every key and run of sizes that lie close, edges of the nodes to the smallest of their run).
+
+    A row stands for classes of sizes from low to high. Rows of a key are swept by
+    size; a gap of more than REACH begins a new run, as no sets across it can link.
+    """
+    rows = rows[np.lexsort((rows["low"], rows["key"]))]
+    if not len(rows):
+        return rows, np.empty((0, 2), np.int64)
+    number = np.cumsum(np.concatenate([[False], rows["key"][1:] != rows["key"][:-1]])) << 20
+    reach = np.maximum.accumulate(number + rows["high"])
+    begin = np.flatnonzero(np.concatenate([[True], number[1:] + rows["low"][1:] > reach[:-1] + REACH]))
+    least = np.minimum.reduceat(rows["node"], begin)
+    every = np.repeat(least, np.diff(np.append(begin, len(rows))))
+    away = rows["node"] != every
+    edges = np.unique(np.stack([rows["node"][away], every[away]], axis=1), axis=0)
+    runs = rows[begin].copy()
+    runs["node"], runs["high"] = least, np.maximum.reduceat(rows["high"], begin)
+    return runs, edges
 
 
 def _candidates(described: DataFrame, parts: int) -> DataFrame:
-    """Edges (a, b) between classes, by the first half of the fingerprint, that share a prefix shingle."""
+    """Edges (a, b) between nodes that share a prefix shingle and have close sizes."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, nodes, size = [], [], 0
+        held, size = [], 0
 
         def flush() -> pd.DataFrame:
-            k, n, edges = _stars(np.concatenate(keys), np.concatenate(nodes))
-            part = (k >> _U(40)).astype(np.int64) % parts
+            runs, edges = _joined(np.concatenate(held))
+            part = (runs["key"] >> _U(40)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
-            part, k, n = part[order], k[order], n[order]
+            part, runs = part[order], runs[order]
             where, begin = np.unique(part, return_index=True)
             end = np.append(begin[1:], len(part))
-            rows = [(int(p), k[a:b].tobytes(), n[a:b].tobytes()) for p, a, b in zip(where, begin, end, strict=True)]
+            rows = [(int(p), True, runs[a:b].tobytes()) for p, a, b in zip(where, begin, end, strict=True)]
             part = (edges[:, 0].view(np.uint64) >> _U(20)).astype(np.int64) % parts
-            rows += [(int(p), None, np.ascontiguousarray(edges[part == p]).tobytes()) for p in np.unique(part)]
-            return pd.DataFrame(rows, columns=["part", "keys", "nodes"])
+            rows += [(int(p), False, np.ascontiguousarray(edges[part == p]).tobytes()) for p in np.unique(part)]
+            return pd.DataFrame(rows, columns=["part", "open", "rows"])
 
         for batch in batches:
-            for raw, name in zip(batch["prefix"], batch["class"], strict=True):
-                k = np.frombuffer(raw, np.uint64)
-                keys.append(k)
-                nodes.append(np.full(len(k), np.frombuffer(name, np.int64)[0]))
-                size += len(k)
+            for raw, node, n in zip(batch["prefix"], batch["node"].tolist(), batch["n"].tolist(), strict=True):
+                rows = np.empty(len(raw) // 8, _ROW)
+                rows["key"], rows["node"] = np.frombuffer(raw, np.uint64), node
+                rows["low"] = np.floor(np.log(n) / np.log(STEP))
+                rows["high"] = rows["low"] + 1
+                held.append(rows)
+                size += len(rows)
             if size > 1 << 21:
                 yield flush()
-                keys, nodes, size = [], [], 0
-        if keys:
+                held, size = [], 0
+        if held:
             yield flush()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        shared = group["keys"].notna()
-        edges = [np.frombuffer(r, np.int64).reshape(-1, 2) for r in group["nodes"][~shared]]
-        if shared.any():
-            keys = np.concatenate([np.frombuffer(r, np.uint64) for r in group["keys"][shared]])
-            nodes = np.concatenate([np.frombuffer(r, np.int64) for r in group["nodes"][shared]])
-            edges.append(_stars(keys, nodes)[2])
+        closed = ~group["open"]
+        edges = [np.frombuffer(r, np.int64).reshape(-1, 2) for r in group["rows"][closed]]
+        if not closed.all():
+            edges.append(_joined(np.concatenate([np.frombuffer(r, _ROW) for r in group["rows"][~closed]]))[1])
         found = np.unique(np.concatenate(edges), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    rows = described.where(F.col("prefix").isNotNull()).select("class", "prefix")
-    return rows.mapInPandas(spread, "part bigint, keys binary, nodes binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
+    rows = described.where(F.col("prefix").isNotNull()).select("node", "n", "prefix")
+    return rows.mapInPandas(spread, "part bigint, open boolean, rows binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
 
 
 class Tree:
