@@ -14,9 +14,11 @@ is exact:
 3. Each component, or pair of blocks of a large one, builds signature trees: leaf
    and inner nodes hold the OR of their sets' bitmaps, the range of sizes and the
    most shingles that share bits. Two trees are walked together; a pair of nodes
-   whose largest possible overlap is too small is dropped. Pairs of sets that
-   remain are compared in full, unless already connected.
-4. Connected components of the links give each class its label.
+   whose largest possible overlap is too small is dropped. The pairs of sets that
+   remain cut the components down to those of close bitmaps.
+4. In these the trees are walked again, now with the sets at hand, and the pairs
+   that remain are compared in full, unless already connected.
+5. Connected components of the links give each class its label.
 
 Large components are cut into blocks by size band, so that only blocks whose
 sizes can link meet, and every group has a bounded number of sets.
@@ -38,7 +40,7 @@ SHINGLE = 5
 BITMAP_WORDS = 32
 FANOUT, FRONTIER = 8, 50_000
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-LOCAL_OFTEN, OFTEN, MAX_OFTEN = 2, 4, 1 << 18
+LOCAL_OFTEN, OFTEN, MAX_OFTEN = 2, 4, 1 << 19
 #: Sizes on a log scale, so that sizes that can link lie REACH apart at most.
 STEP, REACH = 1.01, 24
 _ROW = np.dtype([("key", "<u8"), ("node", "<i8"), ("low", "<u2"), ("high", "<u2")])
@@ -65,6 +67,13 @@ def fingerprint(s: np.ndarray) -> bytes:
     return np.array([np.sum(mix(s + _U(17))), np.sum(mix(s ^ _U(0x5DEECE66D)))], np.uint64).tobytes()
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The set's signature: the bits that its shingles fall on."""
+    bits = np.zeros(BITMAP_WORDS * 64, bool)
+    bits[(s >> _U(13)).astype(np.int64) % (BITMAP_WORDS * 64)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
 def prefix(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The shingles of which sets that link share one: the first of the common order, often seen ones last."""
     n = len(s)
@@ -107,13 +116,13 @@ def _often_seen(narrow: DataFrame, spark) -> np.ndarray:
 
 
 def _described(narrow: DataFrame, often: np.ndarray, kind: str) -> DataFrame:
-    """(id, n, class, node, prefix): node is half of the class, and the prefix only with the first document of a class that a task sees."""
+    """(id, n, class, node, bitmap, prefix): node is half of the class, and the prefix only with the first document of a class that a task sees."""
     held = narrow.sparkSession.sparkContext.broadcast(often)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, names, prefixes = [], [], []
+            sizes, names, maps, prefixes = [], [], [], []
             for _, texts in sliced(batch["text"]):
                 for s in shingle_sets(texts):
                     name = fingerprint(s)
@@ -122,11 +131,12 @@ def _described(narrow: DataFrame, often: np.ndarray, kind: str) -> DataFrame:
                         seen.add(name)
                     sizes.append(len(s))
                     names.append(name)
+                    maps.append(bitmap(s).tobytes())
                     prefixes.append(prefix(s, held.value).tobytes() if fresh else None)
             nodes = [int.from_bytes(x[:8], "little", signed=True) for x in names]
-            yield pd.DataFrame({"id": batch["id"], "n": sizes, "class": names, "node": nodes, "prefix": prefixes})
+            yield pd.DataFrame({"id": batch["id"], "n": sizes, "class": names, "node": nodes, "bitmap": maps, "prefix": prefixes})
 
-    return narrow.select("id", "text").mapInPandas(describe, f"id {kind}, n bigint, class binary, node bigint, prefix binary")
+    return narrow.select("id", "text").mapInPandas(describe, f"id {kind}, n bigint, class binary, node bigint, bitmap binary, prefix binary")
 
 
 def _joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,14 +207,8 @@ def _candidates(described: DataFrame, parts: int) -> DataFrame:
 class Tree:
     """A signature tree over sets: level 0 has the sets, each further level the OR of up to FANOUT nodes below."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        size = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), BITMAP_WORDS * 64), bool)
-        owner = np.repeat(np.arange(len(sets)), size)
-        bits[owner, (np.concatenate(sets) >> _U(13)).astype(np.int64) % (BITMAP_WORDS * 64)] = True
-        maps = np.packbits(bits, axis=1).view(np.uint64)
-        slack = size - bits.sum(axis=1)
-        self.levels = [(maps, size, size, slack)]
+    def __init__(self, maps: np.ndarray, size: np.ndarray):
+        self.levels = [(maps, size, size, size - np.bitwise_count(maps).sum(axis=1).astype(np.int64))]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, slack = self.levels[-1]
             at = np.arange(0, len(maps), FANOUT)
@@ -255,30 +259,27 @@ def candidate_pairs(x: Tree, y: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]
             stack.append((i, a[k : k + FRONTIER], j, b[k : k + FRONTIER]))
 
 
-def link_sets(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Links that connect all sets that links connect: within ``left``, or between it and ``right``, whose numbers follow left's."""
-    x = Tree(left)
-    y = x if right is None else Tree(right)
-    shift = 0 if right is None else len(left)
-    sets = left if right is None else left + right
-    root = np.arange(len(sets))
+def connecting_pairs(maps: np.ndarray, size: np.ndarray, split: int | None = None, agree=None) -> list[tuple[int, int]]:
+    """Pairs that connect all that the pairs found by walking the trees connect.
+
+    Without ``split`` the sets are joined with themselves, otherwise those before
+    it with those from it on. ``agree`` confirms a pair; pairs that are connected
+    already are passed over.
+    """
+    x = Tree(maps[:split], size[:split])
+    y = x if split is None else Tree(maps[split:], size[split:])
+    root = np.arange(len(size))
     links = []
     for a, b in candidate_pairs(x, y):
-        b = b + shift
-        while len(a):
+        b = b + (split or 0)
+        while True:
             apart = root[a] != root[b]
             a, b = a[apart], b[apart]
             if not len(a):
                 break
-            # one pair of every left set, the rest again once these have been joined
-            _, now = np.unique(a, return_index=True)
+            _, now = np.unique(a, return_index=True)  # one pair of every left set, the rest again once these have been joined
             for p, q in zip(a[now].tolist(), b[now].tolist(), strict=True):
-                if root[p] == root[q]:
-                    continue
-                s, t = sets[p], sets[q]
-                at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-                same = int((t[at] == s).sum())
-                if 100 * same >= 80 * (len(s) + len(t) - same):
+                if root[p] != root[q] and (agree is None or agree(p, q)):
                     links.append((p, q))
                     root[root == root[q]] = root[p]
             rest = np.ones(len(a), bool)
@@ -287,30 +288,38 @@ def link_sets(left: list[np.ndarray], right: list[np.ndarray] | None = None) ->
     return links
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) by id from (group, side, id, shingles); side 0 alone joins itself, otherwise side 0 joins side 1."""
+def alike(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether the sets' Jaccard similarity is 0.8 or more."""
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    same = int((t[at] == s).sum())
+    return 100 * same >= 80 * (len(s) + len(t) - same)
+
+
+def _edges_by_group(rows: DataFrame, exact: bool) -> DataFrame:
+    """Edges (a, b) by id from (group, side, both, id, n, bitmap and, for exact ones, shingles); ``both``: side 0 joins side 1, otherwise itself."""
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        sides = []
-        for side in (0, 1):
-            some = group[group["side"] == side]
-            own = [np.frombuffer(r, np.uint64) for r in some["shingles"]]
-            order = sorted(range(len(own)), key=lambda k: (int(mix(own[k]).min()), len(own[k])))  # copies lie together
-            sides.append(([own[k] for k in order], some["id"].to_numpy()[order] if len(own) else some["id"].to_numpy()))
-        (left, names), (right, more) = sides
-        both = group["both"].iloc[0]
-        if not left or both and not right:
+        group = group.drop_duplicates(["side", "id"])
+        maps = np.stack([np.frombuffer(r, np.uint64) for r in group["bitmap"]])
+        order = np.lexsort((*maps.T[:8], group["n"].to_numpy(), group["side"].to_numpy()))  # copies lie together
+        group, maps = group.iloc[order], maps[order]
+        both, split = bool(group["both"].iloc[0]), int((group["side"] == 0).sum())
+        if both and split in (0, len(group)):
             return pd.DataFrame({"a": [], "b": []})
-        pairs = np.array(link_sets(left, right if both else None), np.int64).reshape(-1, 2)
-        names = np.concatenate([names, more])
+        agree = None
+        if exact:
+            sets = [np.frombuffer(r, np.uint64) for r in group["shingles"]]
+            agree = lambda p, q: alike(sets[p], sets[q])
+        pairs = np.array(connecting_pairs(maps, group["n"].to_numpy(np.int64), split if both else None, agree), np.int64).reshape(-1, 2)
+        names = group["id"].to_numpy()
         return pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    return sets.groupBy("group").applyInPandas(join, "a bigint, b bigint")
+    columns = ["group", "side", "both", "id", "n", "bitmap", *["shingles"] * exact]
+    return rows.select(*columns).groupBy("group").applyInPandas(join, "a bigint, b bigint")
 
 
 def _grouped(classes: DataFrame) -> DataFrame:
-    """(id, class, group, side, both): the groups in which a class meets those that it can link with.
+    """(id, class, n, bitmap, group, side, both): the groups in which a class meets those that it can link with.
 
     A component within the bounds is one group. A larger one is cut by size band,
     each band a factor of 1.26, and within a band by hash into blocks; a block
@@ -320,8 +329,9 @@ def _grouped(classes: DataFrame) -> DataFrame:
     whole = banded.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
     small = (F.col("c") <= BLOCK_SETS) & (F.col("t") <= BLOCK_SHINGLES)
     rows = banded.join(whole, "component")
-    out = ["id", "class", "group", "side", "both"]
-    alone = rows.where(small).select("id", "class", F.concat_ws(":", F.col("component")).alias("group"), F.lit(0).alias("side"), F.lit(False).alias("both"))
+    own_columns = ["id", "class", "n", "bitmap"]
+    out = [*own_columns, "group", "side", "both"]
+    alone = rows.where(small).select(*own_columns, F.concat_ws(":", F.col("component")).alias("group"), F.lit(0).alias("side"), F.lit(False).alias("both"))
     big = rows.where(~small)
     blocks = big.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
     near = blocks.select("component", F.explode(F.array(*(F.struct((F.col("band") + d).alias("band"), F.lit(d).alias("d"), "k") for d in (-1, 0, 1)))).alias("x")).select("component", "x.*")
@@ -333,7 +343,7 @@ def _grouped(classes: DataFrame) -> DataFrame:
     own = F.transform(upto(F.col("own")), lambda j: F.struct(key(band, F.least(i, j), band, F.greatest(i, j)).alias("group"), (i > j).cast("int").alias("side"), (i != j).alias("both")))
     above = F.transform(upto(F.col("above")), lambda j: F.struct(key(band, i, band + 1, j).alias("group"), F.lit(0).alias("side"), F.lit(True).alias("both")))
     below = F.transform(upto(F.col("below")), lambda j: F.struct(key(band - 1, j, band, i).alias("group"), F.lit(1).alias("side"), F.lit(True).alias("both")))
-    return alone.unionByName(mine.select("id", "class", F.explode(F.concat(own, above, below)).alias("g")).select("id", "class", "g.*").select(*out))
+    return alone.unionByName(mine.select(*own_columns, F.explode(F.concat(own, above, below)).alias("g")).select(*own_columns, "g.*").select(*out))
 
 
 def _marked(classes: DataFrame) -> np.ndarray:
@@ -379,9 +389,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     areas = connected_components(_candidates(described, parts))
     known = described.where((F.col("n") > 0) & F.col("id").isNotNull())
     least = known.groupBy("class", "node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    classes = staged(least.join(areas.select(F.col("node"), "component"), "node").select("id", "class", "n", "component"))
-    sets = _sets_of(narrow, classes, "bigint").join(_grouped(classes), ["id", "class"])
-    linked = connected_components(_links(sets.select("group", "side", "both", "id", "shingles")))
+    maps = described.select("id", "class", "bitmap")
+    classes = staged(least.join(areas, "node").select("id", "class", "n", "component").join(maps, ["id", "class"]).dropDuplicates(["id", "class"]))
+    close = connected_components(_edges_by_group(_grouped(classes), exact=False))
+    classes = staged(classes.drop("component").join(close, classes["id"] == close["node"]).drop("node"))
+    sets = _sets_of(narrow, classes, "bigint").dropDuplicates(["id", "class"])
+    linked = connected_components(_edges_by_group(_grouped(classes).join(sets, ["id", "class"]), exact=True))
     labels = least.join(linked, least["id"] == linked["node"], "left").select(least["class"], F.coalesce("component", "id").alias("component_id"))
     alone = described.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
     rows = known.select("id", "n", "class").join(labels, "class").select("id", "n", "component_id").unionByName(alone)
