@@ -39,7 +39,7 @@ from .textio import _GRAM, WORDS, Words, mix, sliced, small_batches
 SHINGLE = 5
 BITMAP_WORDS = 32
 FANOUT, FRONTIER = 8, 50_000
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_SETS, BLOCK_SHINGLES = 8192, 1 << 23
 LOCAL_OFTEN, OFTEN, MAX_OFTEN = 2, 4, 1 << 19
 #: Sizes on a log scale, so that sizes that can link lie REACH apart at most.
 STEP, REACH = 1.01, 24
