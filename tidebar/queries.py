@@ -1,4 +1,132 @@
-"""The registered queries of the bar engine."""
+"""The registered queries of the bar engine, over bars made from the given tables, and SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.indicators import INDICATORS, with_indicator
+from .operators import strategy as st
+from .sources import bars as src
+
+FLAGSHIP = {
+    "datapoints": [{"name": "fast", "transformer": "sma", "args": [3]}, {"name": "slow", "transformer": "sma", "args": [9]}],
+    "enter": [["fast", ">", "slow"]],
+    "exit": [["fast", "<", "slow", 2]],
+    "comission": 0.1,
+    "rules": [["num_trades", ">", 1], ["return_perc", ">", 0]],
+}
+
+
+def event_bars(spark: SparkSession, sf_dir: str, freq: str = "4h") -> DataFrame:
+    """Bars of the events table: a symbol for each event type, the value as price, the count as volume."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return src.from_ticks(e, F.col("event_type"), F.col("ts").cast("timestamp"), F.col("value"), F.lit(1.0), F.col("event_id"), freq)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars, averages, actions, account, summary and rules of one strategy for all symbols."""
+    s = st.Strategy.of(FLAGSHIP)
+    return st.evaluate_rules(st.summarize(st.backtest(event_bars(spark, sf_dir), s)), s.rules)
+
+
+def _out(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select("symbol", F.unix_seconds("ts").alias("t"), *(F.round(F.col(f"`{c}`"), 6).alias(f"v{k}") for k, c in enumerate(columns)))
+
+
+def _indicator(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = event_bars(spark, sf_dir)
+        df = with_indicator(bars, "x", name)
+        return _out(df, [c for c in df.columns if c not in bars.columns])
+
+    return query
+
+
+def bars_4h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(event_bars(spark, sf_dir), src.OHLCV)
+
+
+def bars_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(src.resample(event_bars(spark, sf_dir, "1h"), "1D"), src.OHLCV)
+
+
+def bars_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.missing_bars(event_bars(spark, sf_dir, "1h"), "1h")
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = st.Strategy.of(FLAGSHIP | {"trailing_stop_loss": 0.9})
+    bars = event_bars(spark, sf_dir)
+    for d in s.datapoints:
+        bars = with_indicator(bars, d["name"], d["transformer"], d["args"])
+    return st.with_actions(bars, s).select("symbol", F.unix_seconds("ts").alias("t"), "action")
+
+
+def account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = st.backtest(event_bars(spark, sf_dir), st.Strategy.of(FLAGSHIP))
+    return df.select("symbol", F.unix_seconds("ts").alias("t"), "action", "in_trade", F.round("aux", 6).alias("aux"), F.round("adj_account_value", 6).alias("adj_account_value"))
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = st.trade_log(st.backtest(event_bars(spark, sf_dir), st.Strategy.of(FLAGSHIP)))
+    return log.select("symbol", F.unix_seconds("ts").alias("t"), "in_trade", F.round("adj_account_value", 6).alias("adj_account_value"))
+
+
+QUERIES = {"flagship": flagship, "bars_4h": bars_4h, "bars_day": bars_day, "bars_missing": bars_missing, "sig_actions": signals, "sim_account": account, "log_trades": trades}
+QUERIES |= {f"ind_{name}": _indicator(name) for name in sorted(INDICATORS)}
+
+# -- the same in DuckDB SQL, written on its own: plain frames, and direct sums for exponential means ------------
+
+
+def _bars(step: int = 14400) -> str:
+    return f"""b AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / {step}) AS BIGINT) * {step} AS t, arg_min(value, (ts, event_id)) AS o, max(value) AS h,
+    min(value) AS l, arg_max(value, (ts, event_id)) AS c, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2),
+    n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS r, (h + l + c) / 3 AS tp, (h + l) / 2 AS m FROM b)"""
+
+
+def _rolled(*values: str) -> str:
+    return f"WITH {_bars()} SELECT symbol, t, {', '.join(f'round({v}, 6) AS v{k}' for k, v in enumerate(values))} FROM n"
+
+
+def _over(agg: str, n: int, x: str) -> str:
+    frame = f"OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) {frame} = {n} THEN {agg.format(x)} {frame} END"
+
+
+def _lagged(x: str, n: int) -> str:
+    return f"lag({x}, {n}) OVER (PARTITION BY symbol ORDER BY t)"
+
+
+def _decayed(alpha: float, x: str = "c") -> str:
+    return f"""WITH {_bars()}, w AS (SELECT symbol, r, CAST({x} AS DOUBLE) AS x FROM n) SELECT n.symbol, n.t,
+    round(sum(w.x * pow({1 - alpha!r}, n.r - w.r)) / sum(pow({1 - alpha!r}, n.r - w.r)), 6) AS v0 FROM n JOIN w ON w.symbol = n.symbol AND w.r <= n.r GROUP BY 1, 2"""
+
+
+_HI, _LO = _over("max({})", 14, "h"), _over("min({})", 14, "l")
+_M, _SD = _over("avg({})", 20, "c"), _over("stddev_samp({})", 20, "c")
+_RUN = "OVER (PARTITION BY symbol ORDER BY t)"
+ORACLE_SQL = {
+    "bars_4h": _rolled("o", "h", "l", "c", "v"),
+    "bars_day": f"WITH {_bars(86400)} SELECT symbol, t, round(o, 6) AS v0, round(h, 6) AS v1, round(l, 6) AS v2, round(c, 6) AS v3, round(v, 6) AS v4 FROM n",
+    "bars_missing": f"""WITH {_bars(3600)}, g AS (SELECT symbol, CAST((max(t) - min(t)) / 3600 AS BIGINT) + 1 AS e, count(*) AS k FROM n GROUP BY 1)
+    SELECT symbol, greatest(e - k, 0) AS total_missing, round((e - k) / CAST(e AS DOUBLE) * 100, 2) AS perc_missing FROM g""",
+    "ind_sma": _rolled(_over("avg({})", 41, "c")),
+    "ind_smm": _rolled(_over("median({})", 9, "c")),
+    "ind_mom": _rolled(f"c - {_lagged('c', 10)}"),
+    "ind_roc": _rolled(f"100 * (c - {_lagged('c', 12)}) / {_lagged('c', 12)}"),
+    "ind_rolling_max": _rolled(_over("max({})", 10, "c")),
+    "ind_rolling_min": _rolled(_over("min({})", 10, "c")),
+    "ind_msd": _rolled(_over("stddev_samp({})", 21, "c")),
+    "ind_bbands": _rolled(f"({_M}) + 2 * ({_SD})", _M, f"({_M}) - 2 * ({_SD})"),
+    "ind_stoch": _rolled(f"100 * (c - ({_LO})) / nullif(({_HI}) - ({_LO}), 0)"),
+    "ind_williams": _rolled(f"-100 * (({_HI}) - c) / nullif(({_HI}) - ({_LO}), 0)"),
+    "ind_tp": _rolled("tp"),
+    "ind_bop": _rolled("(c - o) / nullif(h - l, 0)"),
+    "ind_do": _rolled(_over("min({})", 5, "l"), f"(({_over('max({})', 20, 'h')}) + ({_over('min({})', 5, 'l')})) / 2", _over("max({})", 20, "h")),
+    "ind_vwap": _rolled(f"sum(v * tp) {_RUN} / sum(v) {_RUN}"),
+    "ind_ao": _rolled(f"({_over('avg({})', 5, 'm')}) - ({_over('avg({})', 34, 'm')})"),
+    "ind_ema": _decayed(0.2),
+    "ind_ssma": _decayed(1 / 9),
+    "ind_smma": _decayed(1 / 42),
+}
