@@ -217,3 +217,20 @@ def evaluate_rules(summary: DataFrame, rules: list) -> DataFrame:
     held = [F.coalesce(getattr(F.col(k), f"__{OPERATORS[op]}__")(operand(v)), F.lit(False)) if op in (">", "<", ">=", "<=") else F.lit(False) for k, op, v in rules]
     listed = F.array(*held) if held else F.array().cast("array<boolean>")
     return summary.withColumn("rules", F.struct((F.forall(listed, lambda x: x) & F.lit(bool(held))).alias("all"), F.exists(listed, lambda x: x).alias("any"), listed.alias("results")))
+
+
+def sweep(bars: DataFrame, variants: dict[str, dict], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Summaries of several strategy documents over the same bars in one job, with the variant's name.
+
+    Every branch partitions the same bars by the same keys, so that Spark shuffles them once.
+    """
+    bars = bars.repartition(*keys)
+    runs = [summarize(backtest(bars, Strategy.of(d), keys), keys).withColumn("variant", F.lit(name)) for name, d in variants.items()]
+    return reduce(DataFrame.unionByName, runs)
+
+
+def fitness(weights: dict[str, float], min_trades: int = 0, penalty: float = -5.0) -> Column:
+    """A weighted sum of summary columns, drawdowns by size, less a penalty for too few trades."""
+    parts = [(F.abs(F.col(c)) if c.endswith("max_drawdown_pct") else F.col(c)) * float(x) for c, x in weights.items()]
+    total = reduce(lambda a, b: a + b, parts, F.lit(0.0))
+    return total + F.when(F.col("num_trades") < min_trades, float(penalty)).otherwise(0.0)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.indicators import INDICATORS, with_indicator
+from .operators import regimes as rg
 from .operators import strategy as st
 from .sources import bars as src
 
@@ -73,8 +74,44 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("symbol", F.unix_seconds("ts").alias("t"), "in_trade", F.round("adj_account_value", 6).alias("adj_account_value"))
 
 
+def markov_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rg.with_states(event_bars(spark, sf_dir)).select("symbol", F.unix_seconds("ts").alias("t"), "state")
+
+
+def markov_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rg.transitions(rg.with_states(event_bars(spark, sf_dir))).withColumn("probability", F.round("probability", 9))
+
+
+def regime_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = rg.regime_features(event_bars(spark, sf_dir))
+    return _out(df, ["ret", "vol", "range", "trend", "volume_z"])
+
+
+def regime_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = rg.regime_features(event_bars(spark, sf_dir)).withColumn("label", rg.regime_label())
+    return df.groupBy("symbol", "label").agg(F.count("*").alias("n_bars"))
+
+
+def screen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(rg.screen_features(event_bars(spark, sf_dir)), ["ret", "vol", "range", "trend", "drawdown"])
+
+
+def screen_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = rg.screen(event_bars(spark, sf_dir), {"min_candles": 90, "max_drawdown_60d": -0.999})
+    return df.withColumns({c: F.round(c, 6) for c in ("avg_quote_volume_30d", "max_drawdown_60d")})
+
+
+def sweep_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = [(3, 9), (5, 20), (9, 41)]
+    documents = {f"{a}-{b}": FLAGSHIP | {"datapoints": [{"name": "fast", "transformer": "sma", "args": [a]}, {"name": "slow", "transformer": "sma", "args": [b]}]} for a, b in pairs}
+    found = st.sweep(event_bars(spark, sf_dir), documents)
+    score = st.fitness({"return_perc": 1.0, "sharpe_ratio": 2.0, "max_drawdown_pct": -0.5}, min_trades=5)
+    return found.select("variant", "symbol", "num_trades", "return_perc", F.round(score, 6).alias("fitness"))
+
+
 QUERIES = {"flagship": flagship, "bars_4h": bars_4h, "bars_day": bars_day, "bars_missing": bars_missing, "sig_actions": signals, "sim_account": account, "log_trades": trades}
 QUERIES |= {f"ind_{name}": _indicator(name) for name in sorted(INDICATORS)}
+QUERIES |= {f.__name__: f for f in (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, sweep_averages)}
 
 # -- the same in DuckDB SQL, written on its own: plain frames, and direct sums for exponential means ------------
 
@@ -103,6 +140,17 @@ def _decayed(alpha: float, x: str = "c") -> str:
     round(sum(w.x * pow({1 - alpha!r}, n.r - w.r)) / sum(pow({1 - alpha!r}, n.r - w.r)), 6) AS v0 FROM n JOIN w ON w.symbol = n.symbol AND w.r <= n.r GROUP BY 1, 2"""
 
 
+_CHANGE = "100 * (c / nullif(lag(c) OVER (PARTITION BY symbol ORDER BY t), 0) - 1)"
+_STATES = f"""{_bars()}, s AS (SELECT symbol, t, CASE WHEN p > 2 THEN 'Strong Increase' WHEN p > 1 THEN 'Moderate Increase' WHEN p > 0 THEN 'Slight Increase'
+    WHEN p <= -2 THEN 'Strong Decrease' WHEN p <= -1 THEN 'Moderate Decrease' WHEN p <= -0.5 THEN 'Slight Decrease' ELSE 'Stable' END AS state
+    FROM (SELECT symbol, t, {_CHANGE} AS p FROM n))"""
+_RET = f"q AS (SELECT *, coalesce(({_CHANGE}) / 100, 0) AS ret FROM n)"
+
+
+def _zero(x: str) -> str:
+    return f"round(coalesce({x}, 0), 6)"
+
+
 _HI, _LO = _over("max({})", 14, "h"), _over("min({})", 14, "l")
 _M, _SD = _over("avg({})", 20, "c"), _over("stddev_samp({})", 20, "c")
 _RUN = "OVER (PARTITION BY symbol ORDER BY t)"
@@ -129,4 +177,25 @@ ORACLE_SQL = {
     "ind_ema": _decayed(0.2),
     "ind_ssma": _decayed(1 / 9),
     "ind_smma": _decayed(1 / 42),
+    "markov_states": f"WITH {_STATES} SELECT * FROM s",
+    "markov_transitions": f"""WITH {_STATES}, p AS (SELECT symbol, lag(state) OVER (PARTITION BY symbol ORDER BY t) AS source, state AS target FROM s),
+    k AS (SELECT symbol, source, target, count(*) AS "count" FROM p WHERE source IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT *, round("count" / CAST(sum("count") OVER (PARTITION BY symbol, source) AS DOUBLE), 9) AS probability FROM k""",
+    "screen_features": f"""WITH {_bars()}, {_RET} SELECT symbol, t, round(ret, 6) AS v0, {_zero(_over('stddev_samp({})', 20, 'ret'))} AS v1,
+    {_zero('(h - l) / nullif(c, 0)')} AS v2, {_zero(f"c / nullif({_lagged('c', 20)}, 0) - 1")} AS v3, {_zero(f"c / max(c) {_RUN} - 1")} AS v4 FROM q""",
+    "regime_features": f"""WITH {_bars()}, {_RET} SELECT symbol, t, round(ret, 6) AS v0, {_zero(_over('stddev_samp({})', 20, 'ret'))} AS v1,
+    {_zero('(h - l) / nullif(c, 0)')} AS v2,
+    {_zero("CASE WHEN r >= 20 THEN regr_slope(c, r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END")} AS v3,
+    {_zero(f"(v - ({_over('avg({})', 20, 'v')})) / nullif(({_over('stddev_samp({})', 20, 'v')}), 0)")} AS v4 FROM q""",
+    "ind_fve": f"""WITH {_bars()}, f AS (SELECT *, c - m + tp - lag(tp) OVER (PARTITION BY symbol ORDER BY t) AS mf FROM n),
+    g AS (SELECT *, CASE WHEN mf > 0.003 * c THEN v WHEN mf < -0.003 * c THEN -v ELSE 0 END AS s FROM f)
+    SELECT symbol, t, round(({_over('sum({})', 22, 's')}) / ({_over('avg({})', 22, 'v')}) / 22 * 100, 6) AS v0 FROM g""",
+    "ind_obv": f"""WITH {_bars()}, d AS (SELECT *, c - lag(c) OVER (PARTITION BY symbol ORDER BY t) AS d FROM n),
+    e AS (SELECT *, CASE WHEN d < 0 THEN -v WHEN d >= 0 THEN v END AS s FROM d),
+    g AS (SELECT *, CASE WHEN d = 0 THEN lag(s) OVER (PARTITION BY symbol ORDER BY t) ELSE s END AS x FROM e)
+    SELECT symbol, t, CASE WHEN x IS NOT NULL THEN round(sum(x) {_RUN}, 6) END AS v0 FROM g""",
+    "ind_qstick": f"WITH {_bars()} SELECT symbol, t, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY t DESC) <= 14 THEN round((c - o) / 14, 6) END AS v0 FROM n",
+    "ind_williams_fractal": f"""WITH {_bars()}, x AS (SELECT *, max(h) OVER w AS a, min(l) OVER w AS z, count(*) OVER w AS k FROM n
+    WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+    SELECT symbol, t, CASE WHEN k = 5 THEN CAST(h = a AS DOUBLE) END AS v0, CASE WHEN k = 5 THEN CAST(l = z AS DOUBLE) END AS v1 FROM x""",
 }
