@@ -34,7 +34,7 @@ def test_sma_needs_a_full_window(spark):
 
 def test_every_indicator_gives_rows(spark):
     x = 100 + np.random.default_rng(1).normal(size=60).cumsum()
-    bars = frame(spark, x).withColumns({"high": F.col("close") + 1, "low": F.col("close") - 1})
+    bars = frame(spark, x).withColumns({"high": F.col("close") + 1, "low": F.col("close") - 1}).coalesce(1).cache()
     for name in INDICATORS:
         df = with_indicator(bars, "x", name)
         assert len(df.columns) > len(bars.columns), name
