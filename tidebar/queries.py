@@ -198,4 +198,14 @@ ORACLE_SQL = {
     "ind_williams_fractal": f"""WITH {_bars()}, x AS (SELECT *, max(h) OVER w AS a, min(l) OVER w AS z, count(*) OVER w AS k FROM n
     WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
     SELECT symbol, t, CASE WHEN k = 5 THEN CAST(h = a AS DOUBLE) END AS v0, CASE WHEN k = 5 THEN CAST(l = z AS DOUBLE) END AS v1 FROM x""",
+    "ind_tr": f"WITH {_bars()} SELECT symbol, t, round(greatest(h - l, abs(h - {_lagged('c', 1)}), abs({_lagged('c', 1)} - l)), 6) AS v0 FROM n",
+    "ind_er": f"""WITH {_bars()}, d AS (SELECT *, abs(c - {_lagged('c', 1)}) AS d FROM n)
+    SELECT symbol, t, round(abs(c - {_lagged('c', 10)}) / nullif(({_over('sum({})', 10, 'd')}), 0), 6) AS v0 FROM d""",
+    "ind_bbwidth": _rolled(f"4 * ({_SD}) / nullif(({_M}), 0)"),
+    "ind_percent_b": _rolled(f"(c - (({_M}) - 2 * ({_SD}))) / nullif(4 * ({_SD}), 0)"),
+    "ind_chandelier": f"""WITH {_bars()}, d AS (SELECT *, greatest(h - l, abs(h - {_lagged('c', 1)}), abs({_lagged('c', 1)} - l)) AS tr FROM n)
+    SELECT symbol, t, round(({_over('min({})', 22, 'l')}) + 3 * ({_over('avg({})', 22, 'tr')}), 6) AS v0,
+    round(({_over('max({})', 22, 'h')}) - 3 * ({_over('avg({})', 22, 'tr')}), 6) AS v1 FROM d""",
+    "ind_linear_regression": f"""WITH {_bars()} SELECT symbol, t, round(CASE WHEN r < 2 THEN c ELSE regr_intercept(c, r) OVER w + regr_slope(c, r) OVER w * r END, 6) AS v0 FROM n
+    WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
 }
