@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import itertools
 import json
+import math
 import random
 import re
 import zlib
@@ -221,3 +223,29 @@ def test_classifiers_without_labels(spark, odd):
     none = spark.createDataFrame([], LABELS)
     assert {r.score for r in quality.score_quality(odd, quality.train_quality(odd, none)).collect()} == {0.5}
     assert toxicity.score_toxicity(odd, toxicity.train_toxicity(odd, none)).count() == odd.count()
+
+
+def test_seeds_lose_no_window():
+    for n in range(1, decontaminate.WINDOW + 1):
+        equal = max(1, math.ceil(decontaminate.SHARE * n))
+        masks = [sum(1 << (at + k) for k, c in enumerate(seed) if c == "1") for seed in decontaminate.seeds_for(n, equal) for at in range(n - len(seed) + 1)]
+        for gone in range(n - equal + 1):
+            for places in itertools.combinations(range(n), gone):
+                lost = sum(1 << k for k in places)
+                assert any(not m & lost for m in masks), (n, places)
+
+
+def test_decontamination_of_short_changed_and_unspaced_items():
+    random.seed(3)
+    for n in (*range(3, 17), 20, 40):
+        item = [f"i{n}w{k}" for k in range(n)]
+        index = decontaminate.Index([(0, " ".join(item))])
+        need = min(n, decontaminate.WINDOW)
+        for _ in range(60):
+            at = random.randrange(n - need + 1)
+            places = random.sample(range(at, at + need), need - math.ceil(decontaminate.SHARE * need))
+            words = [w if at <= k < at + need and k not in places else f"other{k}" for k, w in enumerate(item)]
+            assert [i for _, i, *_ in index.search(["a b".encode(), f"x {' '.join(words)} y".encode()])] == [0], (n, at, places)
+    index = decontaminate.Index([(5, "今日は天気がいいですね。散歩に行きましょう")])
+    changed = decontaminate.spaced("前の文。今日は天気が悪いですね、散歩に行きましょう！後の文").encode()
+    assert [i for _, i, *_ in index.search([changed, decontaminate.spaced("全く別の文章です").encode()])] == [0]
