@@ -249,3 +249,36 @@ def test_decontamination_of_short_changed_and_unspaced_items():
     index = decontaminate.Index([(5, "今日は天気がいいですね。散歩に行きましょう")])
     changed = decontaminate.spaced("前の文。今日は天気が悪いですね、散歩に行きましょう！後の文").encode()
     assert [i for _, i, *_ in index.search([changed, decontaminate.spaced("全く別の文章です").encode()])] == [0]
+
+
+FULL = {
+    "MIT": """MIT License. Copyright (c) 2020 A Name
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+}
+FULL["BSD-3-Clause"] = FULL["BSD-2-Clause"] + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_licenses_verbatim_and_with_others_between():
+    s = licenses.Scanner()
+    scan = lambda t: [m[0] for m in s.match(s.sentences([t.casefold().encode()])[0])]
+    short = {n: licenses.SENTENCES[q[0]] for n, q in licenses.RULES if len(q) == 1 and n not in FULL}
+    assert set(FULL) | set(short) == {n for n, _ in licenses.RULES}
+    for name, text in (FULL | short).items():
+        assert scan(f"Some text.\n{text}\nMore text.") == [name], name
+    for name, text in FULL.items():
+        parts = s.sentences([text.casefold().encode()])[0]
+        words = re.findall(r"[^\W_]+", text)
+        cut = parts[0][1]
+        assert scan(" ".join([*words[:cut], "All rights reserved.", *words[cut:]])) == [name, "all-rights-reserved"]
+    assert scan(FULL["GPL-2.0-or-later"] + FULL["GPL-3.0-or-later"]) == ["GPL-2.0-or-later", "GPL-3.0-or-later"]
+    assert scan(FULL["MIT"].replace("The above", "word " * 80 + "The above")) == []

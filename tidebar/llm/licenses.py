@@ -3,7 +3,9 @@
 A sentence is known by the hashes of its normalised words (case folded, runs of
 letters and digits), so line breaks and punctuation don't matter. The places of
 known sentences give each text a sequence of sentence ids; a rule is an ordered
-sequence of ids with at most ``GAP`` words between one and the next.
+sequence of ids with at most ``GAP`` words (``GAPS`` for some licenses) between one
+and the next. Known sentences of other licenses may lie between, and their words
+don't count; so may repeats of the rule's own sentences but the first.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame
 from .textio import PLAIN, Words, sliced, small_batches
 
 GAP = 40
+#: The MIT license has 47 words between its first two known sentences.
+GAPS = {"MIT": 60}
 # The known sentences.
 SENTENCES = {
     "apache-short": "Licensed under the Apache License, Version 2.0",
@@ -64,6 +68,7 @@ class Scanner:
 
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules=RULES):
         self.rules = rules
+        self.family = {first: {s for _, other in rules if other[0] == first for s in other} for _, (first, *_) in rules}
         self.names = list(sentences)
         words = Words([s.casefold().encode() for s in sentences.values()], PLAIN)
         if (words.count < ANCHOR).any():
@@ -92,18 +97,43 @@ class Scanner:
                     break
         return found
 
+    def _follow(self, found: list[tuple[int, int, str]], k: int, sequence: tuple[str, ...], most: int) -> list[int] | None:
+        """The places of a rule's sentences and of their repeats from ``k`` on, or None."""
+        if found[k][2] != sequence[0]:
+            return None
+        places, done, gap = [k], 1, 0
+        for j in range(k + 1, len(found)):
+            if done == len(sequence):
+                break
+            gap += found[j][0] - found[j - 1][1]
+            name = found[j][2]
+            if gap > most:
+                return None
+            if name == sequence[done]:
+                done += 1
+            elif name not in self.family[sequence[0]]:
+                continue
+            elif name not in sequence[1:done]:
+                return None
+            places.append(j)
+            gap = 0
+        return places if done == len(sequence) else None
+
     def match(self, found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
-        """(license, first word, word after the last) of the rules that the sequence of sentences matches, from left to right."""
-        out, k = [], 0
-        while k < len(found):
-            step = 1
+        """(license, first word, word after the last) of the rules that the sequence of sentences matches, by first word.
+
+        Known sentences between those of a rule, which are no part of it, are matched on their own.
+        """
+        out, used = [], set()
+        for k in range(len(found)):
+            if k in used:
+                continue
             for license_id, sequence in self.rules:
-                some = found[k : k + len(sequence)]
-                if tuple(s for *_, s in some) == sequence and all(b[0] - a[1] <= GAP for a, b in zip(some, some[1:], strict=False)):
-                    out.append((license_id, some[0][0], some[-1][1]))
-                    step = len(sequence)
+                places = self._follow(found, k, sequence, GAPS.get(license_id, GAP))
+                if places:
+                    out.append((license_id, found[k][0], found[places[-1]][1]))
+                    used.update(places)
                     break
-            k += step
         return out
 
 
