@@ -282,3 +282,23 @@ def test_licenses_verbatim_and_with_others_between():
         assert scan(" ".join([*words[:cut], "All rights reserved.", *words[cut:]])) == [name, "all-rights-reserved"]
     assert scan(FULL["GPL-2.0-or-later"] + FULL["GPL-3.0-or-later"]) == ["GPL-2.0-or-later", "GPL-3.0-or-later"]
     assert scan(FULL["MIT"].replace("The above", "word " * 80 + "The above")) == []
+
+
+def test_ibans_before_other_words_and_with_a_last_group_of_one():
+    def printed(text):
+        return [text[a:b] for k, a, b, _ in pii.find_spans(text) if k == "iban"]
+
+    for number, after in [
+        ("DE89 3704 0044 0532 0130 00", " EUR"),
+        ("DE89 3704 0044 0532 0130 00", " BIC COBADEFF"),
+        ("DE89370400440532013000", " BY 2024"),
+        ("CH93 0076 2011 6238 5295 7", " and more"),
+        ("CH93 0076 2011 6238 5295 7", " A 1"),
+        ("LV80 BANK 0000 4351 9500 1", "."),
+        ("NO93 8601 1117 947", ""),
+        ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", ", BIC"),
+    ]:
+        assert printed(f"to {number}{after}") == [number], number
+        assert number not in pii.mask(f"to {number}{after}", pii.find_spans(f"to {number}{after}"))
+    assert printed("RF12 AB34 DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432") == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    assert printed("DE89 3704 0044 0532 0130 01, DE89370400440532013000X, DE89 3704 0044") == []
