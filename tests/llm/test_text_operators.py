@@ -302,3 +302,16 @@ def test_ibans_before_other_words_and_with_a_last_group_of_one():
         assert number not in pii.mask(f"to {number}{after}", pii.find_spans(f"to {number}{after}"))
     assert printed("RF12 AB34 DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432") == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
     assert printed("DE89 3704 0044 0532 0130 01, DE89370400440532013000X, DE89 3704 0044") == []
+
+
+def test_rules_of_texts_with_more_windows_than_place_bits(spark, labels, monkeypatch):
+    monkeypatch.setattr(rules, "_PLACE_BITS", 4)
+    random.seed(9)
+    texts = [" ".join(random.choice("abcdefg") for _ in range(n)) for n in (*range(14, 24), 60, 300)]
+    texts += [" ".join(f"w{k % 40}" for k in range(80)), " ".join(f"w{k}" for k in range(80)), " ".join(f"w{k % 79}" for k in range(81))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in rules.apply_rules(df, rules.trusted_ids(labels)).collect():
+        w = r.text.split()
+        seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        repeated = {k + j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        assert r.n_repeat_words == len(repeated) and r.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w))
