@@ -315,3 +315,15 @@ def test_rules_of_texts_with_more_windows_than_place_bits(spark, labels, monkeyp
         seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
         repeated = {k + j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(3)}
         assert r.n_repeat_words == len(repeated) and r.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w))
+
+
+def test_rules_see_whole_words_and_all_labels(spark):
+    good = spark.range(9000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert rules.trusted_ids(good).count() == 9000
+    random.seed(5)
+    words = [f"word{k}" for k in range(300)]
+    texts = [" ".join(random.choice(words) for _ in range(200)) for _ in range(60)]
+    junk = [" ".join("#" + w for w in texts[0].split()), " ".join(w[:2] + "|" + w[2:] for w in texts[1].split())]
+    df = spark.createDataFrame(list(enumerate(texts + junk)), "doc_id long, text string")
+    got = {r.doc_id: r for r in rules.apply_rules(df, rules.trusted_ids(good.where("doc_id < 60"))).collect()}
+    assert all(got[k].kept for k in range(60)) and not got[60].kept and not got[61].kept
