@@ -327,3 +327,21 @@ def test_rules_see_whole_words_and_all_labels(spark):
     df = spark.createDataFrame(list(enumerate(texts + junk)), "doc_id long, text string")
     got = {r.doc_id: r for r in rules.apply_rules(df, rules.trusted_ids(good.where("doc_id < 60"))).collect()}
     assert all(got[k].kept for k in range(60)) and not got[60].kept and not got[61].kept
+
+
+def test_keep_one_of_repeated_rows_and_classes_of_one_id(spark):
+    base = [f"w{k}" for k in range(60)]
+    other = [f"v{k}" for k in range(60)]
+    text = lambda words, end: " ".join([*words, end])
+    rows = [(5, text(base, "a")), (5, text(base, "a")), (7, text(base, "b")), (None, text(base, "c")), (None, text(base, "c")), (3, text(other, "a")), (3, text(base[:30] * 2, "z")), (4, text(base[:30] * 2, "y")), (9, text(other, "q")), (None, "alone as it is"), (1, ""), (1, ""), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            same, both = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if sets[a] and sets[b] and (100 * same >= 80 * both or rows[a][0] is not None and rows[a][0] == rows[b][0]):
+                root = [root[b] if r == root[a] else r for r in root]
+    want = [min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None) for r in sorted(set(root))]
+    got = [r.doc_id for r in ngram_join.keep_one(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))

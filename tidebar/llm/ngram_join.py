@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, staged
@@ -296,10 +296,10 @@ def alike(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def _edges_by_group(rows: DataFrame, exact: bool) -> DataFrame:
-    """Edges (a, b) by id from (group, side, both, id, n, bitmap and, for exact ones, shingles); ``both``: side 0 joins side 1, otherwise itself."""
+    """Edges (a, b) by id from (group, side, both, id, class, n, bitmap and, for exact ones, shingles); ``both``: side 0 joins side 1, otherwise itself."""
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["side", "id"])
+        group = group.drop_duplicates(["side", "id", "class"])
         maps = np.stack([np.frombuffer(r, np.uint64) for r in group["bitmap"]])
         order = np.lexsort((*maps.T[:8], group["n"].to_numpy(), group["side"].to_numpy()))  # copies lie together
         group, maps = group.iloc[order], maps[order]
@@ -314,7 +314,7 @@ def _edges_by_group(rows: DataFrame, exact: bool) -> DataFrame:
         names = group["id"].to_numpy()
         return pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
 
-    columns = ["group", "side", "both", "id", "n", "bitmap", *["shingles"] * exact]
+    columns = ["group", "side", "both", "id", "class", "n", "bitmap", *["shingles"] * exact]
     return rows.select(*columns).groupBy("group").applyInPandas(join, "a bigint, b bigint")
 
 
@@ -402,7 +402,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the smallest id of their component, with all columns; rows without id stay."""
-    found = near_duplicates(df, id_col, text_col)
-    first = found.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    return df.join(first, id_col, "left_semi").unionByName(df.where(F.col(id_col).isNull()))
+    """One row of each component, of its smallest id, with all columns.
+
+    A row without id counts as a document whose id is greater than all others.
+    Texts without words link with nothing, so all their rows stay.
+    """
+    unnamed = F.xxhash64(text_col).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = df.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), unnamed))
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = near_duplicates(keyed, "_key", text_col)
+    first = found.where(F.col("component_id") == F.col("_key")).select("_key").distinct()
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_col)))
+    kept = keyed.where(worded).join(first, "_key", "left_semi").withColumn("_place", place).where("_place = 1")
+    return kept.select(df.columns).unionByName(df.where(~worded))
