@@ -51,6 +51,7 @@ class Strategy:
         """What is wrong with the document, as messages."""
         names = [d.get("name") for d in self.datapoints]
         found = [f"datapoint {d.get('name')}: unknown transformer {d.get('transformer')}" for d in self.datapoints if d.get("transformer") not in INDICATORS]
+        found += [f"datapoint {d.get('name')}: a freq of its own is not built" for d in self.datapoints if d.get("freq") is not None]
         for group in ("enter", "exit", "any_enter", "any_exit"):
             for logic in getattr(self, group) or []:
                 if len(logic) not in (3, 4) or logic[1] not in OPERATORS:
