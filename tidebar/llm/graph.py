@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset, as in local tests, a new temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidebar.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, which every executor must see; where it is unset and all run in one process, as in tests, a temporary one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tidebar-")
-        spark.conf.set("tidebar.checkpoint.dir", folder)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _local.get(spark.sparkContext.applicationId) or _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidebar-"))
     return folder
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read again: its lineage is cut, and a lost executor loses none of it."""
+_local: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def staged(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: its lineage is cut, and a lost executor loses none of it.
+
+    Staged tables in ``done``, which nothing but ``df`` reads, are deleted then.
+    """
     path = f"{shared_folder(df.sparkSession)}/tidebar-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    dropped(*done)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def dropped(*done: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in done:
+        if path := _written.pop(df, None):
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -45,7 +66,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = staged(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), F.col("m")))).alias("p"))
-        e = staged(small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b").distinct())
+        e = staged(small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b").distinct(), large, e)
         now = _mark(e)
         if now == mark:
             break

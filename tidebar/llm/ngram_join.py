@@ -7,44 +7,49 @@ is exact:
 1. Equal sets are one class, known by a 128-bit fingerprint.
 2. In one order of all shingles, two sets that link share a shingle among the
    first n - ceil(0.8 n) + 1 of each. Shingles seen often come last, which is only
-   a matter of speed. Classes that share such a shingle and whose sizes lie close
-   are candidates, and the connected components of the candidates are the only
-   places where links can be. Stars to the smallest class of a run of sizes stand
-   for all pairs, first within each task.
-3. Each component, or pair of blocks of a large one, builds signature trees: leaf
-   and inner nodes hold the OR of their sets' bitmaps, the range of sizes and the
-   most shingles that share bits. Two trees are walked together; a pair of nodes
-   whose largest possible overlap is too small is dropped. The pairs of sets that
-   remain cut the components down to those of close bitmaps.
-4. In these the trees are walked again, now with the sets at hand, and the pairs
-   that remain are compared in full, unless already connected.
+   a matter of speed. Classes that share such a shingle are candidates if their
+   sizes lie close and enough shingles follow the shared one in both. A shingle
+   shared by more than ``PAIRED`` classes tests no pairs: classes of a run of close
+   sizes are tied to the smallest, first within each task.
+3. Connected components of the candidates, the areas, are the only places where
+   links can be. Each area builds a signature tree: leaf and inner nodes hold the OR
+   of their sets' bitmaps, the range of sizes and the most shingles that share bits.
+   The tree is walked against itself, a pair of nodes whose largest possible
+   overlap is too small is dropped, and the pairs of sets that remain are compared
+   in full, unless already connected.
+4. A large area is cut into blocks of bounded size by band of sizes. Each block
+   meets itself and a few hubs of its area. What they leave outside the area's
+   largest component then meets all blocks of close sizes, so that a group of
+   copies costs its size and not its square.
 5. Connected components of the links give each class its label.
-
-Large components are cut into blocks by size band, so that only blocks whose
-sizes can link meet, and every group has a bounded number of sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components, staged
+from .graph import connected_components, dropped, staged
 from .textio import _GRAM, WORDS, Words, mix, sliced, small_batches
 
 SHINGLE = 5
-BITMAP_WORDS = 32
 FANOUT, FRONTIER = 8, 50_000
-BLOCK_SETS, BLOCK_SHINGLES = 8192, 1 << 23
+BLOCK_SETS, BLOCK_SHINGLES, HUBS = 256, 1 << 21, 4
 LOCAL_OFTEN, OFTEN, MAX_OFTEN = 2, 4, 1 << 19
-#: Sizes on a log scale, so that sizes that can link lie REACH apart at most.
-STEP, REACH = 1.01, 24
-_ROW = np.dtype([("key", "<u8"), ("node", "<i8"), ("low", "<u2"), ("high", "<u2")])
-FILTER_BITS = 23
+PAIRED, FLUSH_ROWS, FLUSH_SHINGLES = 64, 1 << 21, 4_000_000
+#: Sizes on a log scale, so that sizes that can link lie REACH steps apart at most.
+STEP, REACH = 1.01, 23
+BAND = 1.26
+_SIZES = STEP ** np.arange(4096.0)
+_ROW = np.dtype([("key", "<u8"), ("node", "<i8"), ("low", "<u2"), ("high", "<u2"), ("rest", "<u2")])
+_NODE = (1 << 48) - 1
+MIN_FILTER, MAX_FILTER = 20, 27
 _U = np.uint64
 
 
@@ -67,13 +72,6 @@ def fingerprint(s: np.ndarray) -> bytes:
     return np.array([np.sum(mix(s + _U(17))), np.sum(mix(s ^ _U(0x5DEECE66D)))], np.uint64).tobytes()
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """The set's signature: the bits that its shingles fall on."""
-    bits = np.zeros(BITMAP_WORDS * 64, bool)
-    bits[(s >> _U(13)).astype(np.int64) % (BITMAP_WORDS * 64)] = True
-    return np.packbits(bits).view(np.uint64)
-
-
 def prefix(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The shingles of which sets that link share one: the first of the common order, often seen ones last."""
     n = len(s)
@@ -85,44 +83,51 @@ def prefix(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     return s[: n - (4 * n + 4) // 5 + 1]
 
 
-def _often_seen(narrow: DataFrame, spark) -> np.ndarray:
-    """Shingles that many documents have, as far as tasks see them often themselves; at most MAX_OFTEN."""
+def _often_seen(narrow: DataFrame) -> np.ndarray:
+    """Shingles that many classes have, as far as tasks see them often themselves; at most MAX_OFTEN, the most frequent counts first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, size = {}, 0
 
         def flush() -> pd.DataFrame:
-            keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+            keys, n = np.unique(np.concatenate(list(held.values())) if held else np.empty(0, np.uint64), return_counts=True)
             some = n >= LOCAL_OFTEN
-            keys, n = keys[some], n[some]
-            if len(keys) > MAX_OFTEN:
-                best = np.argpartition(n, len(n) - MAX_OFTEN)[-MAX_OFTEN:]
-                keys, n = keys[best], n[best]
-            return pd.DataFrame({"shingle": keys.view(np.int64), "n": n})
+            return pd.DataFrame({"shingle": keys[some].view(np.int64), "n": n[some]})
 
         for batch in batches:
             for _, texts in sliced(batch["text"]):
-                sets = shingle_sets(texts)
-                held += sets
-                size += sum(map(len, sets))
-                if size > 4_000_000:
+                for s in shingle_sets(texts):
+                    if held.setdefault(fingerprint(s), s) is s:
+                        size += len(s)
+                if size > FLUSH_SHINGLES:
                     yield flush()
-                    held, size = [], 0
+                    held, size = {}, 0
         yield flush()
 
-    seen = narrow.select("text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = seen.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(MAX_OFTEN).select("shingle").toPandas()
-    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
-
-
-def _described(narrow: DataFrame, often: np.ndarray, kind: str) -> DataFrame:
-    """(id, n, class, node, bitmap, prefix): node is half of the class, and the prefix only with the first document of a class that a task sees."""
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"raw": [batch["shingle"].to_numpy(np.int64).tobytes()]})
+
+    seen = narrow.select("text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    seen = staged(seen)
+    counts = Window.orderBy(F.desc("n"))
+    fits = seen.groupBy("n").agg(F.count("*").alias("c")).withColumn("total", F.sum("c").over(counts)).where(F.col("total") <= MAX_OFTEN)
+    least = fits.agg(F.min("n")).first()[0]
+    if least is None:
+        return np.empty(0, np.uint64)
+    raws = [r["raw"] for r in seen.where(F.col("n") >= least).select("shingle").mapInPandas(pack, "raw binary").collect()]
+    dropped(seen)
+    return np.sort(np.frombuffer(b"".join(raws), np.uint64))
+
+
+def _described(narrow: DataFrame, often: np.ndarray) -> DataFrame:
+    """(id, n, class, node, prefix): node is a part of the class, and the prefix only with the first document of a class that a task sees."""
     held = narrow.sparkSession.sparkContext.broadcast(often)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, names, maps, prefixes = [], [], [], []
+            sizes, names, prefixes = [], [], []
             for _, texts in sliced(batch["text"]):
                 for s in shingle_sets(texts):
                     name = fingerprint(s)
@@ -131,79 +136,168 @@ def _described(narrow: DataFrame, often: np.ndarray, kind: str) -> DataFrame:
                         seen.add(name)
                     sizes.append(len(s))
                     names.append(name)
-                    maps.append(bitmap(s).tobytes())
                     prefixes.append(prefix(s, held.value).tobytes() if fresh else None)
-            nodes = [int.from_bytes(x[:8], "little", signed=True) for x in names]
-            yield pd.DataFrame({"id": batch["id"], "n": sizes, "class": names, "node": nodes, "bitmap": maps, "prefix": prefixes})
+            nodes = [int.from_bytes(x[:8], "little") & _NODE for x in names]
+            yield pd.DataFrame({"id": batch["id"], "n": sizes, "class": names, "node": nodes, "prefix": prefixes})
 
-    return narrow.select("id", "text").mapInPandas(describe, f"id {kind}, n bigint, class binary, node bigint, bitmap binary, prefix binary")
+    return narrow.select("id", "text").mapInPandas(describe, "id bigint, n bigint, class binary, node bigint, prefix binary")
 
 
-def _joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one row for every key and run of sizes that lie close, edges of the nodes to the smallest of their run).
+def _sent(rows: np.ndarray) -> bytes:
+    """Rows as 18 bytes each: what equals a key or node in its lower 48 bits may be taken for it, which adds candidates and loses none."""
+    six = [np.ascontiguousarray(rows[f]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for f in ("key", "node")]
+    return b"".join([*six, *(np.ascontiguousarray(rows[f]).tobytes() for f in ("low", "high", "rest"))])
 
-    A row stands for classes of sizes from low to high. Rows of a key are swept by
-    size; a gap of more than REACH begins a new run, as no sets across it can link.
-    """
-    rows = rows[np.lexsort((rows["low"], rows["key"]))]
-    if not len(rows):
-        return rows, np.empty((0, 2), np.int64)
+
+def _received(raw: bytes) -> np.ndarray:
+    n = len(raw) // 18
+    rows = np.zeros(n, _ROW)
+    for k, f in enumerate(("key", "node")):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 6 * n * k).reshape(-1, 6)
+        rows[f] = wide.view(rows[f].dtype).ravel()
+    for k, f in enumerate(("low", "high", "rest")):
+        rows[f] = np.frombuffer(raw, "<u2", n, 12 * n + 2 * n * k)
+    return rows
+
+
+def entries(s: np.ndarray, node: int, n: int) -> np.ndarray:
+    """A row for each shingle of a prefix: the size of the set, and how many shingles are left from there on."""
+    rows = np.empty(len(s), _ROW)
+    rows["key"], rows["node"] = s & _U(_NODE), node
+    rows["low"] = rows["high"] = int(math.log(n) / math.log(STEP))
+    rows["rest"] = np.ceil(np.log(n - np.arange(len(s))) / math.log(STEP)) + 1
+    return rows
+
+
+def _runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one row for every key and run of sizes that lie close, edges of the nodes to the smallest of their run); rows are sorted by key and size."""
     number = np.cumsum(np.concatenate([[False], rows["key"][1:] != rows["key"][:-1]])) << 20
     reach = np.maximum.accumulate(number + rows["high"])
     begin = np.flatnonzero(np.concatenate([[True], number[1:] + rows["low"][1:] > reach[:-1] + REACH]))
     least = np.minimum.reduceat(rows["node"], begin)
     every = np.repeat(least, np.diff(np.append(begin, len(rows))))
     away = rows["node"] != every
-    edges = np.unique(np.stack([rows["node"][away], every[away]], axis=1), axis=0)
-    runs = rows[begin].copy()
-    runs["node"], runs["high"] = least, np.maximum.reduceat(rows["high"], begin)
-    return runs, edges
+    out = rows[begin].copy()
+    out["node"] = least
+    for f in ("high", "rest"):
+        out[f] = np.maximum.reduceat(rows[f], begin)
+    return out, np.stack([rows["node"][away], every[away]], axis=1)
+
+
+def _pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Edges between rows of a key that can link: sizes lie close, and enough shingles are left in both from the shared one on."""
+    begin = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+    length = np.diff(np.append(begin, len(rows)))
+    for n in np.unique(length[length > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        at = begin[length == n]
+        for k in range(0, len(at), max(1, FRONTIER * 8 // len(i))):
+            some = at[k : k + max(1, FRONTIER * 8 // len(i)), None]
+            a, b = rows[(some + i).ravel()], rows[(some + j).ravel()]
+            low, high = a["low"].astype(np.int64), b["low"].astype(np.int64)
+            close = (low - b["high"] <= REACH) & (high - a["high"] <= REACH)
+            enough = 9 * _SIZES[np.minimum(a["rest"], b["rest"])] >= 4 * (_SIZES[low] + _SIZES[high])
+            ok = close & enough
+            yield np.stack([a["node"][ok], b["node"][ok]], axis=1)
+
+
+def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows sorted by key and size and each node once, which lie in keys of more than PAIRED rows)."""
+    rows = rows[np.lexsort((rows["node"], rows["low"], rows["key"]))]
+    again = np.zeros(len(rows), bool)
+    again[1:] = (rows["key"][1:] == rows["key"][:-1]) & (rows["node"][1:] == rows["node"][:-1]) & (rows["high"][1:] == rows["high"][:-1])
+    rows = rows[~again]
+    begin = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+    length = np.diff(np.append(begin, len(rows)))
+    return rows, np.repeat(length > PAIRED, length)
+
+
+def forest(edges: np.ndarray) -> np.ndarray:
+    """Edges that connect the same nodes, fewer than there are nodes."""
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    if not len(edges):
+        return edges
+    edges = np.unique(np.sort(edges, axis=1), axis=0)
+    names, at = np.unique(edges, return_inverse=True)
+    root = list(range(len(names)))
+    keep = []
+    for k, (x, y) in enumerate(at.reshape(-1, 2).tolist()):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        while root[y] != y:
+            root[y] = root[root[y]]
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return edges[keep]
 
 
 def _candidates(described: DataFrame, parts: int) -> DataFrame:
-    """Edges (a, b) between nodes that share a prefix shingle and have close sizes."""
+    """Edges (a, b) that connect all nodes that share a prefix shingle and can link."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def flush() -> pd.DataFrame:
-            runs, edges = _joined(np.concatenate(held))
-            part = (runs["key"] >> _U(40)).astype(np.int64) % parts
+            rows, many = _split(np.concatenate(held))
+            edges = np.empty((0, 2), np.int64)
+            if many.any():
+                runs, edges = _runs(rows[many])
+                rows, edges = np.concatenate([rows[~many], runs]), forest(edges)
+            part = (mix(rows["key"]) >> _U(20)).astype(np.int64) % parts
             order = np.argsort(part, kind="stable")
-            part, runs = part[order], runs[order]
+            part, rows = part[order], rows[order]
             where, begin = np.unique(part, return_index=True)
             end = np.append(begin[1:], len(part))
-            rows = [(int(p), True, runs[a:b].tobytes()) for p, a, b in zip(where, begin, end, strict=True)]
-            part = (edges[:, 0].view(np.uint64) >> _U(20)).astype(np.int64) % parts
-            rows += [(int(p), False, np.ascontiguousarray(edges[part == p]).tobytes()) for p in np.unique(part)]
-            return pd.DataFrame(rows, columns=["part", "open", "rows"])
+            out = [(int(p), True, _sent(rows[a:b])) for p, a, b in zip(where, begin, end, strict=True)]
+            part = edges[:, 0] % parts
+            out += [(int(p), False, edges[part == p].tobytes()) for p in np.unique(part)]
+            return pd.DataFrame(out, columns=["part", "open", "rows"])
 
         for batch in batches:
             for raw, node, n in zip(batch["prefix"], batch["node"].tolist(), batch["n"].tolist(), strict=True):
-                rows = np.empty(len(raw) // 8, _ROW)
-                rows["key"], rows["node"] = np.frombuffer(raw, np.uint64), node
-                rows["low"] = np.floor(np.log(n) / np.log(STEP))
-                rows["high"] = rows["low"] + 1
-                held.append(rows)
-                size += len(rows)
-            if size > 1 << 21:
-                yield flush()
-                held, size = [], 0
+                held.append(entries(np.frombuffer(raw, np.uint64), node, n))
+                size += len(held[-1])
+                if size > FLUSH_ROWS:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        closed = ~group["open"]
-        edges = [np.frombuffer(r, np.int64).reshape(-1, 2) for r in group["rows"][closed]]
-        if not closed.all():
-            edges.append(_joined(np.concatenate([np.frombuffer(r, _ROW) for r in group["rows"][~closed]]))[1])
-        found = np.unique(np.concatenate(edges), axis=0)
+        is_open = group["open"].to_numpy(bool)
+        edges = [np.frombuffer(r, np.int64).reshape(-1, 2) for r in group["rows"][~is_open]]
+        if is_open.any():
+            rows, many = _split(np.concatenate([_received(r) for r in group["rows"][is_open]]))
+            if many.any():
+                edges.append(_runs(rows[many])[1])
+            for found in _pairs(rows[~many]):
+                edges.append(found)
+                if len(edges) > 64:
+                    edges = [forest(np.concatenate(edges))]
+        found = forest(np.concatenate(edges)) if edges else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
     rows = described.where(F.col("prefix").isNotNull()).select("node", "n", "prefix")
     return rows.mapInPandas(spread, "part bigint, open boolean, rows binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets' signatures, the bits that their shingles fall on: four times as many as the largest set has shingles, or more."""
+    words = 1 << max(3, (4 * max(map(len, sets), default=1) // 64).bit_length())
+    out = np.zeros((len(sets), words), np.uint64)
+    bits = np.zeros(64 * words, bool)
+    for k, s in enumerate(sets):
+        at = (s >> _U(13)).astype(np.int64) & (64 * words - 1)
+        bits[at] = True
+        out[k] = np.packbits(bits).view(np.uint64)
+        bits[at] = False
+    return out
+
+
 class Tree:
     """A signature tree over sets: level 0 has the sets, each further level the OR of up to FANOUT nodes below."""
 
@@ -226,9 +320,15 @@ class Tree:
 def _may_link(x: Tree, i: int, a: np.ndarray, y: Tree, j: int, b: np.ndarray) -> np.ndarray:
     """Whether sets under nodes a of x's level i and b of y's level j can overlap enough."""
     (xm, xl, xh, xs), (ym, yl, yh, ys) = x.levels[i], y.levels[j]
-    sizes = (4 * xl[a] <= 5 * yh[b]) & (4 * yl[b] <= 5 * xh[a])
-    most = np.bitwise_count(xm[a] & ym[b]).sum(axis=1).astype(np.int64) + np.minimum(xs[a], ys[b])
-    return sizes & (9 * np.minimum(most, np.minimum(xh[a], yh[b])) >= 4 * (xl[a] + yl[b]))
+    ok = np.flatnonzero((4 * xl[a] <= 5 * yh[b]) & (4 * yl[b] <= 5 * xh[a]))
+    out = np.zeros(len(a), bool)
+    step = max(1, (1 << 20) // xm.shape[1])
+    for k in range(0, len(ok), step):
+        some = ok[k : k + step]
+        c, d = a[some], b[some]
+        most = np.bitwise_count(xm[c] & ym[d]).sum(axis=1).astype(np.int64) + np.minimum(xs[c], ys[d])
+        out[some] = 9 * np.minimum(most, np.minimum(xh[c], yh[d])) >= 4 * (xl[c] + yl[d])
+    return out
 
 
 def candidate_pairs(x: Tree, y: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -259,16 +359,25 @@ def candidate_pairs(x: Tree, y: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]
             stack.append((i, a[k : k + FRONTIER], j, b[k : k + FRONTIER]))
 
 
-def connecting_pairs(maps: np.ndarray, size: np.ndarray, split: int | None = None, agree=None) -> list[tuple[int, int]]:
-    """Pairs that connect all that the pairs found by walking the trees connect.
+def alike(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether the sets' Jaccard similarity is 0.8 or more."""
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    same = int((t[at] == s).sum())
+    return 100 * same >= 80 * (len(s) + len(t) - same)
+
+
+def connecting_pairs(sets: list[np.ndarray], split: int | None = None, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all that the links between the sets connect.
 
     Without ``split`` the sets are joined with themselves, otherwise those before
-    it with those from it on. ``agree`` confirms a pair; pairs that are connected
-    already are passed over.
+    it with those from it on. Sets with equal ``known`` are connected already;
+    pairs of connected sets are passed over.
     """
+    size = np.array([len(s) for s in sets], np.int64)
+    maps = bitmaps(sets)
     x = Tree(maps[:split], size[:split])
     y = x if split is None else Tree(maps[split:], size[split:])
-    root = np.arange(len(size))
+    root = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     links = []
     for a, b in candidate_pairs(x, y):
         b = b + (split or 0)
@@ -279,7 +388,7 @@ def connecting_pairs(maps: np.ndarray, size: np.ndarray, split: int | None = Non
                 break
             _, now = np.unique(a, return_index=True)  # one pair of every left set, the rest again once these have been joined
             for p, q in zip(a[now].tolist(), b[now].tolist(), strict=True):
-                if root[p] != root[q] and (agree is None or agree(p, q)):
+                if root[p] != root[q] and alike(sets[p], sets[q]):
                     links.append((p, q))
                     root[root == root[q]] = root[p]
             rest = np.ones(len(a), bool)
@@ -288,117 +397,133 @@ def connecting_pairs(maps: np.ndarray, size: np.ndarray, split: int | None = Non
     return links
 
 
-def alike(s: np.ndarray, t: np.ndarray) -> bool:
-    """Whether the sets' Jaccard similarity is 0.8 or more."""
-    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
-    same = int((t[at] == s).sum())
-    return 100 * same >= 80 * (len(s) + len(t) - same)
-
+def _links(rows: DataFrame, parts: int) -> DataFrame:
+    """Edges (a, b) by id from (group, side, id, class, known, shingles): a group's side 0 meets side 1, or itself if there is no other."""
 
-def _edges_by_group(rows: DataFrame, exact: bool) -> DataFrame:
-    """Edges (a, b) by id from (group, side, both, id, class, n, bitmap and, for exact ones, shingles); ``both``: side 0 joins side 1, otherwise itself."""
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["side", "id", "class"])
-        maps = np.stack([np.frombuffer(r, np.uint64) for r in group["bitmap"]])
-        order = np.lexsort((*maps.T[:8], group["n"].to_numpy(), group["side"].to_numpy()))  # copies lie together
-        group, maps = group.iloc[order], maps[order]
-        both, split = bool(group["both"].iloc[0]), int((group["side"] == 0).sum())
-        if both and split in (0, len(group)):
-            return pd.DataFrame({"a": [], "b": []})
-        agree = None
-        if exact:
+    def join(slot: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, group in slot.groupby("group", sort=False):
+            group = group.drop_duplicates(["side", "id", "class"])
             sets = [np.frombuffer(r, np.uint64) for r in group["shingles"]]
-            agree = lambda p, q: alike(sets[p], sets[q])
-        pairs = np.array(connecting_pairs(maps, group["n"].to_numpy(np.int64), split if both else None, agree), np.int64).reshape(-1, 2)
-        names = group["id"].to_numpy()
-        return pd.DataFrame({"a": names[pairs[:, 0]], "b": names[pairs[:, 1]]})
+            side, size = group["side"].to_numpy(), np.array([len(s) for s in sets])
+            order = np.lexsort(([int(s[0]) for s in sets], size, side))  # copies lie together
+            sets, names, known = [sets[k] for k in order], group["id"].to_numpy()[order], group["known"].to_numpy()[order]
+            both, split = side.any(), int((side == 0).sum())
+            if len(sets) > 1 and (split or not both):
+                found += [(names[p], names[q]) for p, q in connecting_pairs(sets, split if both else None, known)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    columns = ["group", "side", "both", "id", "class", "n", "bitmap", *["shingles"] * exact]
-    return rows.select(*columns).groupBy("group").applyInPandas(join, "a bigint, b bigint")
+    slot = F.pmod(F.xxhash64("group"), F.lit(parts)).alias("slot")
+    return rows.select(slot, "group", "side", "id", "class", "known", "shingles").groupBy("slot").applyInPandas(join, "a bigint, b bigint")
 
 
-def _grouped(classes: DataFrame) -> DataFrame:
-    """(id, class, n, bitmap, group, side, both): the groups in which a class meets those that it can link with.
+def _marked(classes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2 ** bits of the classes' hashed ids; a full one only lets more documents through."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    words = classes.select(bit.alias("bit")).groupBy(F.expr("bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
 
-    A component within the bounds is one group. A larger one is cut by size band,
-    each band a factor of 1.26, and within a band by hash into blocks; a block
-    meets itself, the others of its band and those of the next.
-    """
-    banded = classes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.26))))
-    whole = banded.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
-    small = (F.col("c") <= BLOCK_SETS) & (F.col("t") <= BLOCK_SHINGLES)
-    rows = banded.join(whole, "component")
-    own_columns = ["id", "class", "n", "bitmap"]
-    out = [*own_columns, "group", "side", "both"]
-    alone = rows.where(small).select(*own_columns, F.concat_ws(":", F.col("component")).alias("group"), F.lit(0).alias("side"), F.lit(False).alias("both"))
-    big = rows.where(~small)
-    blocks = big.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    near = blocks.select("component", F.explode(F.array(*(F.struct((F.col("band") + d).alias("band"), F.lit(d).alias("d"), "k") for d in (-1, 0, 1)))).alias("x")).select("component", "x.*")
-    counts = near.groupBy("component", "band").agg(*(F.coalesce(F.max(F.when(F.col("d") == d, F.col("k"))), F.lit(0)).alias(name) for d, name in ((1, "below"), (0, "own"), (-1, "above"))))
-    mine = big.join(counts, ["component", "band"]).withColumn("i", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
-    key = lambda band, i, other, j: F.concat_ws(":", F.col("component"), band, i, other, j)
-    band, i = F.col("band"), F.col("i")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(upto(F.col("own")), lambda j: F.struct(key(band, F.least(i, j), band, F.greatest(i, j)).alias("group"), (i > j).cast("int").alias("side"), (i != j).alias("both")))
-    above = F.transform(upto(F.col("above")), lambda j: F.struct(key(band, i, band + 1, j).alias("group"), F.lit(0).alias("side"), F.lit(True).alias("both")))
-    below = F.transform(upto(F.col("below")), lambda j: F.struct(key(band - 1, j, band, i).alias("group"), F.lit(1).alias("side"), F.lit(True).alias("both")))
-    return alone.unionByName(mine.select(*own_columns, F.explode(F.concat(own, above, below)).alias("g")).select(*own_columns, "g.*").select(*out))
-
-
-def _marked(classes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the classes' hashed ids; a full one only lets more documents through."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    words = classes.select(bit.alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << FILTER_BITS - 5, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"at": [batch["word"].to_numpy(np.int32).tobytes()], "bits": [batch["bits"].to_numpy(np.int64).astype(np.uint32).tobytes()]})
+
+    out = np.zeros(1 << bits - 5, np.uint32)
+    for row in words.mapInPandas(pack, "at binary, bits binary").collect():
+        out[np.frombuffer(row["at"], np.int32)] = np.frombuffer(row["bits"], np.uint32)
     return out
 
 
-def _sets_of(narrow: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """(id, class, shingles) of the documents whose id is marked."""
-    held = narrow.sparkSession.sparkContext.broadcast(_marked(classes))
+def _sets_of(narrow: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, class, shingles) of the documents whose id is marked: those of the classes and, by chance, a few others."""
+    bits = min(MAX_FILTER, max(MIN_FILTER, (16 * classes.count()).bit_length()))
+    held = narrow.sparkSession.sparkContext.broadcast(_marked(classes, bits))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bit = batch["bit"].to_numpy(np.int64)
             batch = batch[(held.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1) > 0]
-            names, raws = [], []
-            for _, texts in sliced(batch["text"]):
-                for s in shingle_sets(texts):
-                    names.append(fingerprint(s))
-                    raws.append(s.tobytes())
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "class": names, "shingles": raws})
+            names = batch["id"].to_numpy()
+            for start, texts in sliced(batch["text"]):
+                sets = shingle_sets(texts)
+                yield pd.DataFrame({"id": names[start : start + len(sets)], "class": [fingerprint(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+    marked = narrow.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("bit"))
+    return marked.mapInPandas(cut, "id bigint, class binary, shingles binary").dropDuplicates(["id", "class"])
+
 
-    marked = narrow.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("bit"))
-    return marked.mapInPandas(cut, f"id {kind}, class binary, shingles binary")
+def _blocks(classes: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``, the number of blocks of bounded size among the classes of the same area and band, and ``name``_i, the row's own."""
+    n = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return classes.join(classes.groupBy("area", "band").agg(n.alias(name)), ["area", "band"]).withColumn(f"{name}_i", F.pmod(F.xxhash64("class"), F.col(name)).cast("int"))
+
+
+def _met(classes: DataFrame, name: str) -> DataFrame:
+    """(area, band, other, j): the blocks j of band ``other`` that rows of ``band`` can link with."""
+    bands = F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band")
+    many = classes.groupBy("area", "band").agg(F.max(name).alias("many"))
+    return many.select("area", bands, F.col("band").alias("other"), "many").select("area", "band", "other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"))
+
+
+def _first_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows by group for a first round of links, the classes of large areas with band and block).
+
+    A small area is one group. Each block of a large one is, together with its
+    area's hubs of close sizes.
+    """
+    areas = classes.groupBy("area").agg((F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES) > 1).alias("large"))
+    rows = classes.join(areas, "area")
+    large = _blocks(rows.where("large").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))), "blocks")
+    out = ["group", F.lit(0).alias("side"), "id", "class", F.col("id").alias("known")]
+    chance = F.struct(F.xxhash64("class"), "class")
+    first = large.groupBy("area", "band", "blocks_i").agg(F.min_by(F.struct("id", "class"), chance).alias("x")).select("area", "band", "x.*")
+    place = F.row_number().over(Window.partitionBy("area", "band").orderBy(chance))
+    hubs = first.withColumn("place", place).where(F.col("place") <= HUBS).join(_met(large, "blocks"), ["area", "band"])
+    groups = rows.where("not large").withColumn("group", F.col("area").cast("string")).select(*out)
+    for part, names in ((large, ("area", "band", "blocks_i")), (hubs, ("area", "other", "j"))):
+        groups = groups.unionByName(part.withColumn("group", F.concat_ws(":", *names)).select(*out))
+    return groups, large
+
+
+def _second_groups(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows by group in which the classes outside their area's largest component meet all blocks of close sizes."""
+    parted = large.join(found, large["id"] == found["node"], "left").withColumn("known", F.coalesce("component", "id"))
+    most = parted.groupBy("area", "known").agg(F.count("*").alias("c")).groupBy("area").agg(F.max_by("known", F.struct("c", "known")).alias("main"))
+    rest = _blocks(parted.join(most, "area").where("known <> main"), "rests")
+    left = rest.join(_met(parted, "blocks"), ["area", "band"]).withColumn("group", F.concat_ws(":", "area", "band", "rests_i", "other", "j"))
+    right = parted.join(_met(rest, "rests"), ["area", "band"]).withColumn("group", F.concat_ws(":", "area", "other", "j", "band", "blocks_i"))
+    return reduce(DataFrame.unionByName, (rows.select("group", F.lit(side).alias("side"), "id", "class", "known") for side, rows in enumerate((left, right))))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row: the smallest id that links reach.
 
     Ids are integers. Null and empty texts, and texts of white space only, have no
-    shingles and link with nothing. Rows of one id and different texts count as
-    one document; a row with a null id has a null component. Other columns are
-    ignored; an empty table gives no rows.
+    shingles and link with nothing. Classes whose smallest ids are equal, as rows of
+    one id can have different texts, count as linked; a row with a null id has a
+    null component. Other columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
     narrow = small_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    described = staged(_described(narrow, _often_seen(narrow, spark), "bigint"))
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    described = staged(_described(narrow, _often_seen(narrow)))
     areas = connected_components(_candidates(described, parts))
-    known = described.where((F.col("n") > 0) & F.col("id").isNotNull())
+    rows = staged(described.select("id", "n", "class", "node"), described)
+    known = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     least = known.groupBy("class", "node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    maps = described.select("id", "class", "bitmap")
-    classes = staged(least.join(areas, "node").select("id", "class", "n", "component").join(maps, ["id", "class"]).dropDuplicates(["id", "class"]))
-    close = connected_components(_edges_by_group(_grouped(classes), exact=False))
-    classes = staged(classes.drop("component").join(close, classes["id"] == close["node"]).drop("node"))
-    sets = _sets_of(narrow, classes, "bigint").dropDuplicates(["id", "class"])
-    linked = connected_components(_edges_by_group(_grouped(classes).join(sets, ["id", "class"]), exact=True))
+    classes = staged(least.join(areas, "node").select("id", "class", "n", F.col("component").alias("area")), areas)
+    groups, large = _first_groups(classes)
+    keys = ["id", "class"]
+    links = staged(_links(groups.join(_sets_of(narrow, classes), keys), parts))
+    linked = connected_components(links)
+    if not large.isEmpty():
+        groups = staged(_second_groups(large, linked))
+        more = _links(groups.join(_sets_of(narrow, groups), keys), parts)
+        linked = connected_components(links.unionByName(more))
+        dropped(groups)
+    dropped(links, classes)
     labels = least.join(linked, least["id"] == linked["node"], "left").select(least["class"], F.coalesce("component", "id").alias("component_id"))
-    alone = described.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
-    rows = known.select("id", "n", "class").join(labels, "class").select("id", "n", "component_id").unionByName(alone)
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
+    out = known.select("id", "n", "class").join(labels, "class").select("id", "n", "component_id").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
