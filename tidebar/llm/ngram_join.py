@@ -5,23 +5,27 @@ documents link when the Jaccard similarity of their sets is 0.8 or more. The joi
 is exact:
 
 1. Equal sets are one class, known by a 128-bit fingerprint.
-2. In one order of all shingles, two sets that link share a shingle among the
+2. A set of which more than a fifth is found in no other class links with nothing.
+   Shingles are dealt out by hash and counted; a fixed share of all hashes does, as
+   a class can be ruled out by these alone. The classes left are counted again, then
+   with all shingles. Only counts by class travel back.
+3. In one order of all shingles, two sets that link share a shingle among the
    first n - ceil(0.8 n) + 1 of each. Shingles seen often come last, which is only
    a matter of speed. Classes that share such a shingle are candidates if their
    sizes lie close and enough shingles follow the shared one in both. A shingle
    shared by more than ``PAIRED`` classes tests no pairs: classes of a run of close
    sizes are tied to the smallest, first within each task.
-3. Connected components of the candidates, the areas, are the only places where
+4. Connected components of the candidates, the areas, are the only places where
    links can be. Each area builds a signature tree: leaf and inner nodes hold the OR
    of their sets' bitmaps, the range of sizes and the most shingles that share bits.
    The tree is walked against itself, a pair of nodes whose largest possible
    overlap is too small is dropped, and the pairs of sets that remain are compared
    in full, unless already connected.
-4. A large area is cut into blocks of bounded size by band of sizes. Each block
+5. A large area is cut into blocks of bounded size by band of sizes. Each block
    meets itself and a few hubs of its area. What they leave outside the area's
    largest component then meets all blocks of close sizes, so that a group of
    copies costs its size and not its square.
-5. Connected components of the links give each class its label.
+6. Connected components of the links give each class its label.
 """
 
 from __future__ import annotations
@@ -32,11 +36,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, dropped, staged
-from .textio import _GRAM, WORDS, Words, mix, sliced, small_batches
+from .textio import _GRAM, WORDS, Words, mix, sliced
 
 SHINGLE = 5
 FANOUT, FRONTIER = 8, 50_000
@@ -49,7 +54,9 @@ BAND = 1.26
 _SIZES = STEP ** np.arange(4096.0)
 _ROW = np.dtype([("key", "<u8"), ("node", "<i8"), ("low", "<u2"), ("high", "<u2"), ("rest", "<u2")])
 _NODE = (1 << 48) - 1
-MIN_FILTER, MAX_FILTER = 20, 27
+MIN_FILTER, MAX_FILTER = 20, 28
+#: Of the first counts, one hash in so many; sets of a flush, whose numbers take the place of the lowest bits of hashes.
+SAMPLED, FLUSH_BITS = 3, 14
 _U = np.uint64
 
 
@@ -83,66 +90,149 @@ def prefix(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     return s[: n - (4 * n + 4) // 5 + 1]
 
 
-def _often_seen(narrow: DataFrame) -> np.ndarray:
+def _each_set(texts: bool, column: pd.Series) -> Iterator[np.ndarray]:
+    """The sets of a batch of texts, or of sets as bytes."""
+    if texts:
+        for _, some in sliced(column):
+            yield from shingle_sets(some)
+    else:
+        yield from (np.frombuffer(raw, np.uint64) for raw in column)
+
+
+def _dealt(values: np.ndarray) -> bytes:
+    """Sorted hashes whose lowest bits are numbers of sets, as gaps by plane of bytes, which compress."""
+    key, owner = values >> _U(FLUSH_BITS), (values & _U((1 << FLUSH_BITS) - 1)).astype("<u2")
+    gap = np.diff(key, prepend=key[:1])
+    narrow = int(gap.max()) < 1 << 32
+    planes = gap.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if narrow else gap.astype("<u8").tobytes()
+    return bytes([narrow]) + key[:1].tobytes() + owner.view(np.uint8).reshape(-1, 2).T.tobytes() + planes
+
+
+def _undealt(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    narrow, first = raw[0], np.frombuffer(raw, "<u8", 1, 1)
+    n = (len(raw) - 9) // (6 if narrow else 10)
+    owner = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 2 * n, 9).reshape(2, n).T).view("<u2").ravel()
+    if narrow:
+        gap = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 9 + 2 * n).reshape(4, n).T).view("<u4").ravel().astype(np.uint64)
+    else:
+        gap = np.frombuffer(raw, "<u8", n, 9 + 2 * n)
+    return first + np.cumsum(gap), owner
+
+
+_SEEN = np.dtype([("id", "<i8"), ("n", "<i8"), ("named", "?"), ("fresh", "?"), ("class", "V16")])
+_LONE = np.dtype([("set", "<u2"), ("n", "<u4")])
+
+
+def _screened(rows: DataFrame, column: str, share: int, parts: int) -> DataFrame:
+    """(id, n, class, node, alive) for every row of (id, text or shingles): alive, unless more than a fifth of the set is in no other class.
+
+    Only one set of each class that a task's flush sees is counted; of its others
+    ``alive`` is false. ``share``: one hash in so many is counted.
+    """
+    texts = column == "text"
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
+        held, seen, known, size = [], [], set(), 0
+
+        def flush() -> pd.DataFrame:
+            out = [(task % parts, task, True, np.array(seen, _SEEN).tobytes())]
+            values = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+            part = (values >> _U(40)) * _U(parts) >> _U(24)
+            where, begin = np.unique(part, return_index=True)
+            for p, a, b in zip(where.tolist(), begin.tolist(), [*begin[1:].tolist(), len(part)], strict=False):
+                out.append((p, task, False, _dealt(values[a:b])))
+            return pd.DataFrame(out, columns=["part", "flush", "sets", "raw"])
+
+        for batch in batches:
+            named = batch["id"].notna().to_numpy()
+            ids = batch["id"].fillna(0).to_numpy(np.int64).tolist()
+            for k, s in enumerate(_each_set(texts, batch[column])):
+                name = fingerprint(s)
+                fresh = name not in known and len(s) > 0
+                if fresh:
+                    known.add(name)
+                    some = s if share == 1 else s[(s >> _U(20)) % _U(share) == 0]
+                    held.append(some >> _U(FLUSH_BITS) << _U(FLUSH_BITS) | _U(len(seen)))
+                    size += len(some)
+                seen.append((ids[k], len(s), named[k], fresh, name))
+                if size > FLUSH_SHINGLES or len(seen) >= 1 << FLUSH_BITS:
+                    yield flush()
+                    held, seen, known, size, task = [], [], set(), 0, task + 1
+        if seen:
+            yield flush()
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        sets = group["sets"].to_numpy(bool)
+        out = [(f, True, r) for f, r in zip(group["flush"][sets], group["raw"][sets], strict=True)]
+        blobs = [_undealt(r) for r in group["raw"][~sets]]
+        if blobs:
+            keys = np.concatenate([k for k, _ in blobs])
+            order = np.argsort(keys, kind="stable")
+            new = np.concatenate([[True], keys[order][1:] != keys[order][:-1], [True]])
+            lone = np.empty(len(keys), bool)
+            lone[order] = new[1:] & new[:-1]
+            at = 0
+            for f, (_, owner) in zip(group["flush"][~sets], blobs, strict=True):
+                who, n = np.unique(owner[lone[at : at + len(owner)]], return_counts=True)
+                at += len(owner)
+                found = np.empty(len(who), _LONE)
+                found["set"], found["n"] = who, n
+                out.append((f, False, found.tobytes()))
+        return pd.DataFrame(out, columns=["flush", "sets", "raw"])
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        sets = group["sets"].to_numpy(bool)
+        seen = np.frombuffer(group["raw"][sets].iloc[0], _SEEN)
+        lone = np.zeros(len(seen), np.int64)
+        for raw in group["raw"][~sets]:
+            found = np.frombuffer(raw, _LONE)
+            lone[found["set"]] += found["n"]
+        names = [x.tobytes() for x in seen["class"]]
+        nodes = [int.from_bytes(x[:8], "little") & _NODE for x in names]
+        ids = pd.array(seen["id"], "Int64")
+        ids[~seen["named"]] = pd.NA
+        return pd.DataFrame({"id": ids, "n": seen["n"], "class": names, "node": nodes, "alive": seen["fresh"] & (5 * lone <= seen["n"])})
+
+    dealt = rows.select("id", column).mapInPandas(deal, "part bigint, flush bigint, sets boolean, raw binary")
+    counted = dealt.groupBy("part").applyInPandas(count, "flush bigint, sets boolean, raw binary")
+    return counted.groupBy("flush").applyInPandas(judge, "id bigint, n bigint, class binary, node bigint, alive boolean")
+
+
+def _often_seen(sets: DataFrame) -> np.ndarray:
     """Shingles that many classes have, as far as tasks see them often themselves; at most MAX_OFTEN, the most frequent counts first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = {}, 0
+        held, size = [], 0
 
         def flush() -> pd.DataFrame:
-            keys, n = np.unique(np.concatenate(list(held.values())) if held else np.empty(0, np.uint64), return_counts=True)
+            keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
             some = n >= LOCAL_OFTEN
             return pd.DataFrame({"shingle": keys[some].view(np.int64), "n": n[some]})
 
         for batch in batches:
-            for _, texts in sliced(batch["text"]):
-                for s in shingle_sets(texts):
-                    if held.setdefault(fingerprint(s), s) is s:
-                        size += len(s)
+            for s in _each_set(False, batch["shingles"]):
+                held.append(s)
+                size += len(s)
                 if size > FLUSH_SHINGLES:
                     yield flush()
-                    held, size = {}, 0
+                    held, size = [], 0
         yield flush()
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"raw": [batch["shingle"].to_numpy(np.int64).tobytes()]})
 
-    seen = narrow.select("text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    seen = sets.select("shingles").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     seen = staged(seen)
     counts = Window.orderBy(F.desc("n"))
     fits = seen.groupBy("n").agg(F.count("*").alias("c")).withColumn("total", F.sum("c").over(counts)).where(F.col("total") <= MAX_OFTEN)
     least = fits.agg(F.min("n")).first()[0]
-    if least is None:
-        return np.empty(0, np.uint64)
-    raws = [r["raw"] for r in seen.where(F.col("n") >= least).select("shingle").mapInPandas(pack, "raw binary").collect()]
+    raws = [] if least is None else [r["raw"] for r in seen.where(F.col("n") >= least).select("shingle").mapInPandas(pack, "raw binary").collect()]
     dropped(seen)
     return np.sort(np.frombuffer(b"".join(raws), np.uint64))
 
 
-def _described(narrow: DataFrame, often: np.ndarray) -> DataFrame:
-    """(id, n, class, node, prefix): node is a part of the class, and the prefix only with the first document of a class that a task sees."""
-    held = narrow.sparkSession.sparkContext.broadcast(often)
-
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            sizes, names, prefixes = [], [], []
-            for _, texts in sliced(batch["text"]):
-                for s in shingle_sets(texts):
-                    name = fingerprint(s)
-                    fresh = len(s) > 0 and name not in seen
-                    if fresh and len(seen) < 1_000_000:
-                        seen.add(name)
-                    sizes.append(len(s))
-                    names.append(name)
-                    prefixes.append(prefix(s, held.value).tobytes() if fresh else None)
-            nodes = [int.from_bytes(x[:8], "little") & _NODE for x in names]
-            yield pd.DataFrame({"id": batch["id"], "n": sizes, "class": names, "node": nodes, "prefix": prefixes})
-
-    return narrow.select("id", "text").mapInPandas(describe, "id bigint, n bigint, class binary, node bigint, prefix binary")
-
-
 def _sent(rows: np.ndarray) -> bytes:
     """Rows as 18 bytes each: what equals a key or node in its lower 48 bits may be taken for it, which adds candidates and loses none."""
     six = [np.ascontiguousarray(rows[f]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for f in ("key", "node")]
@@ -235,8 +325,9 @@ def forest(edges: np.ndarray) -> np.ndarray:
     return edges[keep]
 
 
-def _candidates(described: DataFrame, parts: int) -> DataFrame:
+def _candidates(sets: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
     """Edges (a, b) that connect all nodes that share a prefix shingle and can link."""
+    seldom = sets.sparkSession.sparkContext.broadcast(often)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
@@ -258,8 +349,9 @@ def _candidates(described: DataFrame, parts: int) -> DataFrame:
             return pd.DataFrame(out, columns=["part", "open", "rows"])
 
         for batch in batches:
-            for raw, node, n in zip(batch["prefix"], batch["node"].tolist(), batch["n"].tolist(), strict=True):
-                held.append(entries(np.frombuffer(raw, np.uint64), node, n))
+            for s in _each_set(False, batch["shingles"]):
+                node = int.from_bytes(fingerprint(s)[:8], "little") & _NODE
+                held.append(entries(prefix(s, seldom.value), node, len(s)))
                 size += len(held[-1])
                 if size > FLUSH_ROWS:
                     yield flush()
@@ -281,8 +373,7 @@ def _candidates(described: DataFrame, parts: int) -> DataFrame:
         found = forest(np.concatenate(edges)) if edges else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    rows = described.where(F.col("prefix").isNotNull()).select("node", "n", "prefix")
-    return rows.mapInPandas(spread, "part bigint, open boolean, rows binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
+    return sets.select("shingles").mapInPandas(spread, "part bigint, open boolean, rows binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -432,22 +523,34 @@ def _marked(classes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _sets_of(narrow: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, class, shingles) of the documents whose id is marked: those of the classes and, by chance, a few others."""
-    bits = min(MAX_FILTER, max(MIN_FILTER, (16 * classes.count()).bit_length()))
-    held = narrow.sparkSession.sparkContext.broadcast(_marked(classes, bits))
+def _only(rows: DataFrame, column: str, classes: DataFrame) -> DataFrame:
+    """(id, class, n, shingles) of the rows of (id, text or shingles) whose id is marked: those of the classes and, by chance, a few others."""
+    bits = min(MAX_FILTER, max(MIN_FILTER, (32 * classes.count()).bit_length()))
+    held = rows.sparkSession.sparkContext.broadcast(_marked(classes, bits))
+    texts = column == "text"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, bytes]] = set()
         for batch in batches:
             bit = batch["bit"].to_numpy(np.int64)
             batch = batch[(held.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1) > 0]
-            names = batch["id"].to_numpy()
-            for start, texts in sliced(batch["text"]):
-                sets = shingle_sets(texts)
-                yield pd.DataFrame({"id": names[start : start + len(sets)], "class": [fingerprint(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            out, size = [], 0
+            for name, s in zip(batch["id"].to_numpy(np.int64).tolist(), _each_set(texts, batch[column]), strict=True):
+                what = name, fingerprint(s)
+                if not len(s) or what in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(what)
+                out.append((*what, len(s), s.tobytes()))
+                size += len(s)
+                if size > FLUSH_SHINGLES:
+                    yield pd.DataFrame(out, columns=["id", "class", "n", "shingles"])
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["id", "class", "n", "shingles"])
 
-    marked = narrow.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("bit"))
-    return marked.mapInPandas(cut, "id bigint, class binary, shingles binary").dropDuplicates(["id", "class"])
+    marked = rows.where("id is not null").select("id", column, F.pmod(F.xxhash64("id"), F.lit(1 << bits)).alias("bit"))
+    return marked.mapInPandas(cut, "id bigint, class binary, n bigint, shingles binary")
 
 
 def _blocks(classes: DataFrame, name: str) -> DataFrame:
@@ -502,24 +605,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null component. Other columns are ignored; an empty table gives no rows.
     """
     spark = df.sparkSession
-    narrow = small_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = staged(_described(narrow, _often_seen(narrow)))
-    areas = connected_components(_candidates(described, parts))
-    rows = staged(described.select("id", "n", "class", "node"), described)
+    rows = staged(_screened(narrow, "text", SAMPLED, parts))
     known = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
-    least = known.groupBy("class", "node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    classes = staged(least.join(areas, "node").select("id", "class", "n", F.col("component").alias("area")), areas)
+    least = known.groupBy("class", "node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.bool_or("alive").alias("alive"))
+    sets = staged(_only(narrow, "text", least.where("alive")))
+    alive = staged(_screened(sets, "shingles", 1, parts).where("alive").select("id", "class", "node", "n"))
+    sets = staged(_only(sets, "shingles", alive).join(alive.select("id", "class"), ["id", "class"]).dropDuplicates(["id", "class"]), sets)
+    areas = connected_components(_candidates(sets, _often_seen(sets), parts))
+    classes = staged(alive.dropDuplicates(["id", "class"]).join(areas, "node").select("id", "class", "n", F.col("component").alias("area")), areas, alive)
     groups, large = _first_groups(classes)
     keys = ["id", "class"]
-    links = staged(_links(groups.join(_sets_of(narrow, classes), keys), parts))
+    links = staged(_links(groups.join(_only(sets, "shingles", classes).drop("n"), keys), parts))
     linked = connected_components(links)
     if not large.isEmpty():
         groups = staged(_second_groups(large, linked))
-        more = _links(groups.join(_sets_of(narrow, groups), keys), parts)
+        more = _links(groups.join(_only(sets, "shingles", groups).drop("n"), keys), parts)
         linked = connected_components(links.unionByName(more))
         dropped(groups)
-    dropped(links, classes)
+    dropped(links, classes, sets)
     labels = least.join(linked, least["id"] == linked["node"], "left").select(least["class"], F.coalesce("component", "id").alias("component_id"))
     alone = rows.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
     out = known.select("id", "n", "class").join(labels, "class").select("id", "n", "component_id").unionByName(alone)
