@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,28 +46,28 @@ def dropped(*done: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node reachable.
 
     Alternating large and small stars: every node sends its larger, then its
     smaller neighbours to the smallest node it knows, until nothing changes. Each
-    round is staged; minima combine before the shuffle, so hubs do no harm.
+    round is staged, and a count and checksum of it are observed as it is written;
+    minima combine before the shuffle, so hubs do no harm.
     """
-    e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = _mark(e)
+
+    def written(e: DataFrame, *done: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        out = staged(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), *done)
+        return out, seen.get
+
+    e, mark = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), F.col("m")))).alias("p"))
-        e = staged(small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b").distinct(), large, e)
-        now = _mark(e)
+        e, now = written(small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b").distinct(), e)
         if now == mark:
             break
         mark = now

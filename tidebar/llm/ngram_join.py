@@ -37,7 +37,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components, dropped, staged
@@ -303,26 +303,26 @@ def _split(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.repeat(length > PAIRED, length)
 
 
+def stars(edges: np.ndarray) -> list[tuple[int, int]]:
+    """(node, smallest node connected with it) for every other node of the edges."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x, y in edges.tolist():
+        x, y = top(x), top(y)
+        root[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in list(root) if top(x) != x]
+
+
 def forest(edges: np.ndarray) -> np.ndarray:
     """Edges that connect the same nodes, fewer than there are nodes."""
-    edges = edges[edges[:, 0] != edges[:, 1]]
     if not len(edges):
         return edges
-    edges = np.unique(np.sort(edges, axis=1), axis=0)
-    names, at = np.unique(edges, return_inverse=True)
-    root = list(range(len(names)))
-    keep = []
-    for k, (x, y) in enumerate(at.reshape(-1, 2).tolist()):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        while root[y] != y:
-            root[y] = root[root[y]]
-            y = root[y]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(k)
-    return edges[keep]
+    return np.array(stars(np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)), np.int64).reshape(-1, 2)
 
 
 def _candidates(sets: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
@@ -489,7 +489,11 @@ def connecting_pairs(sets: list[np.ndarray], split: int | None = None, known: np
 
 
 def _links(rows: DataFrame, parts: int) -> DataFrame:
-    """Edges (a, b) by id from (group, side, id, class, known, shingles): a group's side 0 meets side 1, or itself if there is no other."""
+    """Edges (a, b, whole) by id from (group, side, whole, id, class, known, shingles): a group's side 0 meets side 1, or itself if there is no other.
+
+    Each edge ties a class to the smallest id of those that the group connects;
+    ``whole``: the group is a whole area, so these are its components.
+    """
 
     def join(slot: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -501,11 +505,12 @@ def _links(rows: DataFrame, parts: int) -> DataFrame:
             sets, names, known = [sets[k] for k in order], group["id"].to_numpy()[order], group["known"].to_numpy()[order]
             both, split = side.any(), int((side == 0).sum())
             if len(sets) > 1 and (split or not both):
-                found += [(names[p], names[q]) for p, q in connecting_pairs(sets, split if both else None, known)]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                pairs = np.array([(names[p], names[q]) for p, q in connecting_pairs(sets, split if both else None, known)], np.int64).reshape(-1, 2)
+                found += [(a, b, bool(group["whole"].iloc[0])) for a, b in stars(pairs)]
+        return pd.DataFrame(found, columns=["a", "b", "whole"]).astype({"a": "int64", "b": "int64", "whole": "bool"})
 
     slot = F.pmod(F.xxhash64("group"), F.lit(parts)).alias("slot")
-    return rows.select(slot, "group", "side", "id", "class", "known", "shingles").groupBy("slot").applyInPandas(join, "a bigint, b bigint")
+    return rows.select(slot, "group", "side", "whole", "id", "class", "known", "shingles").groupBy("slot").applyInPandas(join, "a bigint, b bigint, whole boolean")
 
 
 def _marked(classes: DataFrame, bits: int) -> np.ndarray:
@@ -553,47 +558,47 @@ def _only(rows: DataFrame, column: str, classes: DataFrame) -> DataFrame:
     return marked.mapInPandas(cut, "id bigint, class binary, n bigint, shingles binary")
 
 
-def _blocks(classes: DataFrame, name: str) -> DataFrame:
-    """Adds ``name``, the number of blocks of bounded size among the classes of the same area and band, and ``name``_i, the row's own."""
-    n = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    return classes.join(classes.groupBy("area", "band").agg(n.alias(name)), ["area", "band"]).withColumn(f"{name}_i", F.pmod(F.xxhash64("class"), F.col(name)).cast("int"))
+def _banded(classes: DataFrame) -> DataFrame:
+    return classes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)))
 
 
-def _met(classes: DataFrame, name: str) -> DataFrame:
-    """(area, band, other, j): the blocks j of band ``other`` that rows of ``band`` can link with."""
-    bands = F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band")
-    many = classes.groupBy("area", "band").agg(F.max(name).alias("many"))
-    return many.select("area", bands, F.col("band").alias("other"), "many").select("area", "band", "other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"))
+def _blocks(classes: DataFrame) -> DataFrame:
+    """(area, band, blocks): into how many blocks of bounded size the classes of an area and band go."""
+    return classes.groupBy("area", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
 
 
-def _first_groups(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows by group for a first round of links, the classes of large areas with band and block).
+def _in_block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int").alias("i")
 
-    A small area is one group. Each block of a large one is, together with its
-    area's hubs of close sizes.
-    """
-    areas = classes.groupBy("area").agg((F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES) > 1).alias("large"))
-    rows = classes.join(areas, "area")
-    large = _blocks(rows.where("large").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))), "blocks")
-    out = ["group", F.lit(0).alias("side"), "id", "class", F.col("id").alias("known")]
+
+def _met(bands: DataFrame) -> DataFrame:
+    """(area, band, other, j): the blocks j of band ``other`` that rows of ``band`` can link with."""
+    near = F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band")
+    return bands.select("area", near, F.col("band").alias("other"), "blocks").select("area", "band", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+
+
+def _first_groups(classes: DataFrame, large: DataFrame, bands: DataFrame) -> DataFrame:
+    """Rows by group for a first round of links: each small area, and each block of a large one with its area's hubs of close sizes."""
     chance = F.struct(F.xxhash64("class"), "class")
-    first = large.groupBy("area", "band", "blocks_i").agg(F.min_by(F.struct("id", "class"), chance).alias("x")).select("area", "band", "x.*")
+    first = large.groupBy("area", "band", "i").agg(F.min_by(F.struct("id", "class"), chance).alias("x")).select("area", "band", "x.*")
     place = F.row_number().over(Window.partitionBy("area", "band").orderBy(chance))
-    hubs = first.withColumn("place", place).where(F.col("place") <= HUBS).join(_met(large, "blocks"), ["area", "band"])
-    groups = rows.where("not large").withColumn("group", F.col("area").cast("string")).select(*out)
-    for part, names in ((large, ("area", "band", "blocks_i")), (hubs, ("area", "other", "j"))):
-        groups = groups.unionByName(part.withColumn("group", F.concat_ws(":", *names)).select(*out))
-    return groups, large
+    hubs = first.withColumn("place", place).where(F.col("place") <= HUBS).join(_met(bands), ["area", "band"])
+    small = classes.join(bands.select("area").distinct(), "area", "left_anti").select(F.col("area").cast("string").alias("group"), F.lit(0).alias("side"), F.lit(True).alias("whole"), "id", "class", F.col("id").alias("known"))
+    for part, names in ((large, ("area", "band", "i")), (hubs, ("area", "other", "j"))):
+        small = small.unionByName(part.withColumn("group", F.concat_ws(":", *names)).select("group", F.lit(0).alias("side"), F.lit(False).alias("whole"), "id", "class", F.col("id").alias("known")))
+    return small
 
 
-def _second_groups(large: DataFrame, found: DataFrame) -> DataFrame:
+def _second_groups(large: DataFrame, bands: DataFrame, found: DataFrame) -> DataFrame:
     """Rows by group in which the classes outside their area's largest component meet all blocks of close sizes."""
-    parted = large.join(found, large["id"] == found["node"], "left").withColumn("known", F.coalesce("component", "id"))
+    parted = staged(large.join(found, large["id"] == found["node"], "left").withColumn("known", F.coalesce("component", "id")).drop("node", "component"))
     most = parted.groupBy("area", "known").agg(F.count("*").alias("c")).groupBy("area").agg(F.max_by("known", F.struct("c", "known")).alias("main"))
-    rest = _blocks(parted.join(most, "area").where("known <> main"), "rests")
-    left = rest.join(_met(parted, "blocks"), ["area", "band"]).withColumn("group", F.concat_ws(":", "area", "band", "rests_i", "other", "j"))
-    right = parted.join(_met(rest, "rests"), ["area", "band"]).withColumn("group", F.concat_ws(":", "area", "other", "j", "band", "blocks_i"))
-    return reduce(DataFrame.unionByName, (rows.select("group", F.lit(side).alias("side"), "id", "class", "known") for side, rows in enumerate((left, right))))
+    rest = staged(parted.join(most, "area").where("known <> main").drop("main", "i", "blocks"))
+    few = staged(_blocks(rest))
+    left = rest.join(few, ["area", "band"]).withColumn("i", _in_block("blocks")).join(_met(bands), ["area", "band"]).withColumn("group", F.concat_ws(":", "area", "band", "i", "other", "j"))
+    right = parted.join(_met(few), ["area", "band"]).withColumn("group", F.concat_ws(":", "area", "other", "j", "band", "i"))
+    sides = (rows.select("group", F.lit(side).alias("side"), F.lit(False).alias("whole"), "id", "class", "known") for side, rows in enumerate((left, right)))
+    return staged(reduce(DataFrame.unionByName, sides), parted, rest, few)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -606,7 +611,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = staged(_screened(narrow, "text", SAMPLED, parts))
     known = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     least = known.groupBy("class", "node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.bool_or("alive").alias("alive"))
@@ -615,17 +620,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = staged(_only(sets, "shingles", alive).join(alive.select("id", "class"), ["id", "class"]).dropDuplicates(["id", "class"]), sets)
     areas = connected_components(_candidates(sets, _often_seen(sets), parts))
     classes = staged(alive.dropDuplicates(["id", "class"]).join(areas, "node").select("id", "class", "n", F.col("component").alias("area")), areas, alive)
-    groups, large = _first_groups(classes)
+    some = classes.groupBy("area").agg(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES).alias("x")).where("x > 1").select("area")
+    bands = staged(_blocks(_banded(classes).join(some, "area", "left_semi")))
+    large = _banded(classes).join(bands, ["area", "band"]).withColumn("i", _in_block("blocks"))
     keys = ["id", "class"]
-    links = staged(_links(groups.join(_only(sets, "shingles", classes).drop("n"), keys), parts))
-    linked = connected_components(links)
-    if not large.isEmpty():
-        groups = staged(_second_groups(large, linked))
-        more = _links(groups.join(_only(sets, "shingles", groups).drop("n"), keys), parts)
-        linked = connected_components(links.unionByName(more))
-        dropped(groups)
-    dropped(links, classes, sets)
-    labels = least.join(linked, least["id"] == linked["node"], "left").select(least["class"], F.coalesce("component", "id").alias("component_id"))
+    links = staged(_links(_first_groups(classes, large, bands).join(_only(sets, "shingles", classes).drop("n"), keys), parts))
+    whole = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if not bands.isEmpty() or not classes.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        # areas that were cut, and classes that share an id, are put together
+        every = links.select("a", "b")
+        groups = _second_groups(large, bands, connected_components(links.where("not whole").select("a", "b")))
+        more = staged(_links(groups.join(_only(sets, "shingles", groups).drop("n"), keys), parts), groups)
+        whole = connected_components(every.unionByName(more.select("a", "b")))
+        dropped(more, links)
+    dropped(classes, sets)
+    labels = least.join(whole, least["id"] == whole["node"], "left").select(least["class"], F.coalesce("component", "id").alias("component_id"))
     alone = rows.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component_id"))
     out = known.select("id", "n", "class").join(labels, "class").select("id", "n", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
