@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textio import small_batches
 
 # The template's marks, and other control strings that must not appear unescaped in a text.
 OPEN, SAY, CLOSE = "<|turn|>", "<|say|>", "</s>"
@@ -60,6 +59,7 @@ MAPPINGS = [
     Mapping("instruction and output", fields=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction, input and output", fields=(("user", "instruction", "input"), ("assistant", "output"))),
 ]
+MAX_LAYOUTS = 100_000
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -71,6 +71,18 @@ def fingerprint(paths) -> str:
 BY_FINGERPRINT = {fingerprint(m.paths()): m for m in MAPPINGS}
 
 
+def mapping_of(paths: list[str]) -> Mapping | None:
+    """The mapping of a layout: the one of its fingerprint, or else the one with the most of its paths (the first listed of several) whose paths it has all; others are ignored."""
+    name = fingerprint(paths)
+    if name not in BY_FINGERPRINT:
+        here = set(paths)
+        fits = [m for m in MAPPINGS if m.paths() <= here]
+        if len(BY_FINGERPRINT) > MAX_LAYOUTS:
+            return max(fits, key=lambda m: len(m.paths()), default=None)
+        BY_FINGERPRINT[name] = max(fits, key=lambda m: len(m.paths()), default=None)
+    return BY_FINGERPRINT[name]
+
+
 def schema_paths(kind: T.DataType, stem: str = "") -> list[str]:
     """Paths of all leaves of a Spark type; lists are marked by []."""
     if isinstance(kind, T.StructType):
@@ -91,51 +103,56 @@ def value_paths(value, stem: str = "") -> list[str]:
 
 def turns_of(record: dict) -> list[tuple[str, str]] | None:
     """The canonical turns of a parsed record, or None when no mapping has its fingerprint."""
-    mapping = BY_FINGERPRINT.get(fingerprint(value_paths(record)))
+    mapping = mapping_of(value_paths(record))
     if mapping is None:
         return None
     as_text = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
     if mapping.fields:
         return [(role, "\n\n".join(t for p in paths if (t := as_text(record.get(p))))) for role, *paths in mapping.fields]
     rows = record[mapping.turns] if mapping.turns else [record]
-    return [(ROLE_NAMES.get(r := as_text(row.get(mapping.role)), r), as_text(row.get(mapping.text))) for row in rows]
+    if not all(isinstance(row, dict) for row in rows):
+        return None
+    names = ROLE_NAMES if mapping.role == "from" else {}
+    return [(names.get(r := as_text(row.get(mapping.role)), r), as_text(row.get(mapping.text))) for row in rows]
 
 
-def turns_from_json(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+def turns_from_json(df: DataFrame, id_col: str, json_col: str, turn_col: str | None = None) -> DataFrame:
     """(id, turn, role, text) of JSON records of any known layouts, each by its own fingerprint.
 
+    Turns are numbered within the record, from ``turn_col`` on if there is one.
     Records that don't parse or whose layout is unknown give one row with turn -1
-    and the record as its text, so that nothing is lost.
+    and the record as its text, so that nothing is lost; a null record's text is
+    empty. Repeated records and null ids are kept; other columns are ignored.
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for name, raw in zip(batch["id"], batch["json"], strict=True):
+            for name, begin, raw in zip(batch["id"], batch["begin"], batch["json"], strict=True):
                 try:
                     record = json.loads(raw)
                     turns = turns_of(record) if isinstance(record, dict) else None
-                except (TypeError, ValueError):
+                except (TypeError, ValueError, RecursionError):
                     turns = None
-                rows += [(name, -1, "", raw)] if turns is None else [(name, k, r, t) for k, (r, t) in enumerate(turns)]
+                rows += [(name, -1, "", raw or "")] if turns is None else [(name, begin + k, r, t) for k, (r, t) in enumerate(turns)]
             yield pd.DataFrame(rows, columns=[id_col, "turn", "role", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return small_batches(df.select(F.col(id_col).alias("id"), F.col(json_col).alias("json"))).mapInPandas(explode, f"`{id_col}` {kind}, turn bigint, role string, text string")
+    begin = F.coalesce(F.col(turn_col).cast("long"), F.lit(0)) if turn_col else F.lit(0)
+    return df.select(F.col(id_col).alias("id"), begin.cast("long").alias("begin"), F.col(json_col).alias("json")).mapInPandas(explode, f"`{id_col}` {kind}, turn bigint, role string, text string")
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
     """(id, turn, role, text) of a table, whose layout is known by its schema's fingerprint.
 
-    Columns that no mapping names are ignored. A table of turn rows keeps its turn
-    column; otherwise a row is a conversation and its turns are numbered. Null
-    roles and texts become empty.
+    Columns beside those of the mapping are ignored, whatever their names. A table
+    of turn rows keeps its turn column and its roles; otherwise a row is a
+    conversation and its turns are numbered. Null roles and texts become empty;
+    repeated rows are kept; an empty table gives no rows.
     """
-    known = {p for m in MAPPINGS for p in m.paths()}
-    here = [p for p in schema_paths(df.schema) if p in known]
-    mapping = BY_FINGERPRINT.get(fingerprint(here))
+    mapping = mapping_of([p for p in schema_paths(df.schema) if p not in (id_col, turn_col)])
     if mapping is None:
-        raise ValueError(f"no mapping has the layout {sorted(here)}")
+        raise ValueError(f"no mapping has the layout {sorted(schema_paths(df.schema))}")
     if mapping.fields:
         each = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *(F.when(F.col(p) != "", F.col(p)) for p in paths)).alias("text")) for role, *paths in mapping.fields]
         rows = df.select(F.col(id_col), F.posexplode(F.array(*each)).alias("turn", "t"))
@@ -143,10 +160,12 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     elif mapping.turns:
         rows = df.select(F.col(id_col), F.posexplode(mapping.turns).alias("turn", "t"))
         role, text = F.col(f"t.{mapping.role}"), F.col(f"t.{mapping.text}")
+        if mapping.role == "from":
+            names = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
+            role = F.coalesce(F.try_element_at(names, role), role)
     else:
         rows, role, text = df.withColumn("turn", F.col(turn_col)), F.col(mapping.role), F.col(mapping.text)
-    names = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
-    return rows.select(F.col(id_col), F.col("turn").cast("long"), F.coalesce(F.try_element_at(names, role), role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return rows.select(F.col(id_col), F.col("turn").cast("long"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def escape(text: str) -> str:
@@ -176,6 +195,8 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
     Only assistants' texts are under the mask; other turns have it empty. A
     conversation's text is its turns' texts in order of turn, without separators.
+    Empty texts are turns too, repeated rows are turns of their own, and an empty
+    table gives no rows; other columns are ignored.
     """
 
     @F.pandas_udf("formatted string, loss_start bigint, loss_end bigint")
@@ -187,7 +208,7 @@ def format_turns(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
             rows.append((whole, begin, len(whole) - len(CLOSE) if role == "assistant" else begin))
         return pd.DataFrame(rows, columns=["formatted", "loss_start", "loss_end"])
 
-    return small_batches(turns).select(F.col(id_col), "turn", formatted("role", "text").alias("f")).select(id_col, "turn", "f.*")
+    return turns.select(F.col(id_col), "turn", formatted("role", "text").alias("f")).select(id_col, "turn", "f.*")
 
 
 def conversation_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -229,4 +250,4 @@ def conversation_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataF
 
     kind = formatted.schema[id_col].dataType.simpleString()
     ordered = formatted.repartition(id_col).sortWithinPartitions(id_col, "turn", "formatted")
-    return small_batches(ordered).mapInPandas(digest, f"`{id_col}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return ordered.mapInPandas(digest, f"`{id_col}` {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -8,9 +8,10 @@ mismatches that it may have leaves one of them whole. Around every hit, document
 and item are compared token by token along the hit's diagonal, and a window with
 enough equal tokens confirms it. Scripts without spaces have a token by character.
 
-The index goes to the tasks as a broadcast while it has at most ``MAX_INDEX``
-entries; a larger benchmark is cut into parts of that size that are matched in
-turn against all documents, so that no broadcast ever exceeds the bound.
+The index goes to the tasks as a broadcast of at most ``MAX_INDEX`` entries. A
+larger benchmark is cut into parts of that size; each is matched against all
+documents in a pass of its own, whose hits are staged before its broadcast is
+destroyed, so that driver and tasks never hold more than one part.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import _GRAM, PLAIN, Words, mix, sliced, small_batches
+from .graph import staged
+from .textio import _GRAM, PLAIN, Words, mix, sliced
 
 # For windows of so many tokens with so many mismatches, seeds of which one agrees whatever the places of
 # the mismatches; 1 is a token that must agree. The heaviest come first.
@@ -162,11 +167,15 @@ class Index:
         return [(t, i, -p, s) for (t, i), (s, p) in sorted(best.items())]
 
 
+def _entries(text: str) -> int:
+    return max(map(len, LOSSLESS.values())) * (len(text) + 1)
+
+
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
     """The items in parts of at most ``limit`` index entries."""
     part, size = [], 0
     for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull()).orderBy(item_col, text_col).toLocalIterator(prefetchPartitions=False):
-        need = max(map(len, LOSSLESS.values())) * (len(row[1]) + 1)
+        need = _entries(row[1])
         if part and size + need > limit:
             yield part
             part, size = [], 0
@@ -176,44 +185,80 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> It
         yield part
 
 
+def _found(df: DataFrame, part: list[tuple], names: list[str], window: int, share: float, kinds: tuple[str, str]) -> tuple[DataFrame, Broadcast]:
+    """(id, items) of every row of (id, text) for one part of the benchmark, and the part's broadcast."""
+    held = df.sparkSession.sparkContext.broadcast(Index(part, window, share))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: list[list[dict]] = [[] for _ in range(len(batch))]
+            index = held.value
+            for start, texts in sliced(map(spaced, batch["text"]), fold=True):
+                for text, item, token, equal in index.search(texts):
+                    found[start + text].append({"item": index.ids[item], "token": token, "equal": equal})
+            yield pd.DataFrame({names[0]: batch[names[0]], "items": found})
+
+    return df.mapInPandas(search, f"`{names[0]}` {kinds[0]}, items array<struct<item:{kinds[1]},token:bigint,equal:bigint>>"), held
+
+
 def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, max_index: int = MAX_INDEX) -> DataFrame:
     """(id, items array<struct<item, token, equal>>) for every row: the benchmark items found in its whole text.
 
     An item is found where some ``window`` consecutive tokens (all of a shorter
     item's) agree with the text in ``share`` of places or more, and none is missed.
     Items of less than ``MIN_TOKENS`` tokens, null items and null or empty texts
-    match nothing. Repeated rows and null ids are kept; other columns are ignored.
+    match nothing; items that are equal are all found. Repeated rows and null ids
+    are kept; other columns are ignored; an empty table gives no rows, and an empty
+    benchmark no items.
     """
-    spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
-    item_kind = benchmark.schema[item_col].dataType.simpleString()
-    rows = small_batches(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
-    indexes = [spark.sparkContext.broadcast(Index(part, window, share)) for part in _parts(benchmark, item_col, item_text, max_index)]
+    kinds = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    parts = _parts(benchmark, item_col, item_text, max_index)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return _found(rows, first, ["id"], window, share, kinds)[0].withColumnRenamed("id", id_col)
+    # rows of equal id and text have equal items, so hits go by both
+    keyed = rows.select(F.xxhash64("id", "text").alias("key"), "text")
+    hits = []
+    for part in chain((first, second), parts):
+        hits.append(_hits(keyed, part, window, share, kinds[1]))
+    every = reduce(DataFrame.unionByName, hits).groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"))
+    none = F.array().cast(every.schema["items"].dataType)
+    return rows.withColumn("key", F.xxhash64("id", "text")).drop("text").join(every, "key", "left").select(F.col("id").alias(id_col), F.coalesce("items", none).alias("items"))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: list[list[dict]] = [[] for _ in range(len(batch))]
-            for start, texts in sliced(map(spaced, batch["text"]), fold=True):
-                for held in indexes:
-                    index = held.value
-                    for text, item, token, equal in index.search(texts):
-                        found[start + text].append({"item": index.ids[item], "token": token, "equal": equal})
-            yield pd.DataFrame({id_col: batch["id"], "items": found})
 
-    return rows.mapInPandas(search, f"`{id_col}` {kind}, items array<struct<item:{item_kind},token:bigint,equal:bigint>>")
+def _hits(keyed: DataFrame, part: list[tuple], window: int, share: float, kind: str) -> DataFrame:
+    """(key, items) of the rows in which an item of the part is found, once a key; staged, with the part's broadcast gone."""
+    found, held = _found(keyed, part, ["key"], window, share, ("bigint", kind))
+    out = staged(found.where(F.size("items") > 0).dropDuplicates(["key"]))
+    held.destroy()
+    return out
+
 
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, max_index: int = MAX_INDEX) -> DataFrame:
+    """The rows in whose text no benchmark item is found, with all their columns.
+
+    Rows with null or empty texts stay, as do repeated rows and null ids; an empty
+    benchmark drops nothing. A benchmark of several parts takes a pass for each.
+    """
+    parts = _parts(benchmark, item_col, item_text, max_index)
+    part = next(parts, None)
+    while part is not None:
+        held, after = df.sparkSession.sparkContext.broadcast(Index(part, window, share)), next(parts, None)
+        df = df.where(~_hit(held)(F.col(text_col)))
+        if after is not None:
+            df = staged(df)
+            held.destroy()
+        part = after
+    return df
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, share: float = SHARE, max_index: int = MAX_INDEX) -> DataFrame:
-    """The rows in whose text no benchmark item is found, with all their columns."""
-    spark = df.sparkSession
-    indexes = [spark.sparkContext.broadcast(Index(part, window, share)) for part in _parts(benchmark, "item_id", "text", max_index)]
 
+def _hit(held: Broadcast):
     @F.pandas_udf("boolean")
     def hit(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts), bool)
         for start, some in sliced(map(spaced, texts), fold=True):
-            for held in indexes:
-                out[[start + t for t, *_ in held.value.search(some)]] = True
+            out[[start + t for t, *_ in held.value.search(some)]] = True
         return pd.Series(out)
 
-    return small_batches(df).where(~hit(F.col(text_col)))
+    return hit

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .textio import PLAIN, Words, sliced, small_batches
+from .textio import PLAIN, Words, sliced
 
 GAP = 40
 #: The MIT license has 47 words between its first two known sentences.
@@ -43,6 +43,47 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice",
     "bsd-names": "may be used to endorse or promote products derived from this software without specific prior written permission",
     "reserved": "All rights reserved",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS",
+    "lgpl-free": "is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    "lgpl-version-2.1": "either version 2.1 of the License, or (at your option) any later version",
+    "agpl-free": "is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    "gpl2-short": "licensed under the GNU General Public License, version 2",
+    "gpl2-or-later-short": "licensed under the GNU General Public License, version 2 or later",
+    "gpl3-or-later-short": "licensed under the GNU General Public License, version 3 or later",
+    "lgpl2.1-short": "licensed under the GNU Lesser General Public License, version 2.1",
+    "lgpl3-short": "licensed under the GNU Lesser General Public License, version 3",
+    "agpl3-short": "licensed under the GNU Affero General Public License, version 3",
+    "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "mpl-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "epl-1": "made available under the terms of the Eclipse Public License v1.0",
+    "epl-2": "made available under the terms of the Eclipse Public License 2.0",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-notice": "provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES",
+    "zlib-as-is": "This software is provided as-is, without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "zlib-origin": "The origin of this software must not be misrepresented",
+    "boost-short": "Distributed under the Boost Software License, Version 1.0",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
+    "cc0-short": "licensed under CC0 1.0",
+    "cc0-waived": "has waived all copyright and related or neighboring rights",
+    "cc-by-3": "Licensed under CC BY 3.0",
+    "cc-by-sa-3": "Licensed under CC BY-SA 3.0",
+    "cc-by-nd-4": "Licensed under CC BY-ND 4.0",
+    "cc-by-nc-sa-4": "Licensed under CC BY-NC-SA 4.0",
+    "cc-by-nc-nd-4": "Licensed under CC BY-NC-ND 4.0",
+    "cc-by-4-long": "licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4-long": "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-4-long": "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nd-4-long": "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-sa-4-long": "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+    "cc-by-nc-nd-4-long": "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+    "cc-by-3-long": "licensed under a Creative Commons Attribution 3.0 Unported License",
+    "cc-by-sa-3-long": "licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License",
+    "artistic-2": "under the terms of the Artistic License 2.0",
+    "public-domain": "dedicated to the public domain",
 }
 # The ordered rules; the first rule that matches at a place wins.
 RULES = [
@@ -56,6 +97,43 @@ RULES = [
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
     ("CC-BY-4.0", ("cc-by-4",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
+    ("LGPL-3.0-or-later", ("lgpl-free", "gpl-version-3")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-version-2.1")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-version-3")),
+    ("GPL-3.0-or-later", ("gpl3-or-later-short",)),
+    ("GPL-2.0-or-later", ("gpl2-or-later-short",)),
+    ("GPL-2.0-only", ("gpl2-short",)),
+    ("LGPL-2.1-only", ("lgpl2.1-short",)),
+    ("LGPL-3.0-only", ("lgpl3-short",)),
+    ("AGPL-3.0-only", ("agpl3-short",)),
+    ("MPL-2.0", ("mpl-subject", "mpl-obtain")),
+    ("MPL-2.0", ("mpl-subject",)),
+    ("MPL-1.1", ("mpl-1.1",)),
+    ("EPL-1.0", ("epl-1",)),
+    ("EPL-2.0", ("epl-2",)),
+    ("ISC", ("isc-grant", "isc-notice", "isc-as-is")),
+    ("ISC", ("isc-grant", "isc-notice")),
+    ("Zlib", ("zlib-as-is", "zlib-grant", "zlib-origin")),
+    ("BSL-1.0", ("boost-short",)),
+    ("Unlicense", ("unlicense-free",)),
+    ("WTFPL", ("wtfpl",)),
+    ("CC0-1.0", ("cc0-short",)),
+    ("CC0-1.0", ("cc0-waived",)),
+    ("CC-BY-3.0", ("cc-by-3",)),
+    ("CC-BY-SA-3.0", ("cc-by-sa-3",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4",)),
+    ("CC-BY-4.0", ("cc-by-4-long",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-long",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-long",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-4-long",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-4-long",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-4-long",)),
+    ("CC-BY-3.0", ("cc-by-3-long",)),
+    ("CC-BY-SA-3.0", ("cc-by-sa-3-long",)),
+    ("Artistic-2.0", ("artistic-2",)),
+    ("public-domain", ("public-domain",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("all-rights-reserved", ("reserved",)),
@@ -152,5 +230,5 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pd.DataFrame({id_col: batch["id"], "matches": matches, "sentences": [[n for *_, n in s] for s in found]})
 
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = small_batches(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
+    narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return narrow.mapInPandas(scan, f"`{id_col}` {kind}, matches array<struct<license:string,first_word:bigint,end_word:bigint>>, sentences array<string>")

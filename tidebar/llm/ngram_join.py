@@ -647,10 +647,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Texts without words link with nothing, so all their rows stay.
     """
     unnamed = F.xxhash64(text_col).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    keyed = df.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), unnamed))
-    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    found = near_duplicates(keyed, "_key", text_col)
-    first = found.where(F.col("component_id") == F.col("_key")).select("_key").distinct()
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_col)))
-    kept = keyed.where(worded).join(first, "_key", "left_semi").withColumn("_place", place).where("_place = 1")
-    return kept.select(df.columns).unionByName(df.where(~worded))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), unnamed).alias("key"), F.col(text_col).alias("text"))
+    worded = lambda text: F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = near_duplicates(rows, "key", "text")
+    first = found.where(F.col("component_id") == F.col("key")).select("key").distinct()
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("text")))
+    kept = rows.where(worded("text")).join(first, "key", "left_semi").withColumn("place", place).where("place = 1")
+    return kept.select("row.*").unionByName(df.where(~worded(text_col)))

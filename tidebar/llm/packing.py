@@ -27,7 +27,6 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .textio import small_batches
 from .tokencount import byte_symbols
 
 LIMIT = 4096
@@ -220,5 +219,5 @@ def pack_documents(df: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: s
 
     kind = df.schema[id_col].dataType.simpleString()
     shape = f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_length bigint"
-    narrow = small_batches(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
+    narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return narrow.mapInPandas(pack, shape + ", ids array<int>" * with_ids)

@@ -1,9 +1,13 @@
 """Personal data: patterns propose spans, checksums confirm them, context words move their scores.
 
 The four base kinds are found by fixed patterns, leftmost and non-overlapping per
-kind. Account numbers (IBAN) are added: they have their country's length and are
-confirmed by mod 97. Every span has a score: the kind's own prior, raised by a
-passed checksum and by context words nearby.
+kind. Two are added: account numbers (IBAN), which have their country's length and
+pass mod 97, and social security numbers, of which the pattern alone says too
+little, so that only those with a context word nearby are spans. Every span has a
+score: the kind's own prior, raised by a passed checksum and by words nearby that
+speak for it, lowered by words that speak against it. Base spans are always
+listed; what is masked depends on the score, so that a version number isn't.
+All searches take time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -16,12 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import small_batches
 
 # Kinds in the order in which ties are listed, with prior score and replacement.
-KINDS = ["email", "ip", "card", "phone", "iban"]
+KINDS = ["email", "ip", "card", "phone", "iban", "ssn"]
 BASE = KINDS[:4]
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.6, "phone": 0.5, "iban": 0.6}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.6, "phone": 0.5, "iban": 0.6, "ssn": 0.3}
 CHECKED = {"card": 0.3, "iban": 0.3}
 CONTEXT = {
     "email": ("mail", "contact", "write"),
@@ -29,14 +32,18 @@ CONTEXT = {
     "card": ("card", "visa", "credit", "pay"),
     "phone": ("phone", "call", "tel", "mobile"),
     "iban": ("iban", "account", "bank", "transfer"),
+    "ssn": ("ssn", "social security", "social-security", "taxpayer"),
 }
-CONTEXT_CHARS, CONTEXT_GAIN = 40, 0.1
+AGAINST = {"ip": re.compile(r"\b(?:version|release|build|firmware|section|chapter)\b")}
+CONTEXT_CHARS, CONTEXT_GAIN, CONTEXT_LOSS, LEAST = 40, 0.2, 0.3, 0.5
 # The patterns.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match takes runs of digits whole, so one that fails at the run's begin fails at every digit of it.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
 IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){1,30}")
 # Characters of an IBAN by country.
@@ -105,7 +112,7 @@ def _ibans(text: str) -> list[tuple[int, int]]:
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) in code points, by start and then kind as listed."""
+    """(kind, start, end, score) in code points, by start and then kind as listed: all base spans, and others that score LEAST or more."""
     found = [("email", *m) for m in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
@@ -120,16 +127,23 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
                 if 9 <= sum(c in "0123456789" for c in m[0]) <= 15:
                     found.append(("phone", m.start(), m.end()))
         found += [("iban", *m) for m in _ibans(text)]
+        found += [("ssn", m.start(), m.end()) for m in SSN.finditer(text)]
     found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     out = []
     for kind, a, b in found:
         near = (text[max(0, a - CONTEXT_CHARS) : a] + " " + text[b : b + CONTEXT_CHARS]).lower()
-        gain = CONTEXT_GAIN if any(w in near for w in CONTEXT[kind]) else 0.0
-        out.append((kind, a, b, round(PRIOR[kind] + CHECKED.get(kind, 0.0) + gain, 3)))
+        score = PRIOR[kind] + CHECKED.get(kind, 0.0)
+        if any(w in near for w in CONTEXT[kind]):
+            score += CONTEXT_GAIN
+        elif kind in AGAINST and AGAINST[kind].search(near):
+            score -= CONTEXT_LOSS
+        score = round(min(score, 1.0), 3)
+        if kind in BASE or score >= LEAST:
+            out.append((kind, a, b, score))
     return out
 
 
-def mask(text: str, spans: list[tuple[str, int, int, float]], least: float = 0.5) -> str:
+def mask(text: str, spans: list[tuple[str, int, int, float]], least: float = LEAST) -> str:
     """The text with each span scored ``least`` or more, or joined overlapping ones, as the first one's [KIND]."""
     out, done = [], 0
     for kind, a, b, score in spans:
@@ -157,18 +171,18 @@ def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pd.DataFrame({id_col: batch["id"], "spans": spans})
 
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = small_batches(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
+    narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return narrow.mapInPandas(scan, f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,stop:bigint,score:double>>")
 
 
-def mask_pii(df: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def mask_pii(df: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The rows with personal data replaced in the text; a null text stays null, other columns are kept."""
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: mask(t, find_spans(t), least) if isinstance(t, str) else None)
 
-    return small_batches(df).withColumn(text_col, masked(F.col(text_col)))
+    return df.withColumn(text_col, masked(F.col(text_col)))
 
 
 def span_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

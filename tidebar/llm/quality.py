@@ -16,13 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import MARKED, Words, held_out, sliced, small_batches
-from .training import Ftrl, labelled_sample, sigmoid
+from .textio import MARKED, Words, held_out, sliced
+from .training import Ftrl, counted, labelled_sample, sigmoid
 
 BITS = 18
 SCALE = 20.0
 MAX_TRAIN = 8192
-SHARDS = 1
 EPOCHS = 4
 THRESHOLD = 0.3
 REPEAT = 0
@@ -42,14 +41,9 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([one, two]), np.concatenate([owner, np.repeat(np.arange(len(texts)), np.diff(first))])
 
 
-def _train(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
+def _train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
     model = Ftrl(1 << BITS, alpha=1.0, l1=0.02, l2=0.05)
     bias = Ftrl(1, alpha=0.5, l1=0.0, l2=0.0)
-    rows = []
-    for t in texts:
-        b, _ = buckets([t])
-        at, n = np.unique(b, return_counts=True)
-        rows.append((at, SCALE * n / max(1, n.sum())))
     rng = np.random.default_rng(5)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
@@ -62,22 +56,20 @@ def _train(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Bias and bucket weights, fitted on a bounded labelled sample (``rows``) in shards whose weights are averaged.
+    """Bias and bucket weights, fitted on a bounded labelled sample (``rows``) of bucket counts.
 
     Without labelled rows all weights are 0.
     """
-    sample = labelled_sample(docs, labels, label, rows, id_col, text_col)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        texts = [t for _, some in sliced(group["text"], fold=True) for t in some]
-        return pd.DataFrame({"rows": [len(group)], "weights": [_train(texts, group["label"].to_numpy(float)).tobytes()]})
+        group = group.sort_values(["key", "label"])
+        counts = [(np.frombuffer(a, np.int64), np.frombuffer(n, np.int64)) for a, n in zip(group["at"], group["n"], strict=True)]
+        shares = [(at, SCALE * n / max(1, n.sum())) for at, n in counts]
+        return pd.DataFrame({"weights": [_train(shares, group["label"].to_numpy(float)).tobytes()]})
 
-    shard = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(SHARDS))
-    fitted = sample.select(shard.alias("shard"), F.xxhash64(F.col(id_col), F.lit(2)).alias("key"), "text", "label").groupBy("shard").applyInPandas(fit, "rows bigint, weights binary").collect()
-    if not fitted:
-        return np.zeros((1 << BITS) + 1, np.float32)
-    return np.average([np.frombuffer(r["weights"], np.float32) for r in fitted], axis=0, weights=[r["rows"] for r in fitted]).astype(np.float32)
+    sample = counted(labelled_sample(docs, labels, label, rows, id_col, text_col), buckets, id_col)
+    fitted = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "weights binary").first()
+    return np.frombuffer(fitted["weights"], np.float32) if fitted else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score_texts(texts: list[bytes], weights: np.ndarray) -> np.ndarray:
@@ -102,5 +94,5 @@ def score_quality(df: DataFrame, weights: np.ndarray, threshold: float = THRESHO
             yield pd.DataFrame({id_col: batch["id"], "held_out": batch["held_out"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = small_batches(df.select(df[id_col].alias("id"), held_out(id_col).alias("held_out"), df[text_col].alias("text")))
+    narrow = df.select(df[id_col].alias("id"), held_out(id_col).alias("held_out"), df[text_col].alias("text"))
     return narrow.mapInPandas(score, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")

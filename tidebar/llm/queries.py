@@ -15,10 +15,15 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row is a record of its own layout, as are the two turns of conversation -1, and its fingerprint says where the turn is."""
     said = "</s>[INST] ok [/INST]"
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.conversation_digests(chat.format_turns(chat.canonical_turns(rows.unionByName(extra))))
+    rows = table(spark, sf_dir, "conversations")
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    rows = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), record.alias("record"))
+    messages = [F.struct(F.lit(r).alias("role"), F.lit(said).alias("content")) for r in ("user", "assistant")]
+    extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.to_json(F.struct(F.array(*messages).alias("messages"))).alias("record"))
+    turns = chat.turns_from_json(rows.unionByName(extra), "conv_id", "record", "turn")
+    return chat.conversation_digests(chat.format_turns(turns))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

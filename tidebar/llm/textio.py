@@ -125,12 +125,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
-    """Texts can be long, so Arrow batches carry few rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
 def held_out(doc_id: str = "doc_id"):
     """Whether crc32 of the id as text leaves no remainder by 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .textio import sliced, small_batches
+from .textio import sliced
 
 LONG_RUN = 2048
 LANE = 128
@@ -317,7 +317,7 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: str
             yield pd.DataFrame({id_col: batch["id"], "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
 
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = small_batches(df.select(df[id_col].alias("id"), df[text_col].alias("text")))
+    narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return narrow.mapInPandas(count, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import PLAIN, Words, held_out, sliced, small_batches
-from .training import Ftrl, labelled_sample, sigmoid
+from .textio import PLAIN, Words, held_out, sliced
+from .training import Ftrl, counted, labelled_sample, sigmoid
 
 MAX_TRAIN = 8192
 EPOCHS = 8
@@ -84,17 +84,15 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, size: in
     return model.weights(), t
 
 
-def _train(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashes, owners = features(texts)
-    keys, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-    common = n >= LEAST_SEEN
+def _train(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([a for a, _ in counts]), return_inverse=True)
+    seen = np.bincount(at, np.concatenate([c for _, c in counts]), len(keys))
+    common = seen >= LEAST_SEEN
     number = np.cumsum(common) - 1
-    order = np.argsort(owners, kind="stable")
-    ends = np.cumsum(np.bincount(owners, minlength=len(texts)))
     rows = []
-    for part in np.split(at[order], ends[:-1]):
-        i, n = np.unique(number[part[common[part]]], return_counts=True)
-        rows.append((i, np.minimum(n, MAX_COUNT).astype(float)))
+    for part, (_, c) in zip(np.split(at, np.cumsum([len(a) for a, _ in counts])[:-1]), counts, strict=True):
+        some = common[part]
+        rows.append((number[part[some]], np.minimum(c[some], MAX_COUNT).astype(float)))
     keys = keys[common]
     w, _ = _fit(rows, toxic, len(keys), 1)
     score = np.array([w[i] @ x for i, x in rows])
@@ -105,16 +103,16 @@ def _train(texts: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model fitted on a bounded labelled sample (``rows``), in one task; without labelled rows, one that scores everything 0.5."""
-    sample = labelled_sample(docs, labels, label, rows, id_col, text_col)
+    """A model fitted on a bounded labelled sample (``rows``) of feature counts, in one task; without labelled rows, one that scores everything 0.5."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("key")
-        texts = [t for _, some in sliced(group["text"], fold=True) for t in some]
-        parts = _train(texts, (group["label"].to_numpy() > 0).astype(int))
+        group = group.sort_values(["key", "label"])
+        counts = [(np.frombuffer(a, np.uint64), np.frombuffer(n, np.int64)) for a, n in zip(group["at"], group["n"], strict=True)]
+        parts = _train(counts, (group["label"].to_numpy() > 0).astype(int))
         return pd.DataFrame([[p.tobytes() for p in parts]], columns=["keys", "weights", "cuts"])
 
-    fitted = sample.select(F.lit(0).alias("one"), F.xxhash64(id_col).alias("key"), "text", "label").groupBy("one").applyInPandas(fit, "keys binary, weights binary, cuts binary").first()
+    sample = counted(labelled_sample(docs, labels, label, rows, id_col, text_col), features, id_col)
+    fitted = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "keys binary, weights binary, cuts binary").first()
     if fitted is None:
         return Model(np.empty(0, np.uint64), np.empty(0), np.zeros(2))
     return Model(np.frombuffer(fitted["keys"], np.uint64), np.frombuffer(fitted["weights"]), np.frombuffer(fitted["cuts"]))
@@ -138,5 +136,5 @@ def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
             yield pd.DataFrame({id_col: batch["id"], "held_out": batch["held_out"], "p_toxic": p[:, 0], "expected_severity": p.sum(axis=1), "grade": mass.argmax(axis=1).astype(np.int32), "toxic": p[:, 0] >= 0.5})
 
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = small_batches(df.select(df[id_col].alias("id"), held_out(id_col).alias("held_out"), df[text_col].alias("text")))
+    narrow = df.select(df[id_col].alias("id"), held_out(id_col).alias("held_out"), df[text_col].alias("text"))
     return narrow.mapInPandas(score, f"`{id_col}` {kind}, held_out boolean, p_toxic double, expected_severity double, grade int, toxic boolean")

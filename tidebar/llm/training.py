@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import held_out, small_batches
+from .textio import held_out, sliced
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, label) of at most ``rows`` labelled documents outside the held-out fold, those with the smallest hashed ids.
 
-    A document labelled more than once counts once, with its larger label; null
-    labels are left out. Only the bounded list of ids is broadcast.
+    A document labelled more than once counts once, with its larger label, and so
+    does one with several rows; null labels are left out. Only the bounded list of
+    ids is broadcast.
     """
     chosen = (
         labels.where(~held_out(id_col) & F.col(label).isNotNull())
@@ -23,7 +27,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
         .limit(rows)
     )
     texts = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    return small_batches(texts.join(F.broadcast(chosen), id_col))
+    return texts.join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+
+
+def counted(sample: DataFrame, features, id_col: str = "doc_id") -> DataFrame:
+    """(key, label, at, n): for each text its distinct features and their counts as bytes, made where the texts are, so that no text travels.
+
+    ``features``: from texts to (feature of every occurrence, number of its text).
+    ``key`` orders the rows the same way each time.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start, texts in sliced(batch["text"], fold=True):
+                found, owner = features(texts)
+                order = np.argsort(owner, kind="stable")
+                rows = []
+                for part in np.split(found[order], np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]):
+                    at, n = np.unique(part, return_counts=True)
+                    rows.append((at.tobytes(), n.astype(np.int64).tobytes()))
+                here = batch.iloc[start : start + len(texts)]
+                yield pd.DataFrame({"key": here["key"].to_numpy(), "label": here["label"].to_numpy(), "at": [a for a, _ in rows], "n": [n for _, n in rows]})
+
+    return sample.select(F.xxhash64(F.col(id_col), F.lit(2)).alias("key"), "label", "text").mapInPandas(count, "key bigint, label int, at binary, n binary")
 
 
 class Ftrl:
