@@ -16,29 +16,30 @@ from tidebar.llm.textio import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    judged = rules.apply_rules(docs, rules.trusted_ids(table(spark, sf_dir, "labels")))
-    return judged.where("kept").select(docs.columns)
+    """Documents that the rules keep. Those of null, empty or short texts go; repeated rows share a verdict; columns of any name stay as they are."""
+    own = docs.select(F.col("doc_id"), F.col("text"), F.struct(*docs.columns).alias("_row"))
+    judged = rules.apply_rules(own, rules.trusted_ids(table(spark, sf_dir, "labels")))
+    return judged.where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near duplicates."""
+    """The document with the smallest id of each component of near duplicates, one row of it; documents without words all stay."""
     return ngram_join.keep_one(docs).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found, repeated rows and null texts included."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked and ``n_chars`` of the new text."""
+    """All documents, with personal data masked and ``n_chars`` of the new text; a null text stays null."""
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences; a null text is an empty one."""
     return packing.pack_documents(docs, tokencount.vocabulary_path())
 
 
