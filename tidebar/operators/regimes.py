@@ -59,6 +59,7 @@ def regime_label(limits: dict | None = None) -> Column:
     at = {k: float((limits or {}).get(k, 0.0)) for k in ("trend_up", "trend_down", "vol_high", "vol_low", "liq_stress")}
     trend, vol, spread, z = (F.col(c) for c in ("trend", "vol", "range", "volume_z"))
     quiet = at["vol_low"] - vol
+    # The labels in the order in which equal scores are decided, with the terms of each one's score.
     scores = {
         "Trending up": trend - at["trend_up"],
         "Trending down": at["trend_down"] - trend,
@@ -91,17 +92,35 @@ def screen_features(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataF
 
 
 def screen(df: DataFrame, filters: dict, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """A row for each symbol: candles, average quote volume of 30 bars, worst drawdown of 60, and the first filter that it fails (null: none)."""
+    """A row for each symbol: candles, average quote volume of 30 bars, worst drawdown of 60, quote volume of the last 24 hours, and the first filter that it fails (null: none)."""
     w = Window.partitionBy(*keys).orderBy("ts")
     left = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("ts").desc()))
     # the peak counts from the start of the 60 bars, so earlier closes are blanked first
     df = df.withColumn("_left", left).withColumn("_late", F.when(F.col("_left") <= 60, F.col("close")))
     df = df.withColumn("_dd", F.try_divide(F.col("_late"), F.max("_late").over(w)) - 1)
+    day = F.unix_seconds(F.max("ts").over(Window.partitionBy(*keys))) - F.unix_seconds("ts") < 86400
+    df = df.withColumn("_today", F.when(day, F.col("close") * F.col("volume")))
     found = df.groupBy(*keys).agg(
         F.count("*").alias("candles"),
         F.coalesce(F.avg(F.when(F.col("_left") <= 30, F.col("close") * F.col("volume"))), F.lit(0.0)).alias("avg_quote_volume_30d"),
         F.coalesce(F.min("_dd"), F.lit(0.0)).alias("max_drawdown_60d"),
+        F.coalesce(F.sum("_today"), F.lit(0.0)).alias("quote_volume_24h"),
     )
     least, quote, worst = int(filters.get("min_candles", 0)), float(filters.get("min_avg_quote_volume_30d", 0)), float(filters.get("max_drawdown_60d", -1))
-    reason = F.when(F.col("candles") < least, "candles").when((F.lit(quote) > 0) & (F.col("avg_quote_volume_30d") < quote), "quote volume").when(F.col("max_drawdown_60d") < worst, "drawdown")
+    today = float(filters.get("min_quote_volume_24h", 0))
+    reason = F.when(F.col("candles") < least, "candles").when((F.lit(today) > 0) & (F.col("quote_volume_24h") < today), "24h quote volume").when((F.lit(quote) > 0) & (F.col("avg_quote_volume_30d") < quote), "quote volume").when(F.col("max_drawdown_60d") < worst, "drawdown")
     return found.withColumn("reason", reason)
+
+
+def horizon_quantiles(df: DataFrame, horizons: tuple[int, ...] = (30, 60), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """A row for each symbol: p25, p50 and p75 of the changes of the close over each number of bars."""
+    w = Window.partitionBy(*keys).orderBy("ts")
+    moves = df.select(*keys, *(_change(w, h).alias(f"_h{h}") for h in horizons))
+    return moves.groupBy(*keys).agg(*(F.percentile(f"_h{h}", q / 100).alias(f"p{q}_{h}") for h in horizons for q in (25, 50, 75)))
+
+
+def ranked(outlook: DataFrame) -> DataFrame:
+    """Adds score, a weighted sum of the median and lower changes over 30 and 60 bars, and rank, the greatest score first; symbols without one come last."""
+    score = 100 * F.col("p50_30") + 50 * F.col("p50_60") + 100 * F.col("p25_30")
+    # one row a symbol: the order of all is the report
+    return outlook.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "symbol")))

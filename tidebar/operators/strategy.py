@@ -1,23 +1,31 @@
 """Strategies: a declarative document becomes one lazy plan of bars, indicators, actions and account.
 
-Everything but the account's rounding recurrence is window expressions over one
-partitioning; the recurrence runs on the few trade events only.
+Bars are shuffled by key once; indicators and actions are window expressions over
+that partitioning. The account's rounding recurrence runs in one ordered pass that
+streams through the sorted bars and touches only the bars on which a trade opens
+or closes. What follows shares one more partitioning.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.indicators import INDICATORS, with_indicator
+from ..sources.bars import OHLCV, between, filled, first_values, regrid, resample, seconds
 
-OPERATORS = {">": "gt", "<": "lt", "=": "eq", "!=": "ne", ">=": "ge", "<=": "le"}
+OPERATORS = {">": "gt", "<": "lt", "=": "eq", ">=": "ge", "<=": "le", "!=": "ne"}
+REQUIRED = ("datapoints", "enter", "exit")
+#: Keys that say where a document's bars come from or how it is named.
+DESCRIPTIVE = {"name", "symbol", "exchange", "strategy_name", "comment", "chart_start", "chart_stop", "lot_size_perc"}
 
 
 @dataclass(frozen=True)
@@ -36,49 +44,93 @@ class Strategy:
     max_lot_size: float = 0.0
     exit_on_end: bool = False
     rules: list = field(default_factory=list)
+    freq: str | None = None
+    start: object = None
+    stop: object = None
 
     @classmethod
-    def of(cls, document: dict) -> Strategy:
-        """From a document; null lists are empty, a null lot size is 1, unknown keys are ignored."""
-        known = {k: v for k, v in document.items() if k in cls.__dataclass_fields__ and v is not None}
-        out = cls(**known)
-        errors = out.errors()
+    def of(cls, document: Mapping, complete: bool = False) -> Strategy:
+        """From a document; null values are the defaults, and chart_period stands for freq.
+
+        ``complete``: the document must have all required keys, and its logics may
+        only name columns of bars and datapoints.
+        """
+        errors = validate(document, complete)
         if errors:
-            raise ValueError("; ".join(errors))
-        return out
+            raise ValueError("; ".join(f"{k}: {m}" for k, found in errors.items() for m in found))
+        known = {k: v for k, v in document.items() if k in cls.__dataclass_fields__ and v is not None}
+        if document.get("chart_period"):
+            known["freq"] = document["chart_period"]
+        return cls(**known | {"lot_size": known.get("lot_size") or 1.0})
 
     def errors(self) -> list[str]:
-        """What is wrong with the document, as messages."""
-        names = [d.get("name") for d in self.datapoints]
-        found = [f"datapoint {d.get('name')}: unknown transformer {d.get('transformer')}" for d in self.datapoints if d.get("transformer") not in INDICATORS]
-        found += [f"datapoint {d.get('name')}: a freq of its own is not built" for d in self.datapoints if d.get("freq") is not None]
-        for group in ("enter", "exit", "any_enter", "any_exit"):
-            for logic in getattr(self, group) or []:
-                if len(logic) not in (3, 4) or logic[1] not in OPERATORS:
-                    found.append(f"{group}: not a logic: {logic}")
-                elif len(logic) == 4 and int(logic[3] or 0) < 0:
-                    found.append(f"{group}: negative lookback: {logic}")
-        if not 0 <= float(self.lot_size) <= 1:
-            found.append("lot_size must lie between 0 and 1")
-        if len(set(names)) < len(names):
-            found.append("datapoint names must differ")
-        return found
+        """What is wrong, as messages."""
+        return [m for found in validate({f: getattr(self, f) for f in self.__dataclass_fields__}, False).values() for m in found]
+
+
+def validate(document: Mapping, complete: bool = True) -> dict[str, list[str]]:
+    """What is wrong with a document: messages by key."""
+    found: dict[str, list[str]] = {}
+    say = lambda key, message: found.setdefault(key, []).append(message)
+    for key in REQUIRED if complete else ():
+        if not document.get(key) and (key != "datapoints" or document.get(key) is None):
+            say(key, "is missing")
+    known = set(Strategy.__dataclass_fields__) | DESCRIPTIVE | {"chart_period"}
+    for key in document.keys() - known:
+        say(key, "is not known")
+    for key in ("freq", "chart_period"):
+        if document.get(key):
+            try:
+                seconds(document[key])
+            except ValueError as e:
+                say(key, str(e))
+    points = document.get("datapoints") or []
+    names = [d.get("name") for d in points]
+    for d in points:
+        if d.get("transformer") not in INDICATORS:
+            say("datapoints", f"{d.get('name')}: unknown transformer {d.get('transformer')}")
+        if d.get("freq"):
+            try:
+                seconds(d["freq"])
+            except ValueError as e:
+                say("datapoints", f"{d.get('name')}: {e}")
+    if len(set(names)) < len(names) or None in names:
+        say("datapoints", "names must be given and differ")
+    heads = [f"{d.get('name')}_{d.get('transformer')}_" for d in points]
+    for group in ("enter", "exit", "any_enter", "any_exit"):
+        for rule in document.get(group) or []:
+            if len(rule) not in (3, 4):
+                say(group, f"not a logic: {rule}")
+                continue
+            if rule[1] not in OPERATORS or rule[1] == "!=":
+                say(group, f"unknown operator {rule[1]}")
+            if len(rule) == 4 and int(rule[3] or 0) < 0:
+                say(group, f"negative lookback: {rule}")
+            for x in (rule[0], rule[2]) if complete else ():
+                if isinstance(x, str) and number(x) is None and x not in (*names, *OHLCV) and not any(x.startswith(h) for h in heads):
+                    say(group, f"{x} is no datapoint")
+    if not 0 <= float(document.get("lot_size") or 0) <= 1:
+        say("lot_size", "must lie between 0 and 1")
+    return found
+
+
+def number(x) -> float | None:
+    """A number, or text that is one."""
+    if isinstance(x, (int, float)) and not isinstance(x, bool):
+        return float(x)
+    return float(x) if isinstance(x, str) and re.fullmatch(r"\d+|-?\d+\.\d+", x) else None
 
 
-def operand(x) -> Column:
-    """A number, text that is a number, or a column's name."""
-    if isinstance(x, (int, float)) and not isinstance(x, bool):
-        return F.lit(float(x))
-    if re.fullmatch(r"\d+|-?\d+\.\d+", x):
-        return F.lit(float(x))
-    return F.col(x)
+def operand(x, names: Mapping[str, str] | None = None) -> Column:
+    """A number, text that is a number, or a column's name, which ``names`` may stand in for."""
+    value = number(x)
+    return F.lit(value) if value is not None else F.col((names or {}).get(x, x))
 
 
-def logic(rule: list, keys: Iterable[str] = ("symbol",)) -> Column:
+def logic(rule: list, keys: Iterable[str] = ("symbol",), names: Mapping[str, str] | None = None) -> Column:
     """Whether a logic holds, now and on the bars before that its lookback asks for; nulls hold nothing but !=."""
     left, op, right, *back = rule
-    a, b = operand(left), operand(right)
-    now = F.coalesce(getattr(a, f"__{OPERATORS[op]}__")(b), F.lit(op == "!="))
+    now = F.coalesce(getattr(operand(left, names), f"__{OPERATORS[op]}__")(operand(right, names)), F.lit(op == "!="))
     n = int(back[0] or 0) if back else 0
     if n < 2:
         return now
@@ -86,148 +138,404 @@ def logic(rule: list, keys: Iterable[str] = ("symbol",)) -> Column:
     return (F.count(F.lit(1)).over(w) == n) & F.min(now).over(w)
 
 
-def every(rules: list, keys=("symbol",)) -> Column:
-    return reduce(lambda a, b: a & b, (logic(r, keys) for r in rules)) if rules else F.lit(False)
+def every(rules: list, keys=("symbol",), names=None) -> Column:
+    return reduce(lambda a, b: a & b, (logic(r, keys, names) for r in rules)) if rules else F.lit(False)
+
+
+def some(rules: list, keys=("symbol",), names=None) -> Column:
+    return reduce(lambda a, b: a | b, (logic(r, keys, names) for r in rules)) if rules else F.lit(False)
+
+
+def action_of(s: Strategy, keys: tuple[str, ...] = ("symbol",), names: Mapping[str, str] | None = None) -> Column:
+    """The first of tsl, x, ax, e, ae that holds, otherwise h."""
+    found = F.when(every(s.exit, keys, names), "x").when(some(s.any_exit, keys, names), "ax").when(every(s.enter, keys, names), "e").when(some(s.any_enter, keys, names), "ae").otherwise("h")
+    if not s.trailing_stop_loss:
+        return found
+    return F.when(F.coalesce(F.col("close") <= stop_level(s, keys), F.lit(False)), "tsl").otherwise(found)
 
 
-def some(rules: list, keys=("symbol",)) -> Column:
-    return reduce(lambda a, b: a | b, (logic(r, keys) for r in rules)) if rules else F.lit(False)
+def stop_level(s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> Column:
+    """The trailing stop: a share of the highest close so far."""
+    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return F.max("close").over(w) * (1 - float(s.trailing_stop_loss))
 
 
 def with_actions(df: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Adds ``action``: the first of tsl, x, ax, e, ae that holds, otherwise h."""
-    action = F.when(every(s.exit, keys), "x").when(some(s.any_exit, keys), "ax").when(every(s.enter, keys), "e").when(some(s.any_enter, keys), "ae").otherwise("h")
-    if s.trailing_stop_loss:
-        w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn("trailing_stop_loss", F.max("close").over(w) * (1 - float(s.trailing_stop_loss)))
-        action = F.when(F.coalesce(F.col("close") <= F.col("trailing_stop_loss"), F.lit(False)), "tsl").otherwise(action)
-    return df.withColumn("action", action)
+    """Adds ``action`` and, where the strategy has one, the trailing_stop_loss."""
+    df = df.withColumn("trailing_stop_loss", stop_level(s, keys)) if s.trailing_stop_loss else df
+    return df.withColumn("action", action_of(s, keys))
+
+
+def _point(df: DataFrame, name: str, d: Mapping, keys: tuple[str, ...]) -> DataFrame:
+    """Adds a datapoint's columns; one of a coarser freq is computed on its own bars and shown from each one's first base bar on."""
+    have, args = df.columns, d.get("args") or ()
+    if d.get("freq"):
+        coarse = resample(df.select(*keys, "ts", *OHLCV), d["freq"], keys, empty=True)
+        coarse = coarse.withColumns({c: filled(c, keys) for c in OHLCV})
+        made = with_indicator(coarse, name, d["transformer"], args, keys)
+        df = df.join(made.drop(*OHLCV), [*keys, "ts"], "left")
+    else:
+        df = with_indicator(df, name, d["transformer"], args, keys)
+    return df.withColumns({c: filled(F.col(f"`{c}`"), keys) for c in df.columns if c not in have})
+
+
+def chart(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The bars on the grid of the strategy's freq, in its range, shuffled by key; gaps have no values."""
+    bars = between(first_values(bars, s.freq, keys) if s.freq else bars, s.start, s.stop).repartition(*keys)
+    return regrid(bars, s.freq, fill=False, keys=keys) if s.freq else bars
+
+
+def with_datapoints(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The chart with all datapoints. The first one sees the gaps; then the last values are carried forward, bars' and datapoints'."""
+    df = chart(bars, s, keys)
+    for k, d in enumerate(s.datapoints):
+        df = _point(df, d["name"], d, keys)
+        if s.freq and not k:
+            df = df.withColumns({c: filled(c, keys) for c in bars.columns if c not in (*keys, "ts")})
+    return df
 
 
 def _r8(x: float) -> float:
-    return round(x * 1e8) / 1e8
-
-
-def _fold(s: Strategy, keys: tuple[str, ...]):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ts")
-        cash, aux, rows = float(s.base_balance), 0.0, []
-        for code, close in zip(group["code"], group["close"], strict=True):
-            if code == 1:
-                amount = cash * float(s.lot_size)
-                if s.max_lot_size and amount > s.max_lot_size:
-                    amount = float(s.max_lot_size)
-                aux = _r8(amount / close)
-                fee = _r8(aux * s.comission / 100)
-                aux -= fee
-                cash = _r8(cash - amount)
-            else:
-                base = _r8(aux * close)
-                fee = _r8(base * s.comission / 100)
-                cash, aux = _r8(cash + base - fee), 0.0
-            rows.append((cash, aux, fee))
-        out = group[[*keys, "ts"]].copy()
-        out["_cash"], out["_aux"], out["fee"] = zip(*rows, strict=True)
-        return out
+    return np.rint(x * 1e8) / 1e8
+
+
+def trade(cash: float, aux: float, price: float, opens: bool, lot: float, cap: float, comission: float, plain: bool = False) -> tuple[float, float, float]:
+    """(cash, holdings, fee) after a trade; ``plain``: cash is rounded as a decimal, as for a first entry."""
+    if not opens:
+        base = _r8(aux * price)
+        fee = _r8(base * comission / 100)
+        return _r8(cash + base - fee), 0.0, fee
+    amount = min(cash * lot, cap) if cap else cash * lot
+    aux = _r8(amount / price)
+    fee = _r8(aux * comission / 100)
+    return round(cash - amount, 8) if plain else _r8(cash - amount), aux - fee, fee
+
+
+_TERMS = {"_base": "base_balance", "_lot": "lot_size", "_cap": "max_lot_size", "_fee": "comission"}
+
+
+def terms(s: Strategy) -> dict[str, Column]:
+    return {c: F.lit(float(getattr(s, f) or 0)) for c, f in _TERMS.items()}
+
+
+def _account(keys: list[str]):
+    """Streams bars sorted by key and time and adds cash, aux and fee; state is kept from batch to batch, and Python sees only the trades."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, fresh = None, (0.0, 0.0), True
+        for batch in batches:
+            n = batch.num_rows
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            at = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("close", "_event", "in_trade", *_TERMS)}
+            begins = np.array([k == 0 or names[k] != names[k - 1] for k in range(n)], bool)
+            if n and names[0] == key:
+                begins[0] = False
+            marks = np.flatnonzero(begins | at["_event"].astype(bool))
+            values = np.zeros((len(marks) + 1, 2))
+            values[0] = state
+            fees = np.zeros(n)
+            for i, k in enumerate(marks.tolist(), 1):
+                if begins[k]:
+                    state, fresh = (float(at["_base"][k]), 0.0), True
+                if at["_event"][k]:
+                    *now, fees[k] = trade(*state, at["close"][k], bool(at["in_trade"][k]), at["_lot"][k], at["_cap"][k], at["_fee"][k], fresh)
+                    state, fresh = tuple(now), False
+                values[i] = state
+            key = names[-1] if n else key
+            held = values[np.searchsorted(marks, np.arange(n), side="right")]
+            made = [pa.array(held[:, 0]), pa.array(held[:, 1]), pa.array(fees)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "account_value", "aux", "fee"])
 
     return run
 
 
-def simulate(df: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def simulate(df: DataFrame, s: Strategy | None = None, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Adds in_trade, aux, account_value, adj_account_value, fee and the changes of adj_account_value.
 
     Whether a trade is open follows from the last action that is not a hold, so
-    only bars where that changes are events; the ordered fold over cash and
-    holdings sees just those, and their results are carried forward.
+    only bars where that changes are events. Without ``s`` the columns of
+    ``terms`` and ``_close_end`` say what holds for each row.
     """
     w = Window.partitionBy(*keys).orderBy("ts")
     sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    if s is not None:
+        df = df.withColumns(terms(s) | {"_close_end": F.lit(bool(s.exit_on_end))})
     code = F.when(F.col("action").isin("e", "ae"), 1).when(F.col("action").isin("x", "ax", "tsl"), 2)
     df = df.withColumn("in_trade", F.coalesce(F.last(code, ignorenulls=True).over(sofar) == 1, F.lit(False)))
-    if s.exit_on_end:
-        last = df.groupBy(*keys).agg(*(F.max_by(c, "ts").alias(c) for c in df.columns if c not in (*keys, "ts")), F.max("ts").alias("ts")).where("in_trade")
-        closing = last.withColumns({"ts": F.col("ts") + F.expr("interval 1 second"), "in_trade": F.lit(False), "action": F.lit("x")})
-        df = df.unionByName(closing.select(df.columns))
+    # a trade still open at the end is closed by one more row, a second later
+    closing = F.col("_close_end") & F.col("in_trade") & F.lead("ts").over(w).isNull()
+    df = df.withColumn("_copies", F.when(closing, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).withColumn("_copy", F.explode("_copies"))
+    extra = F.col("_copy") == 1
+    df = df.withColumns({"ts": F.when(extra, F.col("ts") + F.expr("interval 1 second")).otherwise(F.col("ts")), "in_trade": F.col("in_trade") & ~extra, "action": F.when(extra, "x").otherwise(F.col("action"))}).drop("_copies", "_copy", "_close_end")
     df = df.withColumn("_event", F.col("in_trade") != F.coalesce(F.lag("in_trade").over(w), F.lit(False)))
-    events = df.where("_event").select(*keys, "ts", "close", F.when(F.col("in_trade"), 1).otherwise(2).alias("code"))
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    shape = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, "ts")) + ", _cash double, _aux double, fee double"
-    done = events.groupBy(*keys).applyInPandas(_fold(s, keys), shape)
-    df = df.join(done, [*keys, "ts"], "left")
-    df = df.withColumns({"account_value": F.coalesce(F.last("_cash", ignorenulls=True).over(sofar), F.lit(float(s.base_balance))), "aux": F.coalesce(F.last("_aux", ignorenulls=True).over(sofar), F.lit(0.0)), "fee": F.coalesce("fee", F.lit(0.0))})
+    shape = StructType([*df.schema.fields, *(StructField(c, DoubleType()) for c in ("account_value", "aux", "fee"))])
+    # rows are partitioned and sorted as the window above left them, so neither step adds work
+    df = df.sortWithinPartitions(*keys, "ts").mapInArrow(_account(list(keys)), shape).drop("_event", *_TERMS)
     df = df.withColumn("adj_account_value", F.col("account_value") + F.rint(F.col("aux") * F.col("close") * 1e8) / 1e8)
     before = F.lag("adj_account_value").over(w)
-    return df.withColumns({"adj_account_value_change": F.col("adj_account_value") - before, "adj_account_value_change_perc": F.try_divide(F.col("adj_account_value"), before) - 1}).drop("_cash", "_aux", "_event")
+    return df.withColumns({"adj_account_value_change": F.col("adj_account_value") - before, "adj_account_value_change_perc": F.try_divide(F.col("adj_account_value"), before) - 1})
 
 
 def backtest(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Bars with indicators, actions and the account."""
-    for d in s.datapoints:
-        bars = with_indicator(bars, d["name"], d["transformer"], d.get("args", ()), keys)
-    return simulate(with_actions(bars, s, keys), s, keys)
+    return simulate(with_actions(with_datapoints(bars, s, keys), s, keys), s, keys)
+
+
+def in_segments(df: DataFrame, size: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Adds ``segment``, which as a further key makes each run of ``size`` bars an account and a lookback of its own."""
+    return df.withColumn("segment", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("ts")) - 1) / size))
+
+
+def backtest_segments(bars: DataFrame, s: Strategy, size: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Datapoints over all bars, actions and account anew in each segment of ``size`` bars."""
+    df, parts = in_segments(with_datapoints(bars, s, keys), size, keys), (*keys, "segment")
+    if s.trailing_stop_loss:  # the stop's level is of the whole chart
+        df = df.withColumn("trailing_stop_loss", stop_level(s, keys)).withColumn("_tsl", F.coalesce(F.col("close") <= F.col("trailing_stop_loss"), F.lit(False)))
+        plain = Strategy(**{f: getattr(s, f) for f in Strategy.__dataclass_fields__} | {"trailing_stop_loss": 0.0})
+        return simulate(df.withColumn("action", F.when(F.col("_tsl"), "tsl").otherwise(action_of(plain, parts))).drop("_tsl"), s, parts)
+    return simulate(df.withColumn("action", action_of(s, parts)), s, parts)
 
 
 def trade_log(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The first bar of every run of equal in_trade whose account value changed, or had nothing before it."""
+    """The first bar of every run of equal in_trade, each column's first value of the run, but for runs whose account value didn't change then."""
+    return _with_trades(df, keys).where("_trade").withColumns({"adj_account_value_change": F.col("_change"), "adj_account_value_change_perc": F.col("_perc")}).drop("_run", "_trade", "_change", "_perc")
+
+
+def validate_run(df: DataFrame, s: Strategy) -> list[str]:
+    """What a finished run lacks: rows, or columns of a datapoint."""
+    lacking = [f"datapoint {d['name']} has no column" for d in s.datapoints if not any(c == d["name"] or c.startswith(f"{d['name']}_") for c in df.columns)]
+    return lacking + (["there are no bars"] if df.isEmpty() else [])
+
+
+def _with_trades(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds _run, the number of the run of equal in_trade, _trade, whether the bar is in the trade log, and its _change and _perc there."""
     w = Window.partitionBy(*keys).orderBy("ts")
-    first = df.withColumn("_before", F.lag("in_trade").over(w)).where(~F.col("_before").eqNullSafe(F.col("in_trade"))).drop("_before")
-    return first.where(F.coalesce(F.col("adj_account_value_change") != 0, F.lit(True)))
+    first = ~F.lag("in_trade").over(w).eqNullSafe(F.col("in_trade"))
+    df = df.withColumn("_first", first).withColumn("_run", F.sum(F.col("_first").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    within = ~F.lead("_first").over(w)
+    value = lambda c: F.coalesce(F.col(c), F.when(within, F.lead(c).over(w)))
+    df = df.withColumns({"_change": value("adj_account_value_change"), "_perc": value("adj_account_value_change_perc")})
+    return df.withColumn("_trade", F.col("_first") & F.coalesce(F.col("_change") != 0, F.lit(True))).drop("_first")
+
+
+def _r3(x: Column) -> Column:
+    return F.coalesce(F.rint(x * 1000) / 1000, F.lit(0.0))
+
+
+def _r4(x: Column) -> Column:
+    return F.coalesce(F.rint(x * 1e4) / 1e4, F.lit(0.0))
+
+
+def _spaced(values: Column, gaps: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation of the values and of as many zeros as ``gaps``."""
+    k = F.count(values)
+    n = k + gaps
+    mean = F.try_divide(F.sum(values), n)
+    squares = k * F.var_pop(values) + k * F.pow(F.avg(values) - mean, F.lit(2.0)) + gaps * mean * mean
+    return mean, F.sqrt(F.try_divide(squares, F.nullif(n - 1, F.lit(0))))
 
 
-def summarize(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """One row for each key: returns, drawdown, risk, exposure and trade counts, rounded to three places."""
+def summarize(df: DataFrame, keys: tuple[str, ...] = ("symbol",), freq: str | None = None) -> DataFrame:
+    """One row for each key with the metrics of the run; groups of metrics are structs. Values are rounded to three places, and what can't be computed is 0, but null in time_analysis.
+
+    All of it is one pass of windows over the keys and one aggregation.
+    """
     w = Window.partitionBy(*keys).orderBy("ts")
-    r3 = lambda x: F.coalesce(F.rint(x * 1000) / 1000, F.lit(0.0))
-    adj, pct = F.col("adj_account_value"), F.col("adj_account_value_change_perc")
-    df = df.withColumn("_dd", adj / F.max(adj).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    first, last = F.min_by("adj_account_value", "ts"), F.max_by("adj_account_value", "ts")
-    c0, c1 = F.min_by("close", "ts"), F.max_by("close", "ts")
-    sums = df.groupBy(*keys).agg(
+    sofar, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    adj, pct, equity = F.col("adj_account_value"), F.col("adj_account_value_change_perc"), "adj_account_value"
+    month = F.year("ts") * 12 + F.month("ts")
+    df = _with_trades(df, keys).withColumns(
+        {
+            "_dd": adj / F.max(adj).over(sofar) - 1,
+            "_day": F.when(~F.lead(F.to_date("ts")).over(w).eqNullSafe(F.to_date("ts")), adj),
+            "_month": F.when(~F.lead(month).over(w).eqNullSafe(month), adj),
+            "_held": F.when(F.col("_trade"), F.bround((F.unix_seconds("ts") - F.unix_seconds(F.last(F.when(F.col("_trade"), F.col("ts")), ignorenulls=True).over(before))) / 10, 0) * 10),
+            "_win": F.when(F.col("_trade"), F.coalesce(F.col("_perc") > 0, F.lit(False))),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_dret": F.try_divide(F.col("_day"), F.last("_day", ignorenulls=True).over(before)) - 1,
+            "_mret": F.try_divide(F.col("_month"), F.last("_month", ignorenulls=True).over(before)) - 1,
+            "_sank": F.coalesce(~F.lag(F.col("_dd") < 0).over(w).eqNullSafe(F.col("_dd") < 0), F.lit(True)),
+            "_turned": F.col("_trade") & ~F.last("_win", ignorenulls=True).over(before).eqNullSafe(F.col("_win")),
+        }
+    )
+    df = df.withColumns({"_sink": F.sum(F.col("_sank").cast("long")).over(sofar), "_streak": F.sum(F.col("_turned").cast("long")).over(sofar)})
+    length = lambda of, what: F.count(F.when(what, 1)).over(Window.partitionBy(*keys, of))
+    new_run = F.col("_run") != F.coalesce(F.lag("_run").over(w), F.lit(0))
+    df = df.withColumns(
+        {
+            "_bars_in": F.when(new_run & F.col("in_trade"), length("_run", F.lit(True))),
+            "_bars_low": F.when(F.col("_sank") & (F.col("_dd") < 0), length("_sink", F.lit(True))),
+            "_streaks": F.when(F.col("_turned"), length("_streak", F.col("_trade"))),
+        }
+    )
+    trade, perc, change = F.col("_trade"), F.when(F.col("_trade"), F.col("_perc")), F.when(F.col("_trade"), F.col("_change"))
+    first, last, c0, c1 = F.min_by(equity, "ts"), F.max_by(equity, "ts"), F.min_by("close", "ts"), F.max_by("close", "ts")
+    wins, losses, trades = F.when(perc > 0, perc), F.when(perc < 0, perc), F.count_if(trade)
+    share = lambda x: _r3(F.try_divide(F.count(x), trades) * 100)
+    returns, held = _r3(100 - F.try_divide(first, last) * 100), _r3((1 - F.try_divide(c0, c1)) * 100)
+    up, down = F.coalesce(F.sum(wins), F.lit(0.0)), F.coalesce(F.abs(F.sum(losses)), F.lit(0.0))
+    quality = F.when((down == 0) & (up > 0), F.lit(float("inf"))).otherwise(_r3(F.try_divide(up, down)))
+    drag = _r3(F.try_divide(F.sum("fee"), last) * 100)
+    worst = F.min("_dd")
+    days = F.datediff(F.max("ts"), F.min("ts"))
+    months = (F.year(F.max("ts")) - F.year(F.min("ts"))) * 12 + F.month(F.max("ts")) - F.month(F.min("ts"))
+    streak = lambda agg, won: agg(F.when(F.col("_win") == won, F.col("_streaks")))
+    r3n = lambda x: F.rint(x * 100 * 1000) / 1000
+    analysis = []
+    for unit, c, n in (("day", "_dret", days), ("month", "_mret", months)):
+        x, gaps = F.col(c), n - F.count(c)
+        mean, sd = _spaced(x, gaps)
+        zero = F.when(gaps > 0, 0.0)
+        names = ("avg_daily_return", "daily_return_std", "profitable_days_pct") if unit == "day" else ("avg_monthly_return", "monthly_return_std", "profitable_months_pct")
+        analysis += [r3n(F.greatest(F.max(x), zero)).alias(f"best_{unit}"), r3n(F.least(F.min(x), zero)).alias(f"worst_{unit}"), r3n(mean).alias(names[0]), r3n(sd).alias(names[1]), r3n(F.count_if(x > 0) / (n + 1)).alias(names[2])]
+    missing = [F.lit(0.0).alias("perc_missing"), F.lit(0).cast("long").alias("total_missing")]
+    if freq:
+        expected = F.floor((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / seconds(freq)) + 1
+        missing = [F.round((expected - F.count("*")) / expected * 100, 2).alias("perc_missing"), F.greatest(expected - F.count("*"), F.lit(0)).alias("total_missing")]
+    out = df.groupBy(*keys).agg(
+        returns.alias("return_perc"),
+        _r3(F.try_divide(F.avg(pct), F.stddev_samp(pct)) * F.sqrt(F.count("*"))).alias("sharpe_ratio"),
+        held.alias("buy_and_hold_perc"),
+        _r3(F.percentile("_held", 0.5)).alias("median_trade_len"),
+        _r3(F.avg("_held")).alias("mean_trade_len"),
+        _r3(F.max("_held")).alias("max_trade_held"),
+        _r3(F.min("_held")).alias("min_trade_len"),
+        F.count(wins).alias("total_num_winning_trades"),
+        F.count(losses).alias("total_num_losing_trades"),
+        _r3(F.avg(wins) * 100).alias("avg_win_perc"),
+        _r3(F.avg(losses) * 100).alias("avg_loss_perc"),
+        _r4(F.max(perc)).alias("best_trade_perc"),
+        _r4(F.min(perc)).alias("min_trade_perc"),
+        _r4(F.percentile(perc, 0.5)).alias("median_trade_perc"),
+        _r4(F.avg(perc)).alias("mean_trade_perc"),
+        trades.alias("num_trades"),
+        share(wins).alias("win_perc"),
+        share(losses).alias("loss_perc"),
+        _r3(F.max("account_value")).alias("equity_peak"),
+        _r3(last).alias("equity_final"),
+        _r3(F.min(adj)).alias("max_drawdown"),
+        _r3(F.sum("fee")).alias("total_fees"),
+        F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_tic"),
+        F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_tic"),
         F.count("*").alias("total_tics"),
+        *missing,
         F.count_if(F.col("action").isin("e", "ae")).alias("num_of_enter_signals"),
         F.count_if(F.col("action").isin("x", "ax")).alias("num_of_exit_signals"),
         F.count_if(F.col("action") == "h").alias("num_of_hold_signals"),
-        r3(100 - F.try_divide(first, last) * 100).alias("return_perc"),
-        r3((1 - F.try_divide(c0, c1)) * 100).alias("buy_and_hold_perc"),
-        r3(F.try_divide(F.avg(pct), F.stddev_samp(pct)) * F.sqrt(F.count("*"))).alias("sharpe_ratio"),
-        r3(F.max("account_value")).alias("equity_peak"),
-        r3(last).alias("equity_final"),
-        r3(F.min(adj)).alias("max_drawdown"),
-        r3(F.min("_dd") * 100).alias("max_drawdown_pct"),
-        r3(F.avg("_dd") * 100).alias("avg_drawdown_pct"),
-        r3(F.sum("fee")).alias("total_fees"),
-        r3(F.avg(F.col("in_trade").cast("int")) * 100).alias("time_in_market_pct"),
-        r3(F.try_divide(F.avg(pct), F.stddev_samp(F.when(pct < 0, pct)))).alias("sortino_ratio"),
-        r3(F.percentile(pct, 0.05)).alias("value_at_risk_95"),
-        r3(F.stddev_samp(pct) * F.sqrt(F.lit(252.0))).alias("annualized_volatility"),
+        _r3(returns - held).alias("market_adjusted_return"),
+        F.struct(
+            _r3(F.avg(F.when(F.col("in_trade"), F.col("aux")))).alias("avg_position_size"),
+            _r3(F.max(F.when(F.col("in_trade"), F.col("aux")))).alias("max_position_size"),
+            _r3(F.avg("_bars_in")).alias("avg_position_duration"),
+            drag.alias("total_commission_impact"),
+        ).alias("position_metrics"),
+        F.struct(
+            quality.alias("profit_factor"),
+            _r3(F.abs(F.try_divide(F.avg(wins), F.avg(losses)))).alias("avg_win_loss_ratio"),
+            _r3(F.max(perc)).alias("largest_winning_trade"),
+            _r3(F.min(perc)).alias("largest_losing_trade"),
+        ).alias("trade_quality"),
+        F.struct(_r3(F.avg(F.col("in_trade").cast("int")) * 100).alias("time_in_market_pct"), _r3(F.avg("_bars_in")).alias("avg_trade_duration")).alias("market_exposure"),
+        F.struct(
+            F.count_if(change > F.col("fee")).alias("num_profitable_after_commission"),
+            F.count_if(change <= F.col("fee")).alias("num_unprofitable_after_commission"),
+            F.when(trades > 0, drag).otherwise(0.0).alias("commission_drag_pct"),
+        ).alias("effective_trades"),
+        F.struct(
+            _r3(worst * 100).alias("max_drawdown_pct"),
+            _r3(F.avg("_dd") * 100).alias("avg_drawdown_pct"),
+            _r3(F.max("_bars_low")).alias("max_drawdown_duration"),
+            _r3(F.avg("_bars_low")).alias("avg_drawdown_duration"),
+            _r3(F.max_by("_dd", "ts") * 100).alias("current_drawdown"),
+        ).alias("drawdown_metrics"),
+        F.struct(
+            _r3(F.try_divide(F.avg(pct), F.stddev_samp(F.when(pct < 0, pct)))).alias("sortino_ratio"),
+            _r3(F.try_divide(F.avg(pct), F.abs(worst))).alias("calmar_ratio"),
+            _r3(F.percentile(pct, 0.05)).alias("value_at_risk_95"),
+            _r3(F.stddev_samp(pct) * F.sqrt(F.lit(252.0))).alias("annualized_volatility"),
+            _r3(F.stddev_samp(F.when(pct < 0, pct))).alias("downside_deviation"),
+        ).alias("risk_metrics"),
+        F.struct(
+            F.coalesce(F.max_by("_streaks", F.when(F.col("_turned"), F.col("ts"))), F.lit(0)).alias("current_streak"),
+            F.coalesce(streak(F.max, True), F.lit(0)).alias("max_win_streak"),
+            F.coalesce(streak(F.max, False), F.lit(0)).alias("max_loss_streak"),
+            _r3(streak(F.avg, True)).alias("avg_win_streak"),
+            _r3(streak(F.avg, False)).alias("avg_loss_streak"),
+        ).alias("trade_streaks"),
+        F.struct(*analysis).alias("time_analysis"),
     )
-    change = F.col("adj_account_value_change")
-    trades = trade_log(df, keys).groupBy(*keys).agg(
-        F.count("*").alias("num_trades"),
-        F.count_if(pct > 0).alias("total_num_winning_trades"),
-        F.count_if(pct < 0).alias("total_num_losing_trades"),
-        r3(F.avg(F.when(pct > 0, pct)) * 100).alias("avg_win_perc"),
-        r3(F.avg(F.when(pct < 0, pct)) * 100).alias("avg_loss_perc"),
-        r3(F.try_divide(F.sum(F.when(change > 0, change)), F.abs(F.sum(F.when(change < 0, change))))).alias("profit_factor"),
-    )
-    return sums.join(trades, list(keys), "left").na.fill(0)
+    return out
+
+
+def flat(summary: DataFrame) -> DataFrame:
+    """The summary with each metric of a group as a column group_metric."""
+    columns = []
+    for f in summary.schema.fields:
+        if isinstance(f.dataType, StructType):
+            columns += [F.col(f"{f.name}.{x}").alias(f"{f.name}_{x}") for x in f.dataType.names]
+        else:
+            columns.append(F.col(f.name))
+    return summary.select(*columns)
 
 
 def evaluate_rules(summary: DataFrame, rules: list) -> DataFrame:
-    """Adds rules: whether all and any of [column, operator, number or column] hold."""
-    held = [F.coalesce(getattr(F.col(k), f"__{OPERATORS[op]}__")(operand(v)), F.lit(False)) if op in (">", "<", ">=", "<=") else F.lit(False) for k, op, v in rules]
+    """Adds rules: whether all and any of [column, operator, number or column] hold; a column may be group.metric, and a rule of unknown columns is passed over."""
+    held = []
+    for name, op, value in rules:
+        try:
+            summary.select(F.col(name), operand(value))
+        except Exception as e:
+            if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
+                raise
+            continue
+        held.append(F.coalesce(getattr(F.col(name), f"__{OPERATORS[op]}__")(operand(value)), F.lit(False)) if op in (">", "<", ">=", "<=") else F.lit(False))
     listed = F.array(*held) if held else F.array().cast("array<boolean>")
     return summary.withColumn("rules", F.struct((F.forall(listed, lambda x: x) & F.lit(bool(held))).alias("all"), F.exists(listed, lambda x: x).alias("any"), listed.alias("results")))
 
 
-def sweep(bars: DataFrame, variants: dict[str, dict], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Summaries of several strategy documents over the same bars in one job, with the variant's name.
+def best_runs(summaries: DataFrame, by: str, k: int) -> DataFrame:
+    """The k rows of summaries with the greatest ``by``."""
+    return summaries.orderBy(F.desc(by)).limit(k)
+
+
+def sweep(bars: DataFrame, variants: Mapping[str, Mapping], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Summaries of many strategy documents over the same bars in one job, with the variant's name.
 
-    Every branch partitions the same bars by the same keys, so that Spark shuffles them once.
+    Bars are shuffled once and each different datapoint is computed once. A bar's
+    actions under all variants become rows, so that account and summary run once,
+    with the variant as one more key; the plan grows by an expression a variant.
     """
-    bars = bars.repartition(*keys)
-    runs = [summarize(backtest(bars, Strategy.of(d), keys), keys).withColumn("variant", F.lit(name)) for name, d in variants.items()]
-    return reduce(DataFrame.unionByName, runs)
+    known = {name: Strategy.of(d) for name, d in variants.items()}
+    if len({(s.freq, s.start, s.stop) for s in known.values()}) != 1:
+        raise ValueError("the variants of a sweep share freq, start and stop")
+    freq = next(iter(known.values())).freq
+    df = chart(bars, next(iter(known.values())), keys)
+    made: dict[tuple, str] = {}
+    for late in (False, True):
+        for s in known.values():
+            for k, d in enumerate(s.datapoints):
+                what = (d["transformer"], str(d.get("args")), d.get("freq"), bool(freq and k))
+                if what not in made and bool(k) == late:
+                    made[what] = f"_d{len(made)}"
+                    df = _point(df, made[what], d, keys)
+        if freq and not late and any(s.datapoints for s in known.values()):
+            df = df.withColumns({c: filled(c, keys) for c in bars.columns if c not in (*keys, "ts")})
+    rows = []
+    for name, s in known.items():
+        names = {}
+        for k, d in enumerate(s.datapoints):
+            column = made[d["transformer"], str(d.get("args")), d.get("freq"), bool(freq and k)]
+            names |= {c.replace(column, d["name"], 1): c for c in df.columns if c == column or c.startswith(f"{column}_")}
+        rows.append((name, action_of(s, keys, names), s))
+    actions = {f"_a{k}": a for k, (_, a, _) in enumerate(rows)}
+    df = df.withColumns(actions).select(*keys, "ts", "close", *actions)
+    structs = [F.struct(F.lit(name).alias("variant"), F.col(f"_a{k}").alias("action"), F.lit(bool(s.exit_on_end)).alias("_close_end"), *(c.alias(n) for n, c in terms(s).items())) for k, (name, _, s) in enumerate(rows)]
+    df = df.select(*keys, "ts", "close", F.inline(F.array(*structs)))
+    parts = (*keys, "variant")
+    return summarize(simulate(df, None, parts), parts, freq)
 
 
 def fitness(weights: dict[str, float], min_trades: int = 0, penalty: float = -5.0) -> Column:

@@ -1 +1 @@
-
+"""SQL of the registered queries."""

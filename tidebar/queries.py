@@ -1,7 +1,10 @@
-"""The registered queries of the bar engine, over bars made from the given tables, and SQL that gives the same rows."""
+"""The registered queries of the bar engine, over bars made from the given tables; their SQL is in ``plans``."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from .functions.indicators import INDICATORS, with_indicator
 from .operators import regimes as rg
 from .operators import strategy as st
 from .sources import bars as src
+from .streaming import portfolio as pf
 
 FLAGSHIP = {
     "datapoints": [{"name": "fast", "transformer": "sma", "args": [3]}, {"name": "slow", "transformer": "sma", "args": [9]}],
@@ -27,19 +31,24 @@ def event_bars(spark: SparkSession, sf_dir: str, freq: str = "4h") -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, averages, actions, account, summary and rules of one strategy for all symbols."""
-    s = st.Strategy.of(FLAGSHIP)
-    return st.evaluate_rules(st.summarize(st.backtest(event_bars(spark, sf_dir), s)), s.rules)
+    s = st.Strategy.of(FLAGSHIP, complete=True)
+    found = st.evaluate_rules(st.summarize(st.backtest(event_bars(spark, sf_dir), s), freq="4h"), s.rules)
+    return st.flat(found).withColumn("rules_results", F.array_join(F.col("rules_results").cast("array<string>"), ","))
+
+
+def _out(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    return df.select("symbol", F.unix_seconds("ts").alias("t"), *(F.round(F.col(f"`{c}`").cast("double"), digits).alias(f"v{k}") for k, c in enumerate(columns)))
 
 
-def _out(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select("symbol", F.unix_seconds("ts").alias("t"), *(F.round(F.col(f"`{c}`"), 6).alias(f"v{k}") for k, c in enumerate(columns)))
+#: Values of emv have nine digits before the point, so doubles hold few after it.
+DIGITS = {"emv": 3}
 
 
 def _indicator(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = event_bars(spark, sf_dir)
         df = with_indicator(bars, "x", name)
-        return _out(df, [c for c in df.columns if c not in bars.columns])
+        return _out(df, [c for c in df.columns if c not in bars.columns], DIGITS.get(name, 6))
 
     return query
 
@@ -56,12 +65,57 @@ def bars_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.missing_bars(event_bars(spark, sf_dir, "1h"), "1h")
 
 
+def bars_7min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets that don't divide a day count from midnight of each symbol's first day."""
+    return _out(src.resample(event_bars(spark, sf_dir, "1Min"), "7Min"), src.OHLCV)
+
+
+def bars_5day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(src.resample(event_bars(spark, sf_dir, "1h"), "5D", empty=True), src.OHLCV)
+
+
+def bars_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(src.resample_calendar(event_bars(spark, sf_dir, "1h"), "week"), src.OHLCV)
+
+
+def bars_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first values of each day in a range of dates."""
+    return _out(src.between(src.first_values(event_bars(spark, sf_dir, "1h"), "1D"), "2024-01-03", "2024-01-20"), src.OHLCV)
+
+
+def bars_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-minute bars on a regular grid, gaps filled with the last values."""
+    return _out(src.regrid(event_bars(spark, sf_dir, "10Min"), "10Min"), src.OHLCV)
+
+
+def bars_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = event_bars(spark, sf_dir)
+    moves = {"up": src.trending(df, "close", 2), "down": src.trending(df, "close", 2, up=False)}
+    return df.withColumns(moves).select("symbol", F.unix_seconds("ts").alias("t"), "up", "down")
+
+
+def bars_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.infer_frequency(event_bars(spark, sf_dir, "10Min"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = st.Strategy.of(FLAGSHIP | {"trailing_stop_loss": 0.9})
-    bars = event_bars(spark, sf_dir)
-    for d in s.datapoints:
-        bars = with_indicator(bars, d["name"], d["transformer"], d["args"])
-    return st.with_actions(bars, s).select("symbol", F.unix_seconds("ts").alias("t"), "action")
+    df = st.with_actions(st.with_datapoints(event_bars(spark, sf_dir), s), s)
+    return df.select("symbol", F.unix_seconds("ts").alias("t"), "action")
+
+
+def two_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A datapoint of daily bars beside one of four-hour bars."""
+    points = [{"name": "fast", "transformer": "sma", "args": [3]}, {"name": "day", "transformer": "sma", "args": [2], "freq": "1D"}]
+    s = st.Strategy.of({"datapoints": points, "enter": [["fast", ">", "day"]], "exit": [["fast", "<", "day"]], "freq": "4h"}, complete=True)
+    df = st.with_actions(st.with_datapoints(event_bars(spark, sf_dir, "1h"), s), s)
+    return df.select("symbol", F.unix_seconds("ts").alias("t"), "action", F.round("fast", 6).alias("fast"), F.round("day", 6).alias("day"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An account of its own for every 50 bars."""
+    df = st.backtest_segments(event_bars(spark, sf_dir), st.Strategy.of(FLAGSHIP), 50)
+    return df.select("symbol", "segment", F.unix_seconds("ts").alias("t"), "action", "in_trade", F.round("adj_account_value", 6).alias("adj_account_value"))
 
 
 def account(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,114 +152,45 @@ def screen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def screen_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rg.screen(event_bars(spark, sf_dir), {"min_candles": 90, "max_drawdown_60d": -0.999})
-    return df.withColumns({c: F.round(c, 6) for c in ("avg_quote_volume_30d", "max_drawdown_60d")})
+    return df.withColumns({c: F.round(c, 6) for c in ("avg_quote_volume_30d", "max_drawdown_60d", "quote_volume_24h")})
+
+
+def screen_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = rg.ranked(rg.horizon_quantiles(event_bars(spark, sf_dir)))
+    return df.select("symbol", F.round("score", 6).alias("score"), "rank")
+
+
+def portfolio_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paper portfolio of the flagship's actions, streamed from a folder of actions."""
+    s = st.Strategy.of(FLAGSHIP)
+    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='tidebar-')}/portfolio-{uuid.uuid4().hex}"
+    st.with_actions(st.with_datapoints(event_bars(spark, sf_dir), s), s).select("symbol", "ts", "close", "action").write.parquet(f"{folder}/actions")
+    log = pf.act_on(spark.readStream.schema(pf.ACTIONS).parquet(f"{folder}/actions"), s)
+    log.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/log").awaitTermination()
+    done = spark.read.schema(pf.LOG).parquet(f"{folder}/log")
+    return done.select("symbol", F.unix_seconds("ts").alias("t"), "action", *(F.round(c, 4).alias(c) for c in ("cash", "position_qty", "equity")))
+
+
+def _variants(pairs: list[tuple[int, int]]) -> dict[str, dict]:
+    return {f"{a}-{b}": FLAGSHIP | {"datapoints": [{"name": "fast", "transformer": "sma", "args": [a]}, {"name": "slow", "transformer": "sma", "args": [b]}]} for a, b in pairs}
 
 
 def sweep_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = [(3, 9), (5, 20), (9, 41)]
-    documents = {f"{a}-{b}": FLAGSHIP | {"datapoints": [{"name": "fast", "transformer": "sma", "args": [a]}, {"name": "slow", "transformer": "sma", "args": [b]}]} for a, b in pairs}
-    found = st.sweep(event_bars(spark, sf_dir), documents)
-    score = st.fitness({"return_perc": 1.0, "sharpe_ratio": 2.0, "max_drawdown_pct": -0.5}, min_trades=5)
+    found = st.sweep(event_bars(spark, sf_dir), _variants(SWEPT))
+    score = st.fitness({"return_perc": 1.0, "sharpe_ratio": 2.0, "drawdown_metrics.max_drawdown_pct": -0.5}, min_trades=5)
     return found.select("variant", "symbol", "num_trades", "return_perc", F.round(score, 6).alias("fitness"))
 
 
-QUERIES = {"flagship": flagship, "bars_4h": bars_4h, "bars_day": bars_day, "bars_missing": bars_missing, "sig_actions": signals, "sim_account": account, "log_trades": trades}
+def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of a hundred variants by their mean return over all symbols."""
+    found = st.sweep(event_bars(spark, sf_dir), _variants(HUNDRED)).groupBy("variant").agg(F.round(F.avg("return_perc"), 6).alias("mean_return"), F.sum("num_trades").alias("num_trades"))
+    return found.orderBy(F.desc("mean_return"), "variant").limit(10)
+
+
+SWEPT = [(3, 9), (5, 20), (9, 41)]
+HUNDRED = [(a, b) for a in range(2, 12) for b in range(20, 40, 2)]
+QUERIES = {"flagship": flagship, "sig_actions": signals, "sig_two_frequencies": two_frequencies, "sim_account": account, "sim_segments": segments, "log_trades": trades}
 QUERIES |= {f"ind_{name}": _indicator(name) for name in sorted(INDICATORS)}
-QUERIES |= {f.__name__: f for f in (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, sweep_averages)}
-
-# -- the same in DuckDB SQL, written on its own: plain frames, and direct sums for exponential means ------------
-
-
-def _bars(step: int = 14400) -> str:
-    return f"""b AS (SELECT event_type AS symbol, CAST(floor(epoch(ts) / {step}) AS BIGINT) * {step} AS t, arg_min(value, (ts, event_id)) AS o, max(value) AS h,
-    min(value) AS l, arg_max(value, (ts, event_id)) AS c, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2),
-    n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS r, (h + l + c) / 3 AS tp, (h + l) / 2 AS m FROM b)"""
-
-
-def _rolled(*values: str) -> str:
-    return f"WITH {_bars()} SELECT symbol, t, {', '.join(f'round({v}, 6) AS v{k}' for k, v in enumerate(values))} FROM n"
-
-
-def _over(agg: str, n: int, x: str) -> str:
-    frame = f"OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return f"CASE WHEN count({x}) {frame} = {n} THEN {agg.format(x)} {frame} END"
-
-
-def _lagged(x: str, n: int) -> str:
-    return f"lag({x}, {n}) OVER (PARTITION BY symbol ORDER BY t)"
-
-
-def _decayed(alpha: float, x: str = "c") -> str:
-    return f"""WITH {_bars()}, w AS (SELECT symbol, r, CAST({x} AS DOUBLE) AS x FROM n) SELECT n.symbol, n.t,
-    round(sum(w.x * pow({1 - alpha!r}, n.r - w.r)) / sum(pow({1 - alpha!r}, n.r - w.r)), 6) AS v0 FROM n JOIN w ON w.symbol = n.symbol AND w.r <= n.r GROUP BY 1, 2"""
-
-
-_CHANGE = "100 * (c / nullif(lag(c) OVER (PARTITION BY symbol ORDER BY t), 0) - 1)"
-_STATES = f"""{_bars()}, s AS (SELECT symbol, t, CASE WHEN p > 2 THEN 'Strong Increase' WHEN p > 1 THEN 'Moderate Increase' WHEN p > 0 THEN 'Slight Increase'
-    WHEN p <= -2 THEN 'Strong Decrease' WHEN p <= -1 THEN 'Moderate Decrease' WHEN p <= -0.5 THEN 'Slight Decrease' ELSE 'Stable' END AS state
-    FROM (SELECT symbol, t, {_CHANGE} AS p FROM n))"""
-_RET = f"q AS (SELECT *, coalesce(({_CHANGE}) / 100, 0) AS ret FROM n)"
-
-
-def _zero(x: str) -> str:
-    return f"round(coalesce({x}, 0), 6)"
-
-
-_HI, _LO = _over("max({})", 14, "h"), _over("min({})", 14, "l")
-_M, _SD = _over("avg({})", 20, "c"), _over("stddev_samp({})", 20, "c")
-_RUN = "OVER (PARTITION BY symbol ORDER BY t)"
-ORACLE_SQL = {
-    "bars_4h": _rolled("o", "h", "l", "c", "v"),
-    "bars_day": f"WITH {_bars(86400)} SELECT symbol, t, round(o, 6) AS v0, round(h, 6) AS v1, round(l, 6) AS v2, round(c, 6) AS v3, round(v, 6) AS v4 FROM n",
-    "bars_missing": f"""WITH {_bars(3600)}, g AS (SELECT symbol, CAST((max(t) - min(t)) / 3600 AS BIGINT) + 1 AS e, count(*) AS k FROM n GROUP BY 1)
-    SELECT symbol, greatest(e - k, 0) AS total_missing, round((e - k) / CAST(e AS DOUBLE) * 100, 2) AS perc_missing FROM g""",
-    "ind_sma": _rolled(_over("avg({})", 41, "c")),
-    "ind_smm": _rolled(_over("median({})", 9, "c")),
-    "ind_mom": _rolled(f"c - {_lagged('c', 10)}"),
-    "ind_roc": _rolled(f"100 * (c - {_lagged('c', 12)}) / {_lagged('c', 12)}"),
-    "ind_rolling_max": _rolled(_over("max({})", 10, "c")),
-    "ind_rolling_min": _rolled(_over("min({})", 10, "c")),
-    "ind_msd": _rolled(_over("stddev_samp({})", 21, "c")),
-    "ind_bbands": _rolled(f"({_M}) + 2 * ({_SD})", _M, f"({_M}) - 2 * ({_SD})"),
-    "ind_stoch": _rolled(f"100 * (c - ({_LO})) / nullif(({_HI}) - ({_LO}), 0)"),
-    "ind_williams": _rolled(f"-100 * (({_HI}) - c) / nullif(({_HI}) - ({_LO}), 0)"),
-    "ind_tp": _rolled("tp"),
-    "ind_bop": _rolled("(c - o) / nullif(h - l, 0)"),
-    "ind_do": _rolled(_over("min({})", 5, "l"), f"(({_over('max({})', 20, 'h')}) + ({_over('min({})', 5, 'l')})) / 2", _over("max({})", 20, "h")),
-    "ind_vwap": _rolled(f"sum(v * tp) {_RUN} / sum(v) {_RUN}"),
-    "ind_ao": _rolled(f"({_over('avg({})', 5, 'm')}) - ({_over('avg({})', 34, 'm')})"),
-    "ind_ema": _decayed(0.2),
-    "ind_ssma": _decayed(1 / 9),
-    "ind_smma": _decayed(1 / 42),
-    "markov_states": f"WITH {_STATES} SELECT * FROM s",
-    "markov_transitions": f"""WITH {_STATES}, p AS (SELECT symbol, lag(state) OVER (PARTITION BY symbol ORDER BY t) AS source, state AS target FROM s),
-    k AS (SELECT symbol, source, target, count(*) AS "count" FROM p WHERE source IS NOT NULL GROUP BY 1, 2, 3)
-    SELECT *, round("count" / CAST(sum("count") OVER (PARTITION BY symbol, source) AS DOUBLE), 9) AS probability FROM k""",
-    "screen_features": f"""WITH {_bars()}, {_RET} SELECT symbol, t, round(ret, 6) AS v0, {_zero(_over('stddev_samp({})', 20, 'ret'))} AS v1,
-    {_zero('(h - l) / nullif(c, 0)')} AS v2, {_zero(f"c / nullif({_lagged('c', 20)}, 0) - 1")} AS v3, {_zero(f"c / max(c) {_RUN} - 1")} AS v4 FROM q""",
-    "regime_features": f"""WITH {_bars()}, {_RET} SELECT symbol, t, round(ret, 6) AS v0, {_zero(_over('stddev_samp({})', 20, 'ret'))} AS v1,
-    {_zero('(h - l) / nullif(c, 0)')} AS v2,
-    {_zero("CASE WHEN r >= 20 THEN regr_slope(c, r) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END")} AS v3,
-    {_zero(f"(v - ({_over('avg({})', 20, 'v')})) / nullif(({_over('stddev_samp({})', 20, 'v')}), 0)")} AS v4 FROM q""",
-    "ind_fve": f"""WITH {_bars()}, f AS (SELECT *, c - m + tp - lag(tp) OVER (PARTITION BY symbol ORDER BY t) AS mf FROM n),
-    g AS (SELECT *, CASE WHEN mf > 0.003 * c THEN v WHEN mf < -0.003 * c THEN -v ELSE 0 END AS s FROM f)
-    SELECT symbol, t, round(({_over('sum({})', 22, 's')}) / ({_over('avg({})', 22, 'v')}) / 22 * 100, 6) AS v0 FROM g""",
-    "ind_obv": f"""WITH {_bars()}, d AS (SELECT *, c - lag(c) OVER (PARTITION BY symbol ORDER BY t) AS d FROM n),
-    e AS (SELECT *, CASE WHEN d < 0 THEN -v WHEN d >= 0 THEN v END AS s FROM d),
-    g AS (SELECT *, CASE WHEN d = 0 THEN lag(s) OVER (PARTITION BY symbol ORDER BY t) ELSE s END AS x FROM e)
-    SELECT symbol, t, CASE WHEN x IS NOT NULL THEN round(sum(x) {_RUN}, 6) END AS v0 FROM g""",
-    "ind_qstick": f"WITH {_bars()} SELECT symbol, t, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY t DESC) <= 14 THEN round((c - o) / 14, 6) END AS v0 FROM n",
-    "ind_williams_fractal": f"""WITH {_bars()}, x AS (SELECT *, max(h) OVER w AS a, min(l) OVER w AS z, count(*) OVER w AS k FROM n
-    WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
-    SELECT symbol, t, CASE WHEN k = 5 THEN CAST(h = a AS DOUBLE) END AS v0, CASE WHEN k = 5 THEN CAST(l = z AS DOUBLE) END AS v1 FROM x""",
-    "ind_tr": f"WITH {_bars()} SELECT symbol, t, round(greatest(h - l, abs(h - {_lagged('c', 1)}), abs({_lagged('c', 1)} - l)), 6) AS v0 FROM n",
-    "ind_er": f"""WITH {_bars()}, d AS (SELECT *, abs(c - {_lagged('c', 1)}) AS d FROM n)
-    SELECT symbol, t, round(abs(c - {_lagged('c', 10)}) / nullif(({_over('sum({})', 10, 'd')}), 0), 6) AS v0 FROM d""",
-    "ind_bbwidth": _rolled(f"4 * ({_SD}) / nullif(({_M}), 0)"),
-    "ind_percent_b": _rolled(f"(c - (({_M}) - 2 * ({_SD}))) / nullif(4 * ({_SD}), 0)"),
-    "ind_chandelier": f"""WITH {_bars()}, d AS (SELECT *, greatest(h - l, abs(h - {_lagged('c', 1)}), abs({_lagged('c', 1)} - l)) AS tr FROM n)
-    SELECT symbol, t, round(({_over('min({})', 22, 'l')}) + 3 * ({_over('avg({})', 22, 'tr')}), 6) AS v0,
-    round(({_over('max({})', 22, 'h')}) - 3 * ({_over('avg({})', 22, 'tr')}), 6) AS v1 FROM d""",
-    "ind_linear_regression": f"""WITH {_bars()} SELECT symbol, t, round(CASE WHEN r < 2 THEN c ELSE regr_intercept(c, r) OVER w + regr_slope(c, r) OVER w * r END, 6) AS v0 FROM n
-    WINDOW w AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
-}
+bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency)
+bare += (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, screen_rank, portfolio_log, sweep_averages, sweep_best)
+QUERIES |= {f.__name__: f for f in bare}

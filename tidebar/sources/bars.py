@@ -41,19 +41,66 @@ def deduplicate(df: DataFrame, order: str, keep: str = "last", keys: tuple[str,
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "ts").orderBy(by))).where("_rank = 1").drop("_rank")
 
 
-def bucket(ts: Column, freq: str) -> Column:
-    """The start of the tumbling bucket; buckets of a day or less are counted from midnight UTC."""
-    step = seconds(freq)
-    return F.timestamp_seconds(F.floor(F.unix_micros(ts) / (step * 1_000_000)) * step)
-
-
-def resample(df: DataFrame, freq: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Bars of a coarser frequency: first open, highest high, lowest low, last close, summed volume."""
-    return (
-        df.groupBy(*keys, bucket(F.col("ts"), freq).alias("_b"))
+def bucket(ts: Column, freq: str, origin: Column | None = None) -> Column:
+    """The start of the tumbling bucket, counted from ``origin``; without one from 1970, which is midnight for steps that divide a day."""
+    step = seconds(freq) * 1_000_000
+    zero = F.unix_micros(origin) if origin is not None else F.lit(0)
+    return F.timestamp_micros(F.floor((F.unix_micros(ts) - zero) / step) * step + zero)
+
+
+def with_bucket(df: DataFrame, freq: str, keys: tuple[str, ...] = ("symbol",), name: str = "_b") -> DataFrame:
+    """Adds the start of each row's bucket; buckets are counted from midnight UTC of the first day of its key."""
+    if 86400 % seconds(freq) == 0:
+        return df.withColumn(name, bucket(F.col("ts"), freq))
+    first = df.groupBy(*keys).agg(F.date_trunc("day", F.min("ts")).alias("_day"))
+    return df.join(first, list(keys)).withColumn(name, bucket(F.col("ts"), freq, F.col("_day"))).drop("_day")
+
+
+def resample(df: DataFrame, freq: str, keys: tuple[str, ...] = ("symbol",), empty: bool = False) -> DataFrame:
+    """Bars of a coarser frequency: first open, highest high, lowest low, last close, summed volume; ``empty``: buckets without bars too, with no prices and volume 0."""
+    out = (
+        with_bucket(df, freq, keys)
+        .groupBy(*keys, "_b")
         .agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"))
         .withColumnRenamed("_b", "ts")
     )
+    return regrid(out, freq, fill=False, keys=keys).withColumn("volume", F.coalesce("volume", F.lit(0.0))) if empty else out
+
+
+def first_values(df: DataFrame, freq: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The first value that isn't null of every column in each bucket; no bars are made."""
+    columns = [c for c in df.columns if c not in (*keys, "ts")]
+    firsts = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in columns]
+    return with_bucket(df, freq, keys).groupBy(*keys, "_b").agg(*firsts).withColumnRenamed("_b", "ts").select(*keys, "ts", *columns)
+
+
+def resample_calendar(df: DataFrame, unit: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Bars of calendar days, weeks, months, quarters or years, dated by the first day."""
+    day = F.date_trunc(unit, "ts").alias("_b")
+    bars = (F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume"))
+    return df.groupBy(*keys, day).agg(*bars).withColumnRenamed("_b", "ts")
+
+
+def between(df: DataFrame, start=None, stop=None) -> DataFrame:
+    """Rows from start to stop, both included; times are text or epochs, a stop of a day alone covers that day, and nothing or "" leaves a side open."""
+    for edge, last in ((start, False), (stop, True)):
+        if edge is None or edge == "":
+            continue
+        text = str(edge)
+        at = parse_time(F.lit(text))
+        if not last:
+            df = df.where(F.col("ts") >= at)
+        elif re.fullmatch(r"\d{4}-\d\d-\d\d", text):
+            df = df.where(F.col("ts") < at + F.expr("interval 1 day"))
+        else:
+            df = df.where(F.col("ts") <= at)
+    return df
+
+
+def trending(df: DataFrame, column: str, n: int = 1, up: bool = True, keys: tuple[str, ...] = ("symbol",)) -> Column:
+    """Whether the column is above (or below) where it was n bars before; false where that isn't known."""
+    move = F.col(column) - F.lag(column, n).over(Window.partitionBy(*keys).orderBy("ts"))
+    return F.coalesce(move > 0 if up else move < 0, F.lit(False))
 
 
 def from_ticks(df: DataFrame, symbol: Column, ts: Column, price: Column, volume: Column, tie: Column, freq: str) -> DataFrame:
@@ -62,15 +109,26 @@ def from_ticks(df: DataFrame, symbol: Column, ts: Column, price: Column, volume:
     return rows.groupBy("symbol", "ts").agg(F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("v").alias("volume"))
 
 
+def filled(x: str | Column, keys: tuple[str, ...] = ("symbol",)) -> Column:
+    """The column's last value that isn't null."""
+    return F.last(x, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+
+
 def regrid(df: DataFrame, freq: str, fill: bool = True, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """A row for every step between each key's first and last bar; ``fill`` carries the last values forward."""
+    """A row for every step from each key's first bar on; rows off these steps go, and ``fill`` carries the last values forward.
+
+    Each row makes those that are missing up to the next one, so nothing is joined.
+    """
     step = seconds(freq)
-    spine = df.groupBy(*keys).agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(*keys, F.explode(F.sequence("a", "b", F.make_dt_interval(secs=F.lit(step)))).alias("ts"))
-    out = spine.join(df, [*keys, "ts"], "left")
-    if fill:
-        w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in df.columns if c not in (*keys, "ts")})
-    return out
+    w = Window.partitionBy(*keys).orderBy("ts")
+    columns = [c for c in df.columns if c not in (*keys, "ts")]
+    first = F.min("ts").over(w)
+    on = df.withColumn("_off", (F.unix_micros("ts") - F.unix_micros(first)) % (step * 1_000_000)).where("_off = 0").drop("_off")
+    last = F.timestamp_micros(F.unix_micros(F.lead("ts").over(w)) - step * 1_000_000)
+    steps = F.sequence("ts", F.coalesce("_last", "ts"), F.make_dt_interval(secs=F.lit(step)))
+    rows = on.withColumn("_last", last).select(*keys, *columns, F.posexplode(steps).alias("_n", "ts"))
+    out = rows.select(*keys, "ts", *(F.when(F.col("_n") == 0, F.col(c)).alias(c) for c in columns))
+    return out.withColumns({c: filled(c, keys) for c in columns}) if fill else out
 
 
 def infer_frequency(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -100,13 +158,21 @@ def upsert(spark: SparkSession, df: DataFrame, path: str) -> None:
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exchange", "symbol").parquet(path)
 
 
-def scan(spark: SparkSession, path: str, symbol: str | None = None, exchange: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Stored bars; exchange and symbol prune partitions, and the range reaches the Parquet scan."""
-    df = spark.read.parquet(path)
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored bars; unreadable files are skipped and stay where they are."""
+    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+
+
+def assets(spark: SparkSession, path: str) -> DataFrame:
+    """The pairs of exchange and symbol that are stored, but for names that begin with an underscore."""
+    pairs = read_store(spark, path).select("exchange", "symbol").distinct()
+    return pairs.where(~F.col("exchange").startswith("_") & ~F.col("symbol").startswith("_"))
+
+
+def scan(spark: SparkSession, path: str, symbol: str | None = None, exchange: str | None = None, start=None, stop=None, freq: str | None = None) -> DataFrame:
+    """Stored bars, resampled to ``freq``; exchange and symbol prune partitions, and the range reaches the Parquet scan."""
+    df = read_store(spark, path)
     for column, value in (("symbol", symbol), ("exchange", exchange)):
         df = df.where(F.col(column) == value) if value else df
-    df = df.where(F.col("ts") >= F.lit(start).cast("timestamp")) if start else df
-    if end:
-        stop = F.lit(end).cast("timestamp")
-        df = df.where(F.col("ts") < stop + F.expr("interval 1 day")) if len(end) == 10 else df.where(F.col("ts") <= stop)
-    return df
+    df = between(df, start, stop)
+    return resample(df, freq, ("exchange", "symbol")) if freq else df

@@ -1 +1 @@
-
+"""Structured Streaming: the paper portfolio."""
