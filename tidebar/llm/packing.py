@@ -38,6 +38,20 @@ MAX_CACHED_RUNS = 1_000_000
 
 # Punctuation that makes pre-tokens of its own wherever it stands; an apostrophe may begin a contraction.
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+_MARK_BYTES = _MARKS.encode()
+
+
+class _Known(dict):
+    """Values by key, made when first asked for; emptied when there are ``most``."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
 
 
 class RunEncoder:
@@ -55,43 +69,45 @@ class RunEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.cache: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.cache = _Known(self._run, MAX_CACHED_RUNS)
+        self.plain = _Known(self._ascii, MAX_CACHED_RUNS // 2)
+        self.pieces = _Known(self._piece, MAX_CACHED_RUNS // 2)
         words = self.library.get_vocab()
         self.ends_sentence = np.zeros(max(words.values()) + 1, bool)
         self.ends_sentence[[i for w, i in words.items() if w.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
         self.symbols = str.maketrans({b: s for b, s in byte_symbols().items()})
 
+    def _packed(self, symbols: str) -> bytes:
+        tokens = self.model.tokenize(symbols) if symbols else []
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def _ascii(self, piece: bytes) -> bytes:
+        return self._packed(piece.decode("ascii"))  # printable ASCII stands for itself
+
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) > MAX_CACHED_RUNS // 2:
-                self.pieces = {"": b""}
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
-            got = self.pieces[piece] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return got
+        return self._packed(piece.encode().decode("latin-1").translate(self.symbols))
 
     def _run(self, run: bytes) -> bytes:
-        text = run.decode("utf-8", "replace")
-        rest = text.lstrip(_MARKS)
-        word = rest.rstrip(_MARKS)
-        if (not word or word.isalpha() and max(word) < "\u0100") and "<|" not in text and len(text) <= 256:
-            return self._piece(text[: len(text) - len(rest)]) + self._piece(word.lower()) + self._piece(rest[len(word) :])
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(run) <= 256 and b"<|" not in run:
+            rest = run.lstrip(_MARK_BYTES)
+            word = rest.rstrip(_MARK_BYTES)
+            if word.isalpha():  # ASCII letters, with marks around them or none
+                got = self.plain[word.lower()]
+                if len(rest) < len(run):
+                    got = self.plain[run[: len(run) - len(rest)]] + got
+                return got + self.plain[rest[len(word) :]] if len(word) < len(rest) else got
+            text = run.decode("utf-8", "replace")
+            rest = text.lstrip(_MARKS)
+            word = rest.rstrip(_MARKS)
+            if not word or word.isalpha() and max(word) < "\u0100":
+                return self.pieces[text[: len(text) - len(rest)]] + self.pieces[word.lower()] + self.pieces[rest[len(word) :]]
+        return np.array(self.library.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers, with the end id."""
         end = np.array([END_ID], "<u4").tobytes()
-        split = [t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else [] for t in texts]
-        new = {r for runs in split for r in runs if r not in self.cache}
-        if new:
-            if len(self.cache) + len(new) > MAX_CACHED_RUNS:
-                self.cache.clear()
-                new = {r for runs in split for r in runs}
-            for r in new:
-                self.cache[r] = self._run(r)
         get = self.cache.__getitem__
-        return [b"".join(map(get, runs)) + end for runs in split]
+        return [b"".join(map(get, t.encode("utf-8", "surrogatepass").split())) + end if isinstance(t, str) else end for t in texts]
 
 
 def best_cuts(at: np.ndarray, cost: np.ndarray, limit: int = LIMIT) -> np.ndarray:
