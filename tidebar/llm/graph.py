@@ -46,6 +46,10 @@ def dropped(*done: DataFrame) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Edges that a task of a later round writes; there are about as many as in the round before.
+ROWS = 200_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): the smallest node reachable.
 
@@ -67,7 +71,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), F.col("m")))).alias("p"))
-        e, now = written(small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b").distinct(), e)
+        e, now = written(small.select(F.col("p.b").alias("a"), F.col("p.m").alias("b")).where("a <> b").distinct().coalesce(8 + mark["n"] // ROWS), e)
         if now == mark:
             break
         mark = now
