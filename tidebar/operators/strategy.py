@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -59,8 +59,9 @@ class Strategy:
         if errors:
             raise ValueError("; ".join(f"{k}: {m}" for k, found in errors.items() for m in found))
         known = {k: v for k, v in document.items() if k in cls.__dataclass_fields__ and v is not None}
-        if document.get("chart_period"):
-            known["freq"] = document["chart_period"]
+        for old, new in (("chart_period", "freq"), ("chart_start", "start"), ("chart_stop", "stop")):
+            if document.get(old):
+                known[new] = document[old] if old == "chart_period" else known.get(new) or document[old]
         return cls(**known | {"lot_size": known.get("lot_size") or 1.0})
 
     def errors(self) -> list[str]:
@@ -185,8 +186,13 @@ def chart(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)) ->
     return regrid(bars, s.freq, fill=False, keys=keys) if s.freq else bars
 
 
-def with_datapoints(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The chart with all datapoints. The first one sees the gaps; then the last values are carried forward, bars' and datapoints'."""
+def with_datapoints(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",), warm_up: bool = False) -> DataFrame:
+    """The chart with all datapoints. The first one sees the gaps; then the last values are carried forward, bars' and datapoints'.
+
+    ``warm_up``: datapoints also see the bars before the strategy's start.
+    """
+    if warm_up and s.start:
+        return between(with_datapoints(bars, replace(s, start=None), keys), s.start)
     df = chart(bars, s, keys)
     for k, d in enumerate(s.datapoints):
         df = _point(df, d["name"], d, keys)
@@ -291,7 +297,7 @@ def backtest_segments(bars: DataFrame, s: Strategy, size: int, keys: tuple[str,
     df, parts = in_segments(with_datapoints(bars, s, keys), size, keys), (*keys, "segment")
     if s.trailing_stop_loss:  # the stop's level is of the whole chart
         df = df.withColumn("trailing_stop_loss", stop_level(s, keys)).withColumn("_tsl", F.coalesce(F.col("close") <= F.col("trailing_stop_loss"), F.lit(False)))
-        plain = Strategy(**{f: getattr(s, f) for f in Strategy.__dataclass_fields__} | {"trailing_stop_loss": 0.0})
+        plain = replace(s, trailing_stop_loss=0.0)
         return simulate(df.withColumn("action", F.when(F.col("_tsl"), "tsl").otherwise(action_of(plain, parts))).drop("_tsl"), s, parts)
     return simulate(df.withColumn("action", action_of(s, parts)), s, parts)
 
