@@ -149,7 +149,7 @@ def upsert(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Merge bars with columns exchange and symbol into a store partitioned by both; new rows replace old ones of the same time."""
     new = df.select("exchange", "symbol", "ts", *OHLCV).withColumn("_age", F.lit(1))
     try:
-        old = spark.read.parquet(path).join(F.broadcast(df.select("exchange", "symbol").distinct()), ["exchange", "symbol"], "left_semi")
+        old = spark.read.parquet(path).join(df.select("exchange", "symbol").distinct(), ["exchange", "symbol"], "left_semi")
         new = new.unionByName(old.select("exchange", "symbol", "ts", *OHLCV).withColumn("_age", F.lit(0)))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
