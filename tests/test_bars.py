@@ -277,3 +277,10 @@ def test_rules(spark):
     got = st.evaluate_rules(df, [["n", ">", 1], ["r", ">", 5], ["n", "~", 1]]).first().rules
     assert (got.all, got.any, got.results) == (False, True, [True, False, False])
     assert st.evaluate_rules(df, []).first().rules.all is False
+
+
+@pytest.mark.parametrize("names", [[5, -3, 9], ["b", "a", "c"]])
+def test_ties_of_one_time_are_ordered(spark, names):
+    rows = [("s", T0, name, float(k)) for k, name in enumerate(names)] + [("s", T0 + dt.timedelta(seconds=1), names[0], 7.0), ("s", T0 - dt.timedelta(days=30_000), names[0], 1.0), ("s", T0, names[0], None)]
+    got = src.from_ticks(spark.createDataFrame(rows, ["a", "t", "k", "p"]).where("t >= '2024-01-01'"), F.col("a"), F.col("t"), F.col("p"), F.lit(1), F.col("k"), "1Min").collect()
+    assert [(r.open, r.high, r.low, r.close, r.volume) for r in got] == [(1.0, 7.0, 0.0, 7.0, 4.0)]

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 _UNITS = {"T": 60, "Min": 60, "min": 60, "H": 3600, "h": 3600, "D": 86400, "S": 1, "s": 1}
@@ -103,9 +104,18 @@ def trending(df: DataFrame, column: str, n: int = 1, up: bool = True, keys: tupl
     return F.coalesce(move > 0 if up else move < 0, F.lit(False))
 
 
+def _in_order(df: DataFrame, ts: Column, tie: Column) -> Column:
+    """A value that orders rows by time and then ``tie``; of whole numbers one decimal, which a hash aggregate can hold, where a struct needs all rows sorted."""
+    kind = df.select(tie.alias("k")).schema["k"].dataType
+    if not isinstance(kind, IntegralType):
+        return F.struct(ts.alias("t"), tie.alias("k"))
+    wide = F.lit(str(2 * 10**19)).cast("decimal(20,0)")
+    return F.unix_micros(ts).cast("decimal(38,0)") * wide + tie.cast("decimal(38,0)")
+
+
 def from_ticks(df: DataFrame, symbol: Column, ts: Column, price: Column, volume: Column, tie: Column, freq: str) -> DataFrame:
     """Bars from single trades; ``tie`` orders trades of one time."""
-    rows = df.select(symbol.alias("symbol"), bucket(ts, freq).alias("ts"), F.struct(ts.alias("t"), tie.alias("k")).alias("o"), price.cast("double").alias("p"), volume.cast("double").alias("v")).where("p is not null")
+    rows = df.select(symbol.alias("symbol"), bucket(ts, freq).alias("ts"), _in_order(df, ts, tie).alias("o"), price.cast("double").alias("p"), volume.cast("double").alias("v")).where("p is not null")
     return rows.groupBy("symbol", "ts").agg(F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"), F.sum("v").alias("volume"))
 
 
