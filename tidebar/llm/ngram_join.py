@@ -127,7 +127,8 @@ def _screened(rows: DataFrame, column: str, share: int, parts: int) -> DataFrame
     """(id, n, class, node, alive) for every row of (id, text or shingles): alive, unless more than a fifth of the set is in no other class.
 
     Only one set of each class that a task's flush sees is counted; of its others
-    ``alive`` is false. ``share``: one hash in so many is counted.
+    ``alive`` is false. ``share``: one hash in so many is counted. A flush sends
+    each hash twice at most, however many of its sets have it.
     """
     texts = column == "text"
 
@@ -138,6 +139,9 @@ def _screened(rows: DataFrame, column: str, share: int, parts: int) -> DataFrame
         def flush() -> pd.DataFrame:
             out = [(task % parts, task, True, np.array(seen, _SEEN).tobytes())]
             values = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+            # two sets tell all others that a shingle is shared, so a very common one is sent twice and no more
+            key = values >> _U(FLUSH_BITS)
+            values = values[np.concatenate([np.ones(min(2, len(key)), bool), key[2:] != key[:-2]])]
             part = (values >> _U(40)) * _U(parts) >> _U(24)
             where, begin = np.unique(part, return_index=True)
             for p, a, b in zip(where.tolist(), begin.tolist(), [*begin[1:].tolist(), len(part)], strict=False):
