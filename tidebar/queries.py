@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,7 +160,7 @@ def screen_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def portfolio_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paper portfolio of the flagship's actions, streamed from a folder of actions."""
     s = st.Strategy.of(FLAGSHIP)
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp(prefix='tidebar-')}/portfolio-{uuid.uuid4().hex}"
+    folder = pf.shared_folder(spark)
     st.with_actions(st.with_datapoints(event_bars(spark, sf_dir), s), s).select("symbol", "ts", "close", "action").write.parquet(f"{folder}/actions")
     log = pf.act_on(spark.readStream.schema(pf.ACTIONS).parquet(f"{folder}/actions"), s)
     log.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/log").awaitTermination()
