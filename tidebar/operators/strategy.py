@@ -511,8 +511,9 @@ def sweep(bars: DataFrame, variants: Mapping[str, Mapping], keys: tuple[str, ...
     """Summaries of many strategy documents over the same bars in one job, with the variant's name.
 
     Bars are shuffled once and each different datapoint is computed once. A bar's
-    actions under all variants become rows, so that account and summary run once,
-    with the variant as one more key; the plan grows by an expression a variant.
+    actions under all variants become rows, dealt out by key and variant, so that
+    account and summary run once and in parallel over the variants; the plan grows
+    by an expression a variant.
     """
     known = {name: Strategy.of(d) for name, d in variants.items()}
     if len({(s.freq, s.start, s.stop) for s in known.values()}) != 1:
@@ -539,8 +540,8 @@ def sweep(bars: DataFrame, variants: Mapping[str, Mapping], keys: tuple[str, ...
     actions = {f"_a{k}": a for k, (_, a, _) in enumerate(rows)}
     df = df.withColumns(actions).select(*keys, "ts", "close", *actions)
     structs = [F.struct(F.lit(name).alias("variant"), F.col(f"_a{k}").alias("action"), F.lit(bool(s.exit_on_end)).alias("_close_end"), *(c.alias(n) for n, c in terms(s).items())) for k, (name, _, s) in enumerate(rows)]
-    df = df.select(*keys, "ts", "close", F.inline(F.array(*structs)))
     parts = (*keys, "variant")
+    df = df.select(*keys, "ts", "close", F.inline(F.array(*structs))).repartition(*parts)
     return summarize(simulate(df, None, parts), parts, freq)
 
 
