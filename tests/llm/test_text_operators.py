@@ -268,6 +268,19 @@ Unless required by applicable law or agreed to in writing, software distributed
 FULL["BSD-3-Clause"] = FULL["BSD-2-Clause"] + "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 
 
+FREE = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+FULL |= {
+    "LGPL-2.1-or-later": FREE.format("library", "Lesser", "2.1"),
+    "LGPL-3.0-or-later": FREE.format("library", "Lesser", "3"),
+    "AGPL-3.0-or-later": FREE.format("program", "Affero", "3"),
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.""",
+}
+
+
 def test_licenses_verbatim_and_with_others_between():
     s = licenses.Scanner()
     scan = lambda t: [m[0] for m in s.match(s.sentences([t.casefold().encode()])[0])]
