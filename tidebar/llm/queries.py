@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, ngram_join, packing, pii, quality, rules, tokencount, toxicity
+from . import chat, decontaminate, hard_negatives, licenses, ngram_join, packing, piece_codec, pii, prefix_trie, quality, rules, tokencount, toxicity
 from .textio import table
 
 
@@ -65,6 +65,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_join(items.cast("array<string>"), ",").alias("items"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_codec.model_path()
+    coded = piece_codec.decode_ids(piece_codec.encode_texts(table(spark, sf_dir, "documents"), model), model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), piece_codec.ids_digest().alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a seventh of the rows are moved by one before mining, as the contract has it."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", moved.cast("int").alias("label")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = prefix_trie.prefix_trie(prefix_trie.spliced(prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))))
+    found = nodes.join(prefix_trie.ends_digest(ends), "key", "left")
+    digest = F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256")
+    return found.select(F.col("first").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n_members").alias("n_convs"), "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), digest)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_format": op2_chat_format,
@@ -76,5 +96,8 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_hard_negatives": hard_negatives.MINE_SQL, "op13_prefix_trie": prefix_trie.TRIE_SQL}

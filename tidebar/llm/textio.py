@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,14 @@ def sliced(texts: Iterable[str | None], limit: int = SLICE_BYTES, fold: bool = F
         yield start, part
 
 
+def held_bytes(batch: pa.RecordBatch, column: int, limit: int = 4 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``limit`` bytes of one column, at least a row each, so that what is made of a part stays small."""
+    size = batch.column(column).nbytes / max(batch.num_rows, 1)
+    step = max(1, int(limit / max(size, 1)))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
