@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -230,7 +231,10 @@ def decode_ids(df: DataFrame, model: str, ids_col: str = "ids", into: str = "dec
         machine = codec(model)
         for batch in batches:
             for part in held_bytes(batch, batch.schema.get_field_index(ids_col)):
-                texts = pa.array([machine.decode(x or []) for x in part.column(ids_col).to_pylist()], pa.string())
+                lists = part.column(ids_col)
+                ends = np.cumsum(np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)), dtype=np.int64).tolist()
+                ids = lists.flatten().to_numpy()
+                texts = pa.array([machine.decode(ids[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, into])
 
     kept = df.drop(into)
