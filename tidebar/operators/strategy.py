@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.indicators import INDICATORS, with_indicator
+from ..functions import slices
+from ..functions.indicators import INDICATORS, look_back, with_indicator, with_sliced_indicators
 from ..sources.bars import OHLCV, between, filled, first_values, regrid, resample, seconds
+from ..sources.staging import Stages
 
 OPERATORS = {">": "gt", "<": "lt", "=": "eq", ">=": "ge", "<=": "le", "!=": "ne"}
 REQUIRED = ("datapoints", "enter", "exit")
@@ -282,8 +284,89 @@ def simulate(df: DataFrame, s: Strategy | None = None, keys: tuple[str, ...] = (
     return df.withColumns({"adj_account_value_change": F.col("adj_account_value") - before, "adj_account_value_change_perc": F.try_divide(F.col("adj_account_value"), before) - 1})
 
 
-def backtest(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Bars with indicators, actions and the account."""
+def longest_lookback(s: Strategy) -> int:
+    return max([int(r[3] or 0) for g in (s.enter, s.exit, s.any_enter, s.any_exit) for r in g if len(r) == 4], default=0)
+
+
+def sliced_datapoints(bars: DataFrame, s: Strategy, rows: int, keys: tuple[str, ...], stages: Stages) -> DataFrame:
+    """As ``with_datapoints``, slice by slice; bars are in slices, with a halo for the logics' lookbacks.
+
+    Datapoints of a freq of their own, and those that need all of a symbol's bars
+    together, are still made symbol by symbol.
+    """
+    bars = between(first_values(bars, s.freq, keys) if s.freq else bars, s.start, s.stop)
+    if s.freq:
+        bars = stages(slices.regrid(slices.cut(bars, rows, 0, keys).drop("_own", "_next"), seconds(s.freq), keys))
+    raw = [c for c in bars.columns if c not in (*keys, "ts", "_slice")]
+    bound = {d["name"]: None if d.get("freq") else look_back(d["transformer"], d.get("args") or ()) for d in s.datapoints}
+    df = slices.cut(bars, rows, max([longest_lookback(s), *(n or 0 for n in bound.values())]) + 1, keys)
+    # the first datapoint sees the gaps of a grid, the others see bars without gaps
+    for first, points in ((True, s.datapoints[:1]), (False, s.datapoints[1:])) if s.freq else ((False, s.datapoints),):
+        have = df.columns
+        sliced = [(d["name"], d["transformer"], d.get("args") or ()) for d in points if bound[d["name"]] is not None]
+        df = with_sliced_indicators(df, sliced, keys, stages) if sliced else slices.own(df)
+        for d in points:
+            if bound[d["name"]] is None:
+                df = _point(df, d["name"], d, keys)
+        df = slices.carried(df, [c for c in df.columns if c not in have] + (raw if first else []), keys, stages)
+        df = slices.with_halo(df, keys)
+    return df
+
+
+def sliced_actions(df: DataFrame, s: Strategy, keys: tuple[str, ...], stages: Stages) -> DataFrame:
+    """As ``with_actions``, of bars in slices; halos are dropped."""
+    df = slices.own(df.withColumn("action", action_of(replace(s, trailing_stop_loss=0.0), (*keys, "_slice"))))
+    if not s.trailing_stop_loss:
+        return df
+    df = slices.before(df, {"_peak": (F.max("close"), F.max)}, keys, stages)
+    sofar = Window.partitionBy(*keys, "_slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.greatest(F.max("close").over(sofar), "_peak") * (1 - float(s.trailing_stop_loss))
+    df = df.withColumn("trailing_stop_loss", level).drop("_peak")
+    return df.withColumn("action", F.when(F.coalesce(F.col("close") <= F.col("trailing_stop_loss"), F.lit(False)), "tsl").otherwise(F.col("action")))
+
+
+def sliced_account(df: DataFrame, s: Strategy, keys: tuple[str, ...], stages: Stages) -> DataFrame:
+    """As ``simulate``, of bars in slices: only the bars on which a trade opens or closes meet symbol by symbol, and their states are carried to the others slice by slice."""
+    w = Window.partitionBy(*keys, "_slice").orderBy("ts")
+    sofar, first = w.rowsBetween(Window.unboundedPreceding, 0), F.row_number().over(w) == 1
+    last = lambda x: F.last(x, ignorenulls=True)
+    code = F.when(F.col("action").isin("e", "ae"), 1).when(F.col("action").isin("x", "ax", "tsl"), 2)
+    df = slices.before(df.drop("_own", "_next").withColumn("_code", code), {"_held": (F.max_by("_code", F.when(F.col("_code").isNotNull(), F.col("ts"))), last)}, keys, stages)
+    df = df.withColumn("_now", F.coalesce(last(F.col("_code")).over(sofar), "_held"))
+    held = {"in_trade": F.col("_now"), "_was": F.when(first, F.col("_held")).otherwise(F.lag("_now").over(w))}
+    df = df.withColumns({n: F.coalesce(c == 1, F.lit(False)) for n, c in held.items()}).drop("_code", "_held", "_now")
+    if s.exit_on_end:  # a trade still open at the end is closed by one more row, a second later
+        end = df.groupBy(*keys).agg(F.max("ts").alias("_end"))
+        closing = F.col("in_trade") & (F.col("ts") == F.col("_end"))
+        df = df.join(end, list(keys)).withColumn("_copy", F.explode(F.when(closing, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        extra = F.col("_copy") == 1
+        more = {"ts": F.col("ts") + F.expr("interval 1 second"), "in_trade": F.lit(False), "_was": F.lit(True), "action": F.lit("x")}
+        df = df.withColumns({n: F.when(extra, c).otherwise(F.col(n)) for n, c in more.items()}).drop("_end", "_copy")
+    df = df.withColumn("_event", F.col("in_trade") != F.col("_was")).drop("_was")
+    trades = df.where("_event").select(*keys, "_slice", "ts", "close", "in_trade", "_event").withColumns(terms(s))
+    made = ("account_value", "aux", "fee")
+    shape = StructType([*trades.schema.fields, *(StructField(c, DoubleType()) for c in made)])
+    trades = trades.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInArrow(_account(list(keys)), shape).select(*keys, "_slice", "ts", *made)
+    df = df.drop("_event").join(trades, [*keys, "_slice", "ts"], "left")
+    known = F.when(F.col("aux").isNotNull(), F.col("ts"))
+    ends = {"_cash": (F.max_by("account_value", known), last), "_aux": (F.max_by("aux", known), last), "_close": (F.max_by("close", "ts"), F.last)}
+    df = slices.before(df, ends, keys, stages)
+    worth = lambda cash, aux, close: cash + F.rint(aux * close * 1e8) / 1e8
+    start = {"_cash": F.coalesce("_cash", F.lit(float(s.base_balance))), "_aux": F.coalesce("_aux", F.lit(0.0))}
+    df = df.withColumns(start)
+    df = df.withColumns({"account_value": F.coalesce(last(F.col("account_value")).over(sofar), "_cash"), "aux": F.coalesce(last(F.col("aux")).over(sofar), "_aux"), "fee": F.coalesce("fee", F.lit(0.0))})
+    df = df.withColumn("adj_account_value", worth(F.col("account_value"), F.col("aux"), F.col("close")))
+    before = F.when(first, worth(F.col("_cash"), F.col("_aux"), F.col("_close"))).otherwise(F.lag("adj_account_value").over(w))
+    df = df.withColumn("_before", before)
+    changes = {"adj_account_value_change": F.col("adj_account_value") - F.col("_before"), "adj_account_value_change_perc": F.try_divide(F.col("adj_account_value"), F.col("_before")) - 1}
+    return df.withColumns(changes).drop("_before", "_cash", "_aux", "_close", "_slice")
+
+
+def backtest(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",), slice_rows: int | None = None) -> DataFrame:
+    """Bars with indicators, actions and the account. ``slice_rows``: bars are cut into slices of about so many, so that long symbols take many tasks."""
+    if slice_rows:
+        stages = Stages()
+        return sliced_account(sliced_actions(sliced_datapoints(bars, s, slice_rows, keys, stages), s, keys, stages), s, keys, stages)
     return simulate(with_actions(with_datapoints(bars, s, keys), s, keys), s, keys)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..queries import FLAGSHIP, HUNDRED, SWEPT
-from .indicator_sql import INDICATOR_SQL, RUN, bars, lagged, mean, over
+from .indicator_sql import INDICATOR_SQL, RUN, bars, ema, lagged, mean, over, table, volume_mean
 from .strategy_sql import account, actions, listed, r3, summary, trade_rows
 
 
@@ -181,3 +181,5 @@ ORACLE_SQL |= {
     (z.action = 'e' AND p.qty = 0 AND p.cash > 0) OR (z.action = 'x' AND p.qty > 0) FROM p JOIN z ON z.symbol = p.symbol AND z.r = p.r + 1)
     SELECT symbol, t, CASE WHEN done THEN action ELSE 'h' END AS action, round(cash, 4) AS cash, round(qty, 4) AS position_qty, round(cash + qty * c, 4) AS equity FROM p JOIN z USING (symbol, r)""",
 }
+ORACLE_SQL["sim_slices"] = ORACLE_SQL["sim_account"]
+ORACLE_SQL["ind_slices"] = table(ema("e", "c", 9), *volume_mean("f", 20), out=[mean("c", 20), "e", f"sum(v * tp) {RUN} / sum(v) {RUN}", "f"], step=3600)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.indicators import INDICATORS, with_indicator
+from .functions.indicators import INDICATORS, with_indicator, with_indicators
 from .operators import regimes as rg
 from .operators import strategy as st
 from .sources import bars as src
+from .sources.staging import new_folder
 from .streaming import portfolio as pf
 
 FLAGSHIP = {
@@ -120,6 +121,18 @@ def account(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("symbol", F.unix_seconds("ts").alias("t"), "action", "in_trade", F.round("aux", 6).alias("aux"), F.round("adj_account_value", 6).alias("adj_account_value"))
 
 
+def account_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account worked on in slices of some 60 bars, so that a symbol takes many tasks."""
+    df = st.backtest(event_bars(spark, sf_dir), st.Strategy.of(FLAGSHIP), slice_rows=60)
+    return df.select("symbol", F.unix_seconds("ts").alias("t"), "action", "in_trade", F.round("aux", 6).alias("aux"), F.round("adj_account_value", 6).alias("adj_account_value"))
+
+
+def indicators_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of hourly bars in slices: a window, a decaying mean, a running total and a scan."""
+    points = [("a", "sma", [20]), ("b", "ema", [9]), ("c", "vwap", []), ("d", "evwma", [20])]
+    return _out(with_indicators(event_bars(spark, sf_dir, "1h"), points, slice_rows=400), ["a", "b", "c", "d"])
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = st.trade_log(st.backtest(event_bars(spark, sf_dir), st.Strategy.of(FLAGSHIP)))
     return log.select("symbol", F.unix_seconds("ts").alias("t"), "in_trade", F.round("adj_account_value", 6).alias("adj_account_value"))
@@ -160,7 +173,7 @@ def screen_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def portfolio_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paper portfolio of the flagship's actions, streamed from a folder of actions."""
     s = st.Strategy.of(FLAGSHIP)
-    folder = pf.shared_folder(spark)
+    folder = new_folder(spark, "portfolio")
     st.with_actions(st.with_datapoints(event_bars(spark, sf_dir), s), s).select("symbol", "ts", "close", "action").write.parquet(f"{folder}/actions")
     log = pf.act_on(spark.readStream.schema(pf.ACTIONS).parquet(f"{folder}/actions"), s)
     log.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/log").awaitTermination()
@@ -186,7 +199,7 @@ def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SWEPT = [(3, 9), (5, 20), (9, 41)]
 HUNDRED = [(a, b) for a in range(2, 12) for b in range(20, 40, 2)]
-QUERIES = {"flagship": flagship, "sig_actions": signals, "sig_two_frequencies": two_frequencies, "sim_account": account, "sim_segments": segments, "log_trades": trades}
+QUERIES = {"flagship": flagship, "sig_actions": signals, "sig_two_frequencies": two_frequencies, "sim_account": account, "sim_segments": segments, "sim_slices": account_slices, "ind_slices": indicators_slices, "log_trades": trades}
 QUERIES |= {f"ind_{name}": _indicator(name) for name in sorted(INDICATORS)}
 bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency)
 bare += (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, screen_rank, portfolio_log, sweep_averages, sweep_best)

@@ -7,8 +7,6 @@ actions of the new bars are appended to a folder that the stateful stream reads.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,16 +24,6 @@ LOG = "symbol string, ts timestamp, price double, action string, side string, qt
 OPENS, CLOSES = ("e", "ae"), ("x", "ax", "tsl")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; where that is unset and all run in one process, a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tidebar-")
-    return f"{folder}/portfolio-{uuid.uuid4().hex}"
-
-
 def step(state: tuple[float, float, float], action: str, price: float, lot: float, cap: float) -> tuple[tuple[float, float, float], tuple | None]:
     """((cash, quantity, mean price) after an action, (side, quantity, notional) of the trade if there was one); there is no commission."""
     cash, held, mean = state
