@@ -183,3 +183,5 @@ ORACLE_SQL |= {
 }
 ORACLE_SQL["sim_slices"] = ORACLE_SQL["sim_account"]
 ORACLE_SQL["ind_slices"] = table(ema("e", "c", 9), *volume_mean("f", 20), out=[mean("c", 20), "e", f"sum(v * tp) {RUN} / sum(v) {RUN}", "f"], step=3600)
+ORACLE_SQL["store_bars"] = f"""WITH {bars()} SELECT CASE symbol WHEN 'click' THEN '0700' WHEN 'view' THEN '1INCH' ELSE symbol END AS symbol, t,
+    round(o, 6) AS v0, round(h, 6) AS v1, round(l, 6) AS v2, round(CASE WHEN t % 86400 >= 28800 THEN c ELSE 2 * c END, 6) AS v3, round(v, 6) AS v4 FROM n"""

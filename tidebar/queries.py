@@ -9,7 +9,8 @@ from .functions.indicators import INDICATORS, with_indicator, with_indicators
 from .operators import regimes as rg
 from .operators import strategy as st
 from .sources import bars as src
-from .sources.staging import new_folder
+from .sources.staging import new_folder, put_text
+from .sources.store import BarStore
 from .streaming import portfolio as pf
 
 FLAGSHIP = {
@@ -96,6 +97,19 @@ def bars_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.infer_frequency(event_bars(spark, sf_dir, "10Min"))
 
 
+def store_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a store after two commits, the second of which replaces those from eight o'clock on, and a third whose file is broken; symbols look like numbers."""
+    named = F.when(F.col("symbol") == "click", "0700").when(F.col("symbol") == "view", "1INCH").otherwise(F.col("symbol"))
+    bars = event_bars(spark, sf_dir).withColumns({"symbol": named, "exchange": F.lit("007")})
+    store = BarStore(spark, new_folder(spark, "store"))
+    store.commit(bars.withColumn("close", F.col("close") * 2))
+    store.commit(bars.where("hour(ts) >= 8"))
+    lost = store.commit(bars.where("symbol = '0700'").withColumn("ts", F.col("ts") + F.expr("interval 1000 days")))
+    for row in store.manifest().where(F.col("file").startswith(f"data/{lost:012d}-")).select("file").distinct().collect():
+        put_text(spark, f"{store.path}/{row['file']}", "no Parquet")
+    return _out(store.read(), src.OHLCV)
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = st.Strategy.of(FLAGSHIP | {"trailing_stop_loss": 0.9})
     df = st.with_actions(st.with_datapoints(event_bars(spark, sf_dir), s), s)
@@ -201,6 +215,6 @@ SWEPT = [(3, 9), (5, 20), (9, 41)]
 HUNDRED = [(a, b) for a in range(2, 12) for b in range(20, 40, 2)]
 QUERIES = {"flagship": flagship, "sig_actions": signals, "sig_two_frequencies": two_frequencies, "sim_account": account, "sim_segments": segments, "sim_slices": account_slices, "ind_slices": indicators_slices, "log_trades": trades}
 QUERIES |= {f"ind_{name}": _indicator(name) for name in sorted(INDICATORS)}
-bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency)
+bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency, store_bars)
 bare += (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, screen_rank, portfolio_log, sweep_averages, sweep_best)
 QUERIES |= {f.__name__: f for f in bare}

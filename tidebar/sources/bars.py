@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from .store import SCHEMA, BarStore
+
 OHLCV = ["open", "high", "low", "close", "volume"]
 _UNITS = {"T": 60, "Min": 60, "min": 60, "H": 3600, "h": 3600, "D": 86400, "S": 1, "s": 1}
 
@@ -155,34 +157,42 @@ def missing_bars(df: DataFrame, freq: str, keys: tuple[str, ...] = ("symbol",))
     return found.select(*keys, F.greatest(F.col("e") - F.col("n"), F.lit(0)).alias("total_missing"), F.round((F.col("e") - F.col("n")) / F.col("e") * 100, 2).alias("perc_missing"))
 
 
+def _partitioned(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of Parquet files by exchange=.../symbol=..., whose names stay text; unreadable files are skipped."""
+    return spark.read.schema(SCHEMA).option("ignoreCorruptFiles", "true").parquet(path)
+
+
 def upsert(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Merge bars with columns exchange and symbol into a store partitioned by both; new rows replace old ones of the same time."""
-    new = df.select("exchange", "symbol", "ts", *OHLCV).withColumn("_age", F.lit(1))
-    try:
-        old = spark.read.parquet(path).join(df.select("exchange", "symbol").distinct(), ["exchange", "symbol"], "left_semi")
-        new = new.unionByName(old.select("exchange", "symbol", "ts", *OHLCV).withColumn("_age", F.lit(0)))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    merged = deduplicate(new, "_age", keys=("exchange", "symbol")).drop("_age").checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("exchange", "symbol").parquet(path)
+    """Commits bars with columns exchange and symbol to a store of snapshots; new rows stand instead of old ones of the same time. A folder partitioned by both is taken over first."""
+    store = BarStore(spark, path)
+    if not store.versions() and any(n.startswith("exchange=") for n in store._listed("")):
+        store.commit(_partitioned(spark, path))
+    store.commit(df)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored bars; unreadable files are skipped and stay where they are."""
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    """The stored bars of the newest snapshot, or of a folder partitioned by exchange and symbol; unreadable files are skipped and stay where they are."""
+    store = BarStore(spark, path)
+    return store.read() if store.versions() else _partitioned(spark, path)
 
 
 def assets(spark: SparkSession, path: str) -> DataFrame:
     """The pairs of exchange and symbol that are stored, but for names that begin with an underscore."""
-    pairs = read_store(spark, path).select("exchange", "symbol").distinct()
+    store = BarStore(spark, path)
+    if store.versions():
+        return store.assets()
+    pairs = _partitioned(spark, path).select("exchange", "symbol").distinct()
     return pairs.where(~F.col("exchange").startswith("_") & ~F.col("symbol").startswith("_"))
 
 
 def scan(spark: SparkSession, path: str, symbol: str | None = None, exchange: str | None = None, start=None, stop=None, freq: str | None = None) -> DataFrame:
-    """Stored bars, resampled to ``freq``; exchange and symbol prune partitions, and the range reaches the Parquet scan."""
-    df = read_store(spark, path)
-    for column, value in (("symbol", symbol), ("exchange", exchange)):
-        df = df.where(F.col(column) == value) if value else df
+    """Stored bars, resampled to ``freq``; exchange and symbol choose files, and the range reaches the Parquet scan."""
+    store = BarStore(spark, path)
+    if store.versions():
+        df = store.read(exchange or None, symbol or None)
+    else:
+        df = _partitioned(spark, path)
+        for column, value in (("symbol", symbol), ("exchange", exchange)):
+            df = df.where(F.col(column) == value) if value else df
     df = between(df, start, stop)
     return resample(df, freq, ("exchange", "symbol")) if freq else df

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 def save_run(path: str, run: str, summary: DataFrame, frame: DataFrame | None = None, trades: DataFrame | None = None) -> None:
     """Writes a run's summary as JSON and, where given, its bars and trades as Parquet, each in the folder of its kind and run; a run of that name is replaced."""
+    if not run or "/" in run:
+        raise ValueError(f"not a name for a run: {run!r}")
     for kind, df in (("dataframe", frame), ("trade_log", trades)):
         if df is not None:
             df.write.mode("overwrite").parquet(f"{path}/{kind}/run={run}")
@@ -16,7 +18,10 @@ def save_run(path: str, run: str, summary: DataFrame, frame: DataFrame | None =
 
 def saved_runs(spark: SparkSession, path: str, limit: int = 10, name: str | None = None) -> DataFrame:
     """The summaries of the latest ``limit`` runs by name, latest first; or of the run ``name``."""
-    runs = spark.read.json(f"{path}/summary").withColumn("run", F.col("run").cast("string"))
+    # the run is read from the path, as text: Spark would take 007 for a number and 2024-01-01 for a date
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/run=([^/]+)/[^/]*$", 1)
+    rows = spark.read.option("recursiveFileLookup", "true").json(f"{path}/summary")
+    runs = rows.select(*rows.columns, F.url_decode(F.regexp_replace(folder, r"\+", "%2B")).alias("run"))
     if name is not None:
         return runs.where(F.col("run") == name)
     latest = runs.select("run").distinct().orderBy(F.desc("run")).limit(limit)

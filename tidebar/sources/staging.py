@@ -32,6 +32,17 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """A small text as a file; without ``replace`` it is an error if there is one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(place, replace)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 class Stages:
     """A line of tables each of which is made of the one before: when the next one is written, the last one is deleted."""
 
