@@ -171,8 +171,10 @@ def test_decontamination(spark, docs):
     rows = [(0, f"before {item.upper()} after"), (1, "x " + " ".join(words)), (2, " ".join(item.split()[:8])), (3, None), (4, "too short")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: [i["item"] for i in r["items"]] for r in decontaminate.find_contamination(df, bench).collect()}
-    assert got == {0: [7], 1: [7], 2: [], 3: [], 4: []}
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench, max_index=8).collect()) == [2, 3, 4]
+    assert got == {0: [7], 1: [7], 2: [], 3: [], 4: [9]}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench, max_index=8).collect()) == [2, 3]
+    longer = decontaminate.find_contamination(df, bench, min_tokens=3)  # only a parameter leaves short items out
+    assert [r.doc_id for r in longer.where("size(items) > 0").orderBy("doc_id").collect()] == [0, 1]
 
 
 def test_licenses():

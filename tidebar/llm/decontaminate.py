@@ -40,8 +40,8 @@ LOSSLESS = {
     (4, 1): ["111", "1101", "1011"],
 }
 WINDOW, SHARE = 16, 0.75
-#: Items of fewer tokens say too little to be looked for.
-MIN_TOKENS = 3
+#: Items of fewer tokens are not looked for. By default all are: one of less than four tokens is found where all of them agree.
+MIN_TOKENS = 1
 MAX_INDEX = 1 << 21
 _FILTER_BITS = 22
 _CHECK_HITS = 1 << 14
@@ -84,7 +84,7 @@ def _seeded(h: np.ndarray, seed: str, number: int) -> np.ndarray:
 class Index:
     """Seed hashes of benchmark items with the places they come from."""
 
-    def __init__(self, items: list[tuple], window: int = WINDOW, share: float = SHARE):
+    def __init__(self, items: list[tuple], window: int = WINDOW, share: float = SHARE, min_tokens: int = MIN_TOKENS):
         self.ids = [i for i, _ in items]
         words = Words([(spaced(t) or "").casefold().encode("utf-8", "surrogatepass") for _, t in items], PLAIN)
         self.hash, self.first, self.count = words.hash, words.first, words.count
@@ -92,7 +92,7 @@ class Index:
         self.equal = np.array([max(1, math.ceil(share * n)) for n in self.need.tolist()], np.int64)
         owner = words.text_of()
         wanted: dict[str, set[int]] = {}
-        sizes = {(n, e) for n, e, c in zip(self.need.tolist(), self.equal.tolist(), words.count.tolist(), strict=True) if c >= MIN_TOKENS and n >= e}
+        sizes = {(n, e) for n, e, c in zip(self.need.tolist(), self.equal.tolist(), words.count.tolist(), strict=True) if c >= max(min_tokens, 1) and n >= e}
         for n, e in sizes:
             for seed in seeds_for(n, e):
                 wanted.setdefault(seed, set()).add(n)
@@ -101,7 +101,7 @@ class Index:
         for number, seed in enumerate(self.seeds):
             h = _seeded(words.hash, seed, number)
             inside = owner[: len(h)] == owner[len(seed) - 1 :] if len(h) else np.zeros(0, bool)
-            inside &= np.isin(self.need[owner[: len(h)]], list(wanted[seed])) & (words.count[owner[: len(h)]] >= MIN_TOKENS)
+            inside &= np.isin(self.need[owner[: len(h)]], list(wanted[seed])) & (words.count[owner[: len(h)]] >= min_tokens)
             keys.append(h[inside])
             places.append(np.flatnonzero(inside))
         key, place = np.concatenate(keys), np.concatenate(places)
@@ -185,9 +185,9 @@ def _parts(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> It
         yield part
 
 
-def _found(df: DataFrame, part: list[tuple], names: list[str], window: int, share: float, kinds: tuple[str, str]) -> tuple[DataFrame, Broadcast]:
+def _found(df: DataFrame, part: list[tuple], names: list[str], found_by: tuple[int, float, int], kinds: tuple[str, str]) -> tuple[DataFrame, Broadcast]:
     """(id, items) of every row of (id, text) for one part of the benchmark, and the part's broadcast."""
-    held = df.sparkSession.sparkContext.broadcast(Index(part, window, share))
+    held = df.sparkSession.sparkContext.broadcast(Index(part, *found_by))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -201,12 +201,12 @@ def _found(df: DataFrame, part: list[tuple], names: list[str], window: int, shar
     return df.mapInPandas(search, f"`{names[0]}` {kinds[0]}, items array<struct<item:{kinds[1]},token:bigint,equal:bigint>>"), held
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, max_index: int = MAX_INDEX) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, max_index: int = MAX_INDEX, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(id, items array<struct<item, token, equal>>) for every row: the benchmark items found in its whole text.
 
     An item is found where some ``window`` consecutive tokens (all of a shorter
     item's) agree with the text in ``share`` of places or more, and none is missed.
-    Items of less than ``MIN_TOKENS`` tokens, null items and null or empty texts
+    Items of less than ``min_tokens`` tokens, null items and null or empty texts
     match nothing; items that are equal are all found. Repeated rows and null ids
     are kept; other columns are ignored; an empty table gives no rows, and an empty
     benchmark no items.
@@ -216,26 +216,26 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     parts = _parts(benchmark, item_col, item_text, max_index)
     first, second = next(parts, []), next(parts, None)
     if second is None:
-        return _found(rows, first, ["id"], window, share, kinds)[0].withColumnRenamed("id", id_col)
+        return _found(rows, first, ["id"], (window, share, min_tokens), kinds)[0].withColumnRenamed("id", id_col)
     # rows of equal id and text have equal items, so hits go by both
     keyed = rows.select(F.xxhash64("id", "text").alias("key"), "text")
     hits = []
     for part in chain((first, second), parts):
-        hits.append(_hits(keyed, part, window, share, kinds[1]))
+        hits.append(_hits(keyed, part, (window, share, min_tokens), kinds[1]))
     every = reduce(DataFrame.unionByName, hits).groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"))
     none = F.array().cast(every.schema["items"].dataType)
     return rows.withColumn("key", F.xxhash64("id", "text")).drop("text").join(every, "key", "left").select(F.col("id").alias(id_col), F.coalesce("items", none).alias("items"))
 
 
-def _hits(keyed: DataFrame, part: list[tuple], window: int, share: float, kind: str) -> DataFrame:
+def _hits(keyed: DataFrame, part: list[tuple], found_by: tuple[int, float, int], kind: str) -> DataFrame:
     """(key, items) of the rows in which an item of the part is found, once a key; staged, with the part's broadcast gone."""
-    found, held = _found(keyed, part, ["key"], window, share, ("bigint", kind))
+    found, held = _found(keyed, part, ["key"], found_by, ("bigint", kind))
     out = staged(found.where(F.size("items") > 0).dropDuplicates(["key"]))
     held.destroy()
     return out
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, max_index: int = MAX_INDEX) -> DataFrame:
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, share: float = SHARE, max_index: int = MAX_INDEX, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The rows in whose text no benchmark item is found, with all their columns.
 
     Rows with null or empty texts stay, as do repeated rows and null ids; an empty
@@ -244,7 +244,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     parts = _parts(benchmark, item_col, item_text, max_index)
     part = next(parts, None)
     while part is not None:
-        held, after = df.sparkSession.sparkContext.broadcast(Index(part, window, share)), next(parts, None)
+        held, after = df.sparkSession.sparkContext.broadcast(Index(part, window, share, min_tokens)), next(parts, None)
         df = df.where(~_hit(held)(F.col(text_col)))
         if after is not None:
             df = staged(df)

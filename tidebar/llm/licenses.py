@@ -84,6 +84,19 @@ SENTENCES = {
     "cc-by-sa-3-long": "licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License",
     "artistic-2": "under the terms of the Artistic License 2.0",
     "public-domain": "dedicated to the public domain",
+    "bsd-advertising": "All advertising materials mentioning features or use of this software must display the following acknowledgement",
+    "mit-licensed": "licensed under the MIT License",
+    "mit-terms": "under the terms of the MIT license",
+    "gpl-2-published": "version 2 as published by the Free Software Foundation",
+    "gpl-2-published-terms": "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "apache-heading": "Apache License Version 2.0, January 2004",
+    "gpl3-heading": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2-heading": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "lgpl2.1-heading": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-heading": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-heading": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "mpl2-heading": "Mozilla Public License Version 2.0",
+    "epl2-heading": "Eclipse Public License - v 2.0",
 }
 # The ordered rules; the first rule that matches at a place wins.
 RULES = [
@@ -134,10 +147,28 @@ RULES = [
     ("CC-BY-SA-3.0", ("cc-by-sa-3-long",)),
     ("Artistic-2.0", ("artistic-2",)),
     ("public-domain", ("public-domain",)),
+    ("MIT", ("mit-licensed",)),
+    ("MIT", ("mit-terms",)),
+    ("GPL-2.0-only", ("gpl-free", "gpl-2-published")),
+    ("GPL-2.0-only", ("gpl-2-published-terms",)),
+    ("Apache-2.0", ("apache-heading",)),
+    ("GPL-3.0-only", ("gpl3-heading",)),
+    ("GPL-2.0-only", ("gpl2-heading",)),
+    ("LGPL-2.1-only", ("lgpl2.1-heading",)),
+    ("LGPL-3.0-only", ("lgpl3-heading",)),
+    ("AGPL-3.0-only", ("agpl3-heading",)),
+    ("MPL-2.0", ("mpl2-heading",)),
+    ("EPL-2.0", ("epl2-heading",)),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("all-rights-reserved", ("reserved",)),
 ]
+RESERVED = "all-rights-reserved"
+# A line that names a license by its identifier is a sentence of its own, for every license there is a rule for.
+for _id in dict.fromkeys(n for n, _ in RULES if n not in (RESERVED, "public-domain")):
+    SENTENCES[f"spdx-{_id}"] = f"SPDX-License-Identifier: {_id}"
+    RULES.append((_id, (f"spdx-{_id}",)))
 ANCHOR = 3
 
 
@@ -200,7 +231,8 @@ class Scanner:
     def match(self, found: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
         """(license, first word, word after the last) of the rules that the sequence of sentences matches, by first word.
 
-        Known sentences between those of a rule, which are no part of it, are matched on their own.
+        Known sentences between those of a rule, which are no part of it, are matched on their own. Rights
+        reserved at most ``GAP`` words before a license belong to its copyright line and say nothing else.
         """
         out, used = [], set()
         for k in range(len(found)):
@@ -212,7 +244,8 @@ class Scanner:
                     out.append((license_id, found[k][0], found[places[-1]][1]))
                     used.update(places)
                     break
-        return out
+        starts = [a for n, a, _ in out if n != RESERVED]
+        return [m for m in out if m[0] != RESERVED or not any(0 <= a - m[2] <= GAP for a in starts)]
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
