@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import hmm
+
 # The labels of a bar and the change in percent that each must exceed, first match wins.
 STEPS = [("Strong Increase", 2.0), ("Moderate Increase", 1.0), ("Slight Increase", 0.0), ("Stable", -0.5), ("Slight Decrease", -1.0), ("Moderate Decrease", -2.0)]
 LOWEST, DEFAULT = "Strong Decrease", "Stable"
@@ -124,3 +126,36 @@ def ranked(outlook: DataFrame) -> DataFrame:
     score = 100 * F.col("p50_30") + 50 * F.col("p50_60") + 100 * F.col("p25_30")
     # one row a symbol: the order of all is the report
     return outlook.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "symbol")))
+
+
+FEATURES = ["ret", "vol", "range", "trend", "volume_z"]
+
+
+def train_regimes(bars: DataFrame, states: int = 6, rounds: int = 100, limits: dict | None = None, keys: tuple[str, ...] = ("symbol",), by: tuple[str, ...] | None = None, windows: tuple[int, int, int] = (20, 20, 20)) -> tuple[DataFrame, DataFrame]:
+    """(models, labels): a hidden Markov model of the bars' regime features for each key, and for each of its states the mean features of the bars on the likeliest path and their label. Bars without a close are passed over."""
+    df = regime_features(bars.where("close is not null"), *windows, keys)
+    model = hmm.train(df, FEATURES, states, rounds, keys, by)
+    own = [c for c in model.columns if c not in hmm.PARTS]
+    seen = hmm.apply(df, model, FEATURES, keys)
+    seen = seen.withColumn("_all", F.lit(0)) if own == ["_all"] else seen
+    stats = seen.groupBy(*own, "state").agg(*(F.avg(c).alias(c) for c in FEATURES))
+    return model, stats.withColumn("label", regime_label(limits))
+
+
+def apply_regimes(bars: DataFrame, model: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("symbol",), windows: tuple[int, int, int] = (20, 20, 20)) -> DataFrame:
+    """The bars with regime_label and regime_conf; a state that no bar was in while training has no label."""
+    own = [c for c in model.columns if c not in hmm.PARTS]
+    df = hmm.apply(regime_features(bars.where("close is not null"), *windows, keys), model, FEATURES, keys)
+    df = df.withColumn("_all", F.lit(0)) if own == ["_all"] else df
+    named = df.join(labels.select(*own, "state", F.col("label").alias("regime_label")), [*own, "state"], "left")
+    return named.select(*bars.columns, "regime_label", F.col("confidence").alias("regime_conf"))
+
+
+def save_regimes(path: str, model: DataFrame, labels: DataFrame) -> None:
+    """Writes models and labels; those that were there are replaced."""
+    model.write.mode("overwrite").parquet(f"{path}/model")
+    labels.write.mode("overwrite").parquet(f"{path}/labels")
+
+
+def load_regimes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/model"), spark.read.parquet(f"{path}/labels")

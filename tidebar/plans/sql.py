@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..queries import FLAGSHIP, HUNDRED, SWEPT
+from ..operators.hmm import FLOOR, STAY
+from ..operators.regimes import FEATURES
+from ..queries import FLAGSHIP, HMM_ROUNDS, HUNDRED, SWEPT
+from .hmm_sql import hmm_model, hmm_path, hmm_tables
 from .indicator_sql import INDICATOR_SQL, RUN, bars, ema, lagged, mean, over, table, volume_mean
 from .strategy_sql import account, actions, listed, r3, summary, trade_rows
 
@@ -185,3 +188,6 @@ ORACLE_SQL["sim_slices"] = ORACLE_SQL["sim_account"]
 ORACLE_SQL["ind_slices"] = table(ema("e", "c", 9), *volume_mean("f", 20), out=[mean("c", 20), "e", f"sum(v * tp) {RUN} / sum(v) {RUN}", "f"], step=3600)
 ORACLE_SQL["store_bars"] = f"""WITH {bars()} SELECT CASE symbol WHEN 'click' THEN '0700' WHEN 'view' THEN '1INCH' ELSE symbol END AS symbol, t,
     round(o, 6) AS v0, round(h, 6) AS v1, round(l, 6) AS v2, round(CASE WHEN t % 86400 >= 28800 THEN c ELSE 2 * c END, 6) AS v3, round(v, 6) AS v4 FROM n"""
+_HMM = hmm_tables(ORACLE_SQL["regime_features"], len(FEATURES), HMM_ROUNDS, STAY, FLOOR)
+ORACLE_SQL["regime_train"] = f"WITH RECURSIVE {_HMM} {hmm_model(HMM_ROUNDS, len(FEATURES))}"
+ORACLE_SQL["regime_apply"] = f"WITH RECURSIVE {_HMM}, {hmm_path(HMM_ROUNDS)}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.indicators import INDICATORS, with_indicator, with_indicators
+from .operators import hmm
 from .operators import regimes as rg
 from .operators import strategy as st
 from .sources import bars as src
@@ -170,6 +171,29 @@ def regime_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("symbol", "label").agg(F.count("*").alias("n_bars"))
 
 
+def _hmm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regime features of the bars and their models of two states after a few rounds, in blocks of 50 bars."""
+    df = rg.regime_features(event_bars(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in rg.FEATURES})
+    return df, hmm.train(df, rg.FEATURES, 2, HMM_ROUNDS, length=50)
+
+
+def regime_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, d = _hmm(spark, sf_dir)[1], len(rg.FEATURES)
+    row = lambda k: F.struct(
+        F.lit(k).alias("state"),
+        F.round(F.col("start")[k], 6).alias("start_p"),
+        F.round(F.col("moves")[3 * k], 6).alias("stay_p"),
+        *(F.round(F.col(c)[k * d + i], 6).alias(f"{n}{i + 1}") for i in range(d) for c, n in (("means", "m"), ("variances", "v"))),
+        F.round("loglik", 4).alias("loglik"),
+    )
+    return model.select("symbol", F.inline(F.array(row(0), row(1))))
+
+
+def regime_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = hmm.apply(*_hmm(spark, sf_dir), rg.FEATURES, length=50)
+    return df.select("symbol", F.unix_seconds("ts").alias("t"), "state", F.round("confidence", 6).alias("confidence"))
+
+
 def screen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(rg.screen_features(event_bars(spark, sf_dir)), ["ret", "vol", "range", "trend", "drawdown"])
 
@@ -211,10 +235,11 @@ def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.desc("mean_return"), "variant").limit(10)
 
 
+HMM_ROUNDS = 2
 SWEPT = [(3, 9), (5, 20), (9, 41)]
 HUNDRED = [(a, b) for a in range(2, 12) for b in range(20, 40, 2)]
 QUERIES = {"flagship": flagship, "sig_actions": signals, "sig_two_frequencies": two_frequencies, "sim_account": account, "sim_segments": segments, "sim_slices": account_slices, "ind_slices": indicators_slices, "log_trades": trades}
 QUERIES |= {f"ind_{name}": _indicator(name) for name in sorted(INDICATORS)}
-bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency, store_bars)
+bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency, store_bars, regime_train, regime_apply)
 bare += (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, screen_rank, portfolio_log, sweep_averages, sweep_best)
 QUERIES |= {f.__name__: f for f in bare}
