@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .strategy import fitness, sweep
+from .strategy import ERROR, fitness, sound, sweep
 
 # What numbers of genes for columns and for the freq stand for, and the weights of two kinds of fitness.
 COLUMNS = ["close", "open", "low", "high"]
@@ -56,7 +56,8 @@ def search(bars: DataFrame, document: Mapping, genes: Mapping[str, Callable[[ran
 
     A generation is ``size`` variants in one job; only one number a variant comes
     back. Each gene is drawn by its function; from the second generation on, half
-    of a variant's genes are those of one of the best so far.
+    of a variant's genes are those of one of the best so far. A variant that can't
+    be run has the fitness ``ERROR``.
     """
     rng = random.Random(seed)
     best: list[tuple[dict, float]] = []
@@ -67,7 +68,8 @@ def search(bars: DataFrame, document: Mapping, genes: Mapping[str, Callable[[ran
             parent = rng.choice(best)[0] if best else {}
             tried.append({k: parent[k] if k in parent and rng.random() < 0.5 else v for k, v in drawn.items()})
         variants = {str(k): with_genes(document, g) for k, g in enumerate(tried)}
-        scored = sweep(bars, variants).groupBy("variant").agg(F.avg(fitness(dict(weights), min_trades)).alias("fitness")).collect()
-        best += [(tried[int(r["variant"])], r["fitness"]) for r in scored]
+        good, bad = sound(variants)
+        scored = sweep(bars, {n: variants[n] for n in good}).groupBy("variant").agg(F.avg(fitness(dict(weights), min_trades)).alias("fitness")).collect() if good else []
+        best += [(tried[int(r["variant"])], r["fitness"]) for r in scored] + [(tried[int(n)], ERROR) for n in bad]
         best = sorted({str(sorted(g.items())): (g, f) for g, f in best}.values(), key=lambda x: (-x[1], str(x[0])))[:keep]
     return best

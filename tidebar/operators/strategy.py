@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import slices
-from ..functions.indicators import INDICATORS, look_back, with_indicator, with_sliced_indicators
-from ..sources.bars import OHLCV, between, filled, first_values, regrid, resample, seconds
+from ..functions.indicators import INDICATORS, Bars, column_name, look_back, with_indicator, with_sliced_indicators
+from ..sources.bars import OHLCV, between, bucket, filled, first_values, regrid, regrid_by, resample, seconds, within
 from ..sources.staging import Stages
 
 OPERATORS = {">": "gt", "<": "lt", "=": "eq", ">=": "ge", "<=": "le", "!=": "ne"}
@@ -424,10 +424,12 @@ def _spaced(values: Column, gaps: Column) -> tuple[Column, Column]:
     return mean, F.sqrt(F.try_divide(squares, F.nullif(n - 1, F.lit(0))))
 
 
-def summarize(df: DataFrame, keys: tuple[str, ...] = ("symbol",), freq: str | None = None) -> DataFrame:
+def summarize(df: DataFrame, keys: tuple[str, ...] = ("symbol",), freq: str | None = None, step: Column | None = None) -> DataFrame:
     """One row for each key with the metrics of the run; groups of metrics are structs. Values are rounded to three places, and what can't be computed is 0, but null in time_analysis.
 
-    All of it is one pass of windows over the keys and one aggregation.
+    All of it is one pass of windows over the keys and one aggregation. Missing bars
+    are counted for a ``freq``, or a ``step`` in seconds, a column that is the same
+    for all rows of a key and null where they aren't to be counted.
     """
     w = Window.partitionBy(*keys).orderBy("ts")
     sofar, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -481,9 +483,11 @@ def summarize(df: DataFrame, keys: tuple[str, ...] = ("symbol",), freq: str | No
         names = ("avg_daily_return", "daily_return_std", "profitable_days_pct") if unit == "day" else ("avg_monthly_return", "monthly_return_std", "profitable_months_pct")
         analysis += [r3n(F.greatest(F.max(x), zero)).alias(f"best_{unit}"), r3n(F.least(F.min(x), zero)).alias(f"worst_{unit}"), r3n(mean).alias(names[0]), r3n(sd).alias(names[1]), r3n(F.count_if(x > 0) / (n + 1)).alias(names[2])]
     missing = [F.lit(0.0).alias("perc_missing"), F.lit(0).cast("long").alias("total_missing")]
-    if freq:
-        expected = F.floor((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / seconds(freq)) + 1
-        missing = [F.round((expected - F.count("*")) / expected * 100, 2).alias("perc_missing"), F.greatest(expected - F.count("*"), F.lit(0)).alias("total_missing")]
+    if freq or step is not None:
+        step = F.lit(seconds(freq)) if freq else F.max(step)
+        expected = F.floor((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))) / step) + 1
+        found = [F.round((expected - F.count("*")) / expected * 100, 2), F.greatest(expected - F.count("*"), F.lit(0))]
+        missing = [F.coalesce(x, F.lit(0)).alias(n) for x, n in zip(found, ("perc_missing", "total_missing"), strict=True)]
     out = df.groupBy(*keys).agg(
         returns.alias("return_perc"),
         _r3(F.try_divide(F.avg(pct), F.stddev_samp(pct)) * F.sqrt(F.count("*"))).alias("sharpe_ratio"),
@@ -590,42 +594,102 @@ def best_runs(summaries: DataFrame, by: str, k: int) -> DataFrame:
     return summaries.orderBy(F.desc(by)).limit(k)
 
 
+def ranged(bars: DataFrame, ranges: list[tuple], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The bars of several (freq, start, stop) in one pass over them: each bar goes to the ranges that it is in, with ``_range``, their number, as one more key, and ``_step``, the seconds of their freq; gaps have no values."""
+    if any(freq and 86400 % seconds(freq) for freq, _, _ in ranges):
+        bars = bars.join(bars.groupBy(*keys).agg(F.date_trunc("day", F.min("ts")).alias("_day")), list(keys))
+    each = []
+    for number, (freq, start, stop) in enumerate(ranges):
+        origin = F.col("_day") if freq and 86400 % seconds(freq) else None
+        at = bucket(F.col("ts"), freq, origin) if freq else F.col("ts")
+        inside = F.lit(True)
+        for edge, last in ((start, False), (stop, True)):
+            inside = inside if edge is None or edge == "" else inside & within(at, edge, last)
+        each.append(F.when(inside, F.struct(F.lit(number).alias("_range"), F.lit(seconds(freq) if freq else None).cast("long").alias("_step"), at.alias("_at"))))
+    columns = [c for c in bars.columns if c not in (*keys, "ts", "_day")]
+    rows = bars.select(*keys, "ts", *columns, F.inline(F.array_compact(F.array(*each))))
+    firsts = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in columns]
+    parts = (*keys, "_range")
+    rows = rows.groupBy(*parts, "_step", "_at").agg(*firsts).withColumnRenamed("_at", "ts").repartition(*parts)
+    steps = F.lit(None).cast("long")
+    for number, (freq, _, _) in enumerate(ranges):
+        steps = F.when(F.col("_range") == number, F.lit(seconds(freq) if freq else None).cast("long")).otherwise(steps)
+    return regrid_by(rows.drop("_step"), steps, parts).withColumn("_step", steps)
+
+
+def outputs_of(s: Strategy) -> dict[str, set[str]]:
+    """The columns of each datapoint; raises what is wrong with its arguments."""
+    return {d["name"]: {column_name(d["name"], d["transformer"], o) for o in INDICATORS[d["transformer"]](Bars(None), *(d.get("args") or ()))} for d in s.datapoints}
+
+
+def sound(variants: Mapping[str, Mapping]) -> tuple[dict[str, Strategy], dict[str, str]]:
+    """(strategies, errors) by name: documents that can be run, and what is wrong with the others."""
+    good, bad = {}, {}
+    for name, document in variants.items():
+        try:
+            s = Strategy.of(document)
+            known = {*OHLCV}.union(*outputs_of(s).values())
+            for rule in [r for g in (s.enter, s.exit, s.any_enter, s.any_exit) for r in g]:
+                if unknown := [x for x in (rule[0], rule[2]) if number(x) is None and x not in known]:
+                    raise ValueError(f"{unknown[0]} is no column")
+            good[name] = s
+        except Exception as e:
+            bad[name] = f"{type(e).__name__}: {e}"
+    return good, bad
+
+
 def sweep(bars: DataFrame, variants: Mapping[str, Mapping], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Summaries of many strategy documents over the same bars in one job, with the variant's name.
 
-    Bars are shuffled once and each different datapoint is computed once. A bar's
-    actions under all variants become rows, dealt out by key and variant, so that
-    account and summary run once and in parallel over the variants; the plan grows
-    by an expression a variant.
+    Bars are read once: those of each different freq, start and stop become rows of
+    a range of their own, and each different datapoint is computed once. A bar's
+    actions under the variants of its range become rows, dealt out by key and
+    variant, so that account and summary run once and in parallel over the variants;
+    the plan grows by an expression a variant.
     """
     known = {name: Strategy.of(d) for name, d in variants.items()}
-    if len({(s.freq, s.start, s.stop) for s in known.values()}) != 1:
-        raise ValueError("the variants of a sweep share freq, start and stop")
-    freq = next(iter(known.values())).freq
-    df = chart(bars, next(iter(known.values())), keys)
-    made: dict[tuple, str] = {}
+    if not known:
+        raise ValueError("a sweep needs a variant")
+    ranges = list(dict.fromkeys((s.freq, s.start, s.stop) for s in known.values()))
+    of = {name: ranges.index((s.freq, s.start, s.stop)) for name, s in known.items()}
+    if len(ranges) == 1:
+        freq, df = ranges[0][0], chart(bars, next(iter(known.values())), keys)
+        df = df.withColumns({"_range": F.lit(0), "_step": F.lit(seconds(freq) if freq else None).cast("long")})
+        within_range = keys
+    else:
+        df = ranged(bars, ranges, keys)
+        within_range = (*keys, "_range")
+    gaps, made = any(freq for freq, _, _ in ranges), {}
     for late in (False, True):
         for s in known.values():
             for k, d in enumerate(s.datapoints):
-                what = (d["transformer"], str(d.get("args")), d.get("freq"), bool(freq and k))
+                what = (d["transformer"], str(d.get("args")), d.get("freq"), bool(gaps and k))
                 if what not in made and bool(k) == late:
                     made[what] = f"_d{len(made)}"
-                    df = _point(df, made[what], d, keys)
-        if freq and not late and any(s.datapoints for s in known.values()):
-            df = df.withColumns({c: filled(c, keys) for c in bars.columns if c not in (*keys, "ts")})
+                    df = _point(df, made[what], d, within_range)
+        if gaps and not late and any(s.datapoints for s in known.values()):
+            raw = [c for c in bars.columns if c not in (*keys, "ts")]
+            df = df.withColumns({c: F.when(F.col("_step").isNotNull(), filled(c, within_range)).otherwise(F.col(c)) for c in raw})
     rows = []
     for name, s in known.items():
         names = {}
         for k, d in enumerate(s.datapoints):
-            column = made[d["transformer"], str(d.get("args")), d.get("freq"), bool(freq and k)]
+            column = made[d["transformer"], str(d.get("args")), d.get("freq"), bool(gaps and k)]
             names |= {c.replace(column, d["name"], 1): c for c in df.columns if c == column or c.startswith(f"{column}_")}
-        rows.append((name, action_of(s, keys, names), s))
+        rows.append((name, action_of(s, within_range, names), s))
     actions = {f"_a{k}": a for k, (_, a, _) in enumerate(rows)}
-    df = df.withColumns(actions).select(*keys, "ts", "close", *actions)
-    structs = [F.struct(F.lit(name).alias("variant"), F.col(f"_a{k}").alias("action"), F.lit(bool(s.exit_on_end)).alias("_close_end"), *(c.alias(n) for n, c in terms(s).items())) for k, (name, _, s) in enumerate(rows)]
+    df = df.withColumns(actions).select(*keys, "_range", "_step", "ts", "close", *actions)
+    each: dict[int, list[Column]] = {}
+    for k, (name, _, s) in enumerate(rows):
+        each.setdefault(of[name], []).append(F.struct(F.lit(name).alias("variant"), F.col(f"_a{k}").alias("action"), F.lit(bool(s.exit_on_end)).alias("_close_end"), *(c.alias(n) for n, c in terms(s).items())))
+    chosen = reduce(lambda out, r: F.when(F.col("_range") == r, F.array(*each[r])).otherwise(out), list(each)[1:], F.array(*each[list(each)[0]]))
     parts = (*keys, "variant")
-    df = df.select(*keys, "ts", "close", F.inline(F.array(*structs))).repartition(*parts)
-    return summarize(simulate(df, None, parts), parts, freq)
+    df = df.select(*keys, "ts", "close", "_step", F.inline(chosen)).repartition(*parts)
+    return summarize(simulate(df, None, parts), parts, step=F.col("_step") if gaps else None)
+
+
+#: The fitness of a variant that can't be run, a fixed value.
+ERROR = -1e9
 
 
 def fitness(weights: dict[str, float], min_trades: int = 0, penalty: float = -5.0) -> Column:

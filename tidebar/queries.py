@@ -236,10 +236,18 @@ def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HMM_ROUNDS = 2
+def sweep_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of three frequencies, one of them over a part of the time, from one pass over the hourly bars."""
+    variants = {name: FLAGSHIP | more for name, more in RANGED.items()}
+    found = st.sweep(event_bars(spark, sf_dir, "1h"), variants)
+    return found.select("variant", "symbol", "num_trades", "return_perc", "total_tics", "perc_missing")
+
+
+RANGED = {"4h": {"freq": "4h"}, "1D": {"freq": "1D"}, "2h-part": {"freq": "2h", "start": "2024-01-05", "stop": "2024-01-20"}}
 SWEPT = [(3, 9), (5, 20), (9, 41)]
 HUNDRED = [(a, b) for a in range(2, 12) for b in range(20, 40, 2)]
 QUERIES = {"flagship": flagship, "sig_actions": signals, "sig_two_frequencies": two_frequencies, "sim_account": account, "sim_segments": segments, "sim_slices": account_slices, "ind_slices": indicators_slices, "log_trades": trades}
 QUERIES |= {f"ind_{name}": _indicator(name) for name in sorted(INDICATORS)}
 bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency, store_bars, regime_train, regime_apply)
-bare += (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, screen_rank, portfolio_log, sweep_averages, sweep_best)
+bare += (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, screen_rank, portfolio_log, sweep_averages, sweep_best, sweep_ranges)
 QUERIES |= {f.__name__: f for f in bare}

@@ -84,19 +84,20 @@ def resample_calendar(df: DataFrame, unit: str, keys: tuple[str, ...] = ("symbol
     return df.groupBy(*keys, day).agg(*bars).withColumnRenamed("_b", "ts")
 
 
+def within(ts: Column, edge, last: bool) -> Column:
+    """Whether a time lies at or after an edge, or for the ``last`` edge at or before it; one of a day alone covers that day then."""
+    text = str(edge)
+    at = parse_time(F.lit(text))
+    if not last:
+        return ts >= at
+    return ts < at + F.expr("interval 1 day") if re.fullmatch(r"\d{4}-\d\d-\d\d", text) else ts <= at
+
+
 def between(df: DataFrame, start=None, stop=None) -> DataFrame:
     """Rows from start to stop, both included; times are text or epochs, a stop of a day alone covers that day, and nothing or "" leaves a side open."""
     for edge, last in ((start, False), (stop, True)):
-        if edge is None or edge == "":
-            continue
-        text = str(edge)
-        at = parse_time(F.lit(text))
-        if not last:
-            df = df.where(F.col("ts") >= at)
-        elif re.fullmatch(r"\d{4}-\d\d-\d\d", text):
-            df = df.where(F.col("ts") < at + F.expr("interval 1 day"))
-        else:
-            df = df.where(F.col("ts") <= at)
+        if edge is not None and edge != "":
+            df = df.where(within(F.col("ts"), edge, last))
     return df
 
 
@@ -131,16 +132,20 @@ def regrid(df: DataFrame, freq: str, fill: bool = True, keys: tuple[str, ...] =
 
     Each row makes those that are missing up to the next one, so nothing is joined.
     """
-    step = seconds(freq)
+    out = regrid_by(df, F.lit(seconds(freq)), keys)
+    return out.withColumns({c: filled(c, keys) for c in df.columns if c not in (*keys, "ts")}) if fill else out
+
+
+def regrid_by(df: DataFrame, step: Column, keys: tuple[str, ...]) -> DataFrame:
+    """As ``regrid`` without filling, for a step in seconds that is the same for all rows of a key and may differ between keys; keys without a step stay as they are."""
     w = Window.partitionBy(*keys).orderBy("ts")
     columns = [c for c in df.columns if c not in (*keys, "ts")]
     first = F.min("ts").over(w)
-    on = df.withColumn("_off", (F.unix_micros("ts") - F.unix_micros(first)) % (step * 1_000_000)).where("_off = 0").drop("_off")
-    last = F.timestamp_micros(F.unix_micros(F.lead("ts").over(w)) - step * 1_000_000)
-    steps = F.sequence("ts", F.coalesce("_last", "ts"), F.make_dt_interval(secs=F.lit(step)))
+    on = df.withColumns({"_step": step.cast("long"), "_off": (F.unix_micros("ts") - F.unix_micros(first)) % (step.cast("long") * 1_000_000)}).where("coalesce(_off, 0) = 0").drop("_off")
+    last = F.timestamp_micros(F.unix_micros(F.lead("ts").over(w)) - F.col("_step") * 1_000_000)
+    steps = F.sequence("ts", F.coalesce("_last", "ts"), F.make_dt_interval(secs=F.coalesce("_step", F.lit(1))))
     rows = on.withColumn("_last", last).select(*keys, *columns, F.posexplode(steps).alias("_n", "ts"))
-    out = rows.select(*keys, "ts", *(F.when(F.col("_n") == 0, F.col(c)).alias(c) for c in columns))
-    return out.withColumns({c: filled(c, keys) for c in columns}) if fill else out
+    return rows.select(*keys, "ts", *(F.when(F.col("_n") == 0, F.col(c)).alias(c) for c in columns))
 
 
 def infer_frequency(df: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
