@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..operators.hmm import FLOOR, STAY
 from ..operators.regimes import FEATURES
-from ..queries import FLAGSHIP, HMM_ROUNDS, HUNDRED, SWEPT
+from ..queries import FLAGSHIP, HMM_ROUNDS, HUNDRED, RANGED, SWEPT
+from ..sources.bars import seconds
 from .hmm_sql import hmm_model, hmm_path, hmm_tables
 from .indicator_sql import INDICATOR_SQL, RUN, bars, ema, lagged, mean, over, table, volume_mean
 from .strategy_sql import account, actions, listed, r3, summary, trade_rows
@@ -191,3 +192,25 @@ ORACLE_SQL["store_bars"] = f"""WITH {bars()} SELECT CASE symbol WHEN 'click' THE
 _HMM = hmm_tables(ORACLE_SQL["regime_features"], len(FEATURES), HMM_ROUNDS, STAY, FLOOR)
 ORACLE_SQL["regime_train"] = f"WITH RECURSIVE {_HMM} {hmm_model(HMM_ROUNDS, len(FEATURES))}"
 ORACLE_SQL["regime_apply"] = f"WITH RECURSIVE {_HMM}, {hmm_path(HMM_ROUNDS)}"
+
+
+def _ranged() -> str:
+    """Variants of different frequencies and ranges: each on its own grid, whose gaps the first average sees and the second doesn't."""
+    keys, by = "variant, symbol", "PARTITION BY variant, symbol ORDER BY t"
+    step = {name: seconds(r["freq"]) for name, r in RANGED.items()}
+    inside = {name: f"AND e.t // {step[name]} * {step[name]} >= epoch(TIMESTAMP '{r['start']}') AND e.t // {step[name]} * {step[name]} < epoch(TIMESTAMP '{r['stop']}') + 86400" if "start" in r else "" for name, r in RANGED.items()}
+    each = " UNION ALL ".join(f"SELECT '{name}' AS variant, symbol, t // {n} * {n} AS t, arg_min(c, t) AS g FROM n e WHERE TRUE {inside[name]} GROUP BY ALL" for name, n in step.items())
+    grid = " UNION ALL ".join(f"SELECT variant, symbol, unnest(generate_series(min(t), max(t), {n})) AS t FROM rk WHERE variant = '{name}' GROUP BY 1, 2" for name, n in step.items())
+    own = lambda x: x.replace("PARTITION BY symbol ORDER BY t", by)
+    tables, metrics = summary(keys)
+    secs = "CASE variant " + " ".join(f"WHEN '{name}' THEN {n}" for name, n in step.items()) + " END"
+    chosen = listed({k: metrics[k].replace("14400", secs) for k in ("num_trades", "return_perc", "total_tics", "perc_missing")}, keys)
+    return f"""WITH RECURSIVE {bars(3600)}, rk AS ({each}), rq AS ({grid}),
+    rg AS (SELECT rq.variant, rq.symbol, rq.t, rk.g FROM rq LEFT JOIN rk ON rk.variant = rq.variant AND rk.symbol = rq.symbol AND rk.t = rq.t),
+    r0 AS (SELECT *, {own(mean('g', 3))} AS f0, last_value(g IGNORE NULLS) OVER ({by}) AS c FROM rg),
+    r1 AS (SELECT *, last_value(f0 IGNORE NULLS) OVER ({by}) AS fast, {own(mean('c', 9))} AS slow FROM r0),
+    a AS (SELECT variant, symbol, t, c, CASE WHEN fast < slow AND lag(fast < slow, 1, FALSE) OVER ({by}) THEN 'x' WHEN fast > slow THEN 'e' ELSE 'h' END AS action FROM r1),
+    {account(_FEE, keys)}, {trade_rows(keys)}, {tables} SELECT {chosen} FROM w GROUP BY {keys}"""
+
+
+ORACLE_SQL["sweep_ranges"] = _ranged()
