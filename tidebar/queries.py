@@ -9,6 +9,7 @@ from .functions.indicators import INDICATORS, with_indicator, with_indicators
 from .operators import hmm
 from .operators import regimes as rg
 from .operators import strategy as st
+from .operators.forecast import screen_by_forecast
 from .sources import bars as src
 from .sources.staging import new_folder, put_text
 from .sources.store import BarStore
@@ -208,6 +209,12 @@ def screen_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("symbol", F.round("score", 6).alias("score"), "rank")
 
 
+def screen_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of all symbols over 30 and 60 bars, from Markov models of two states, and the ranking by them."""
+    df = screen_by_forecast(event_bars(spark, sf_dir), {"min_candles": 90}, 2, 3)
+    return df.select("symbol", "current_state", *(F.round(c, 4).alias(c) for c in ("p10_30", "p50_30", "p90_30", "p50_60", "error_60", "score")), "rank", "reason")
+
+
 def portfolio_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paper portfolio of the flagship's actions, streamed from a folder of actions."""
     s = st.Strategy.of(FLAGSHIP)
@@ -248,6 +255,6 @@ SWEPT = [(3, 9), (5, 20), (9, 41)]
 HUNDRED = [(a, b) for a in range(2, 12) for b in range(20, 40, 2)]
 QUERIES = {"flagship": flagship, "sig_actions": signals, "sig_two_frequencies": two_frequencies, "sim_account": account, "sim_segments": segments, "sim_slices": account_slices, "ind_slices": indicators_slices, "log_trades": trades}
 QUERIES |= {f"ind_{name}": _indicator(name) for name in sorted(INDICATORS)}
-bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency, store_bars, regime_train, regime_apply)
+bare = (bars_4h, bars_day, bars_missing, bars_7min, bars_5day, bars_week, bars_first, bars_grid, bars_trending, bars_frequency, store_bars, regime_train, regime_apply, screen_forecast)
 bare += (markov_states, markov_transitions, regime_features, regime_labels, screen_features, screen_symbols, screen_rank, portfolio_log, sweep_averages, sweep_best, sweep_ranges)
 QUERIES |= {f.__name__: f for f in bare}
