@@ -26,6 +26,8 @@ from ..sources.staging import Stages
 
 OPERATORS = {">": "gt", "<": "lt", "=": "eq", ">=": "ge", "<=": "le", "!=": "ne"}
 REQUIRED = ("datapoints", "enter", "exit")
+#: Keys that once said what start and stop say.
+DEPRECATED = {"start_date", "end_date"}
 #: Keys that say where a document's bars come from or how it is named.
 DESCRIPTIVE = {"name", "symbol", "exchange", "strategy_name", "comment", "chart_start", "chart_stop", "lot_size_perc"}
 
@@ -78,9 +80,11 @@ def validate(document: Mapping, complete: bool = True) -> dict[str, list[str]]:
     for key in REQUIRED if complete else ():
         if not document.get(key) and (key != "datapoints" or document.get(key) is None):
             say(key, "is missing")
+    if complete and "start" not in document:
+        say("start", "is missing")
     known = set(Strategy.__dataclass_fields__) | DESCRIPTIVE | {"chart_period"}
     for key in document.keys() - known:
-        say(key, "is not known")
+        say(key, 'is deprecated: use "start" and "stop"' if key in DEPRECATED else "is not known")
     for key in ("freq", "chart_period"):
         if document.get(key):
             try:

@@ -32,7 +32,7 @@ def event_bars(spark: SparkSession, sf_dir: str, freq: str = "4h") -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars, averages, actions, account, summary and rules of one strategy for all symbols."""
-    s = st.Strategy.of(FLAGSHIP, complete=True)
+    s = st.Strategy.of(FLAGSHIP | {"start": ""}, complete=True)
     found = st.evaluate_rules(st.summarize(st.backtest(event_bars(spark, sf_dir), s), freq="4h"), s.rules)
     return st.flat(found).withColumn("rules_results", F.array_join(F.col("rules_results").cast("array<string>"), ","))
 
@@ -121,7 +121,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A datapoint of daily bars beside one of four-hour bars."""
     points = [{"name": "fast", "transformer": "sma", "args": [3]}, {"name": "day", "transformer": "sma", "args": [2], "freq": "1D"}]
-    s = st.Strategy.of({"datapoints": points, "enter": [["fast", ">", "day"]], "exit": [["fast", "<", "day"]], "freq": "4h"}, complete=True)
+    s = st.Strategy.of({"datapoints": points, "enter": [["fast", ">", "day"]], "exit": [["fast", "<", "day"]], "freq": "4h", "start": ""}, complete=True)
     df = st.with_actions(st.with_datapoints(event_bars(spark, sf_dir, "1h"), s), s)
     return df.select("symbol", F.unix_seconds("ts").alias("t"), "action", F.round("fast", 6).alias("fast"), F.round("day", 6).alias("day"))
 
