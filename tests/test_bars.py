@@ -128,13 +128,6 @@ def test_symbols_keep_their_own_accounts(spark):
     assert len(got) == 8 and len({tuple(sorted(r.v)) for r in got}) == 1
 
 
-def test_commission(spark):
-    df = frame(spark, [0.01, 0.01404, 0.02296], action=["e", "h", "x"])
-    got = st.simulate(df, st.Strategy.of({"comission": 1})).orderBy("ts").collect()
-    assert (got[0].fee, got[0].aux, got[0].adj_account_value) == (1000, 99000, 990)
-    assert got[2].fee == round(99000 * 0.02296 * 0.01, 8)
-
-
 def test_bad_documents():
     assert st.Strategy(enter=[["a", "~", 1]], lot_size=2).errors()
     with pytest.raises(ValueError):

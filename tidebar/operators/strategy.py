@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import slices
-from ..functions.indicators import INDICATORS, Bars, column_name, look_back, with_indicator, with_sliced_indicators
+from ..functions.indicators import INDICATORS, Bars, column_name, look_back, with_indicator, with_plain_indicators, with_sliced_indicators
 from ..sources.bars import OHLCV, between, bucket, filled, first_values, regrid, regrid_by, resample, seconds, within
 from ..sources.staging import Stages
 
@@ -128,37 +128,51 @@ def number(x) -> float | None:
     return float(x) if isinstance(x, str) and re.fullmatch(r"\d+|-?\d+\.\d+", x) else None
 
 
-def operand(x, names: Mapping[str, str] | None = None) -> Column:
-    """A number, text that is a number, or a column's name, which ``names`` may stand in for."""
+def _name(x: str) -> str:
+    return f"`{x.replace('`', '``')}`"
+
+
+def _operand(x, names: Mapping[str, str] | None = None) -> str:
+    """A number, text that is a number, or a column's name, which ``names`` may stand in for, as SQL."""
     value = number(x)
-    return F.lit(value) if value is not None else F.col((names or {}).get(x, x))
+    return f"{value!r}D" if value is not None else _name((names or {}).get(x, x))
 
 
-def logic(rule: list, keys: Iterable[str] = ("symbol",), names: Mapping[str, str] | None = None) -> Column:
-    """Whether a logic holds, now and on the bars before that its lookback asks for; nulls hold nothing but !=."""
+def _over(keys: Iterable[str], back: int | None) -> str:
+    start = "UNBOUNDED" if back is None else back
+    return f"OVER (PARTITION BY {', '.join(map(_name, keys))} ORDER BY ts ROWS BETWEEN {start} PRECEDING AND CURRENT ROW)"
+
+
+def _logic(rule: list, keys: Iterable[str], names: Mapping[str, str] | None) -> str:
     left, op, right, *back = rule
-    now = F.coalesce(getattr(operand(left, names), f"__{OPERATORS[op]}__")(operand(right, names)), F.lit(op == "!="))
+    now = f"coalesce({_operand(left, names)} {op} {_operand(right, names)}, {'true' if op == '!=' else 'false'})"
     n = int(back[0] or 0) if back else 0
-    if n < 2:
-        return now
-    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-(n - 1), 0)
-    return (F.count(F.lit(1)).over(w) == n) & F.min(now).over(w)
+    return f"(count(1) {_over(keys, n - 1)} = {n} AND min({now}) {_over(keys, n - 1)})" if n >= 2 else now
+
+
+def _joined(rules: list, word: str, keys: Iterable[str], names: Mapping[str, str] | None) -> str:
+    return f" {word} ".join(_logic(r, keys, names) for r in rules) or "false"
+
+
+def logic(rule: list, keys: Iterable[str] = ("symbol",), names: Mapping[str, str] | None = None) -> Column:
+    """Whether a logic holds, now and on the bars before that its lookback asks for; nulls hold nothing but !=."""
+    return F.expr(_logic(rule, keys, names))
 
 
 def every(rules: list, keys=("symbol",), names=None) -> Column:
-    return reduce(lambda a, b: a & b, (logic(r, keys, names) for r in rules)) if rules else F.lit(False)
+    return F.expr(_joined(rules, "AND", keys, names))
 
 
 def some(rules: list, keys=("symbol",), names=None) -> Column:
-    return reduce(lambda a, b: a | b, (logic(r, keys, names) for r in rules)) if rules else F.lit(False)
+    return F.expr(_joined(rules, "OR", keys, names))
 
 
 def action_of(s: Strategy, keys: tuple[str, ...] = ("symbol",), names: Mapping[str, str] | None = None) -> Column:
-    """The first of tsl, x, ax, e, ae that holds, otherwise h."""
-    found = F.when(every(s.exit, keys, names), "x").when(some(s.any_exit, keys, names), "ax").when(every(s.enter, keys, names), "e").when(some(s.any_enter, keys, names), "ae").otherwise("h")
-    if not s.trailing_stop_loss:
-        return found
-    return F.when(F.coalesce(F.col("close") <= stop_level(s, keys), F.lit(False)), "tsl").otherwise(found)
+    """The first of tsl, x, ax, e, ae that holds, otherwise h. One SQL text, as a sweep has one for each variant."""
+    cases = [("x", _joined(s.exit, "AND", keys, names)), ("ax", _joined(s.any_exit, "OR", keys, names)), ("e", _joined(s.enter, "AND", keys, names)), ("ae", _joined(s.any_enter, "OR", keys, names))]
+    if s.trailing_stop_loss:
+        cases.insert(0, ("tsl", f"coalesce(close <= max(close) {_over(keys, None)} * {1 - float(s.trailing_stop_loss)!r}D, false)"))
+    return F.expr(f"CASE {' '.join(f"WHEN {held} THEN '{action}'" for action, held in cases)} ELSE 'h' END")
 
 
 def stop_level(s: Strategy, keys: tuple[str, ...] = ("symbol",)) -> Column:
@@ -173,16 +187,17 @@ def with_actions(df: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symbol",)
     return df.withColumn("action", action_of(s, keys))
 
 
-def _point(df: DataFrame, name: str, d: Mapping, keys: tuple[str, ...]) -> DataFrame:
-    """Adds a datapoint's columns; one of a coarser freq is computed on its own bars and shown from each one's first base bar on."""
-    have, args = df.columns, d.get("args") or ()
-    if d.get("freq"):
-        coarse = resample(df.select(*keys, "ts", *OHLCV), d["freq"], keys, empty=True)
-        coarse = coarse.withColumns({c: filled(c, keys) for c in OHLCV})
-        made = with_indicator(coarse, name, d["transformer"], args, keys)
-        df = df.join(made.drop(*OHLCV), [*keys, "ts"], "left")
-    else:
-        df = with_indicator(df, name, d["transformer"], args, keys)
+def _points(df: DataFrame, points: list[tuple[str, Mapping]], keys: tuple[str, ...]) -> DataFrame:
+    """Adds the columns of datapoints (name, document); one of a coarser freq is computed on its own bars and shown from each one's first base bar on."""
+    have = df.columns
+    plain = [(name, d["transformer"], d.get("args") or ()) for name, d in points if not d.get("freq")]
+    df = with_plain_indicators(df, plain, keys) if plain else df
+    for name, d in points:
+        if d.get("freq"):
+            coarse = resample(df.select(*keys, "ts", *OHLCV), d["freq"], keys, empty=True)
+            coarse = coarse.withColumns({c: filled(c, keys) for c in OHLCV})
+            made = with_indicator(coarse, name, d["transformer"], d.get("args") or (), keys)
+            df = df.join(made.drop(*OHLCV), [*keys, "ts"], "left")
     return df.withColumns({c: filled(F.col(f"`{c}`"), keys) for c in df.columns if c not in have})
 
 
@@ -200,11 +215,11 @@ def with_datapoints(bars: DataFrame, s: Strategy, keys: tuple[str, ...] = ("symb
     if warm_up and s.start:
         return between(with_datapoints(bars, replace(s, start=None), keys), s.start)
     df = chart(bars, s, keys)
-    for k, d in enumerate(s.datapoints):
-        df = _point(df, d["name"], d, keys)
-        if s.freq and not k:
-            df = df.withColumns({c: filled(c, keys) for c in bars.columns if c not in (*keys, "ts")})
-    return df
+    points = [(d["name"], d) for d in s.datapoints]
+    if s.freq and points:
+        df = _points(df, points[:1], keys).withColumns({c: filled(c, keys) for c in bars.columns if c not in (*keys, "ts")})
+        points = points[1:]
+    return _points(df, points, keys) if points else df
 
 
 def _r8(x: float) -> float:
@@ -309,9 +324,8 @@ def sliced_datapoints(bars: DataFrame, s: Strategy, rows: int, keys: tuple[str,
         have = df.columns
         sliced = [(d["name"], d["transformer"], d.get("args") or ()) for d in points if bound[d["name"]] is not None]
         df = with_sliced_indicators(df, sliced, keys, stages) if sliced else slices.own(df)
-        for d in points:
-            if bound[d["name"]] is None:
-                df = _point(df, d["name"], d, keys)
+        whole = [(d["name"], d) for d in points if bound[d["name"]] is None]
+        df = _points(df, whole, keys) if whole else df
         df = slices.carried(df, [c for c in df.columns if c not in have] + (raw if first else []), keys, stages)
         df = slices.with_halo(df, keys)
     return df
@@ -580,15 +594,13 @@ def flat(summary: DataFrame) -> DataFrame:
 
 def evaluate_rules(summary: DataFrame, rules: list) -> DataFrame:
     """Adds rules: whether all and any of [column, operator, number or column] hold; a column may be group.metric, and a rule of unknown columns is passed over."""
+    known = {f.name for f in summary.schema.fields} | {f"{f.name}.{x}" for f in summary.schema.fields if isinstance(f.dataType, StructType) for x in f.dataType.names}
+    path = lambda x: ".".join(map(_name, x.split("."))) if x in known else None
     held = []
     for name, op, value in rules:
-        try:
-            summary.select(F.col(name), operand(value))
-        except Exception as e:
-            if "UNRESOLVED_COLUMN" not in str(e) and "FIELD_NOT_FOUND" not in str(e):
-                raise
-            continue
-        held.append(F.coalesce(getattr(F.col(name), f"__{OPERATORS[op]}__")(operand(value)), F.lit(False)) if op in (">", "<", ">=", "<=") else F.lit(False))
+        left, right = path(name), path(value) if number(value) is None else f"{number(value)!r}D"
+        if left and right:
+            held.append(F.expr(f"coalesce({left} {op} {right}, false)") if op in (">", "<", ">=", "<=") else F.lit(False))
     listed = F.array(*held) if held else F.array().cast("array<boolean>")
     return summary.withColumn("rules", F.struct((F.forall(listed, lambda x: x) & F.lit(bool(held))).alias("all"), F.exists(listed, lambda x: x).alias("any"), listed.alias("results")))
 
@@ -665,28 +677,29 @@ def sweep(bars: DataFrame, variants: Mapping[str, Mapping], keys: tuple[str, ...
         within_range = (*keys, "_range")
     gaps, made = any(freq for freq, _, _ in ranges), {}
     for late in (False, True):
+        new = []
         for s in known.values():
             for k, d in enumerate(s.datapoints):
                 what = (d["transformer"], str(d.get("args")), d.get("freq"), bool(gaps and k))
                 if what not in made and bool(k) == late:
                     made[what] = f"_d{len(made)}"
-                    df = _point(df, made[what], d, within_range)
+                    new.append((made[what], d))
+        df = _points(df, new, within_range) if new else df
         if gaps and not late and any(s.datapoints for s in known.values()):
             raw = [c for c in bars.columns if c not in (*keys, "ts")]
             df = df.withColumns({c: F.when(F.col("_step").isNotNull(), filled(c, within_range)).otherwise(F.col(c)) for c in raw})
-    rows = []
-    for name, s in known.items():
+    columns, actions, each = df.columns, {}, {}
+    for number_of, (name, s) in enumerate(known.items()):
         names = {}
         for k, d in enumerate(s.datapoints):
             column = made[d["transformer"], str(d.get("args")), d.get("freq"), bool(gaps and k)]
-            names |= {c.replace(column, d["name"], 1): c for c in df.columns if c == column or c.startswith(f"{column}_")}
-        rows.append((name, action_of(s, within_range, names), s))
-    actions = {f"_a{k}": a for k, (_, a, _) in enumerate(rows)}
+            names |= {c.replace(column, d["name"], 1): c for c in columns if c == column or c.startswith(f"{column}_")}
+        actions[f"_a{number_of}"] = action_of(s, within_range, names)
+        said = name.replace("\\", "\\\\").replace("'", "\\'")
+        money = ", ".join(f"'{c}', {float(getattr(s, f) or 0)!r}D" for c, f in _TERMS.items())
+        each.setdefault(of[name], []).append(f"named_struct('variant', '{said}', 'action', _a{number_of}, '_close_end', {str(bool(s.exit_on_end)).lower()}, {money})")
     df = df.withColumns(actions).select(*keys, "_range", "_step", "ts", "close", *actions)
-    each: dict[int, list[Column]] = {}
-    for k, (name, _, s) in enumerate(rows):
-        each.setdefault(of[name], []).append(F.struct(F.lit(name).alias("variant"), F.col(f"_a{k}").alias("action"), F.lit(bool(s.exit_on_end)).alias("_close_end"), *(c.alias(n) for n, c in terms(s).items())))
-    chosen = reduce(lambda out, r: F.when(F.col("_range") == r, F.array(*each[r])).otherwise(out), list(each)[1:], F.array(*each[list(each)[0]]))
+    chosen = F.expr(f"CASE _range {' '.join(f'WHEN {r} THEN array({', '.join(v)})' for r, v in each.items())} END")
     parts = (*keys, "variant")
     df = df.select(*keys, "ts", "close", "_step", F.inline(chosen)).repartition(*parts)
     return summarize(simulate(df, None, parts), parts, step=F.col("_step") if gaps else None)
