@@ -120,9 +120,13 @@ class BarStore:
         return newest(found) if twice else found.drop("age")
 
     def since(self, version: int, until: int | None = None) -> DataFrame:
-        """The bars that commits after ``version`` brought, up to ``until``; compaction brings none."""
-        files = [f for f, in self.manifest(until).select("file").distinct().collect()]
-        return newest(self._rows([f for f in files if int(f.split("/")[1].split("-")[0]) > version and "-compact" not in f]))
+        """The bars that commits after ``version`` brought, up to ``until``; compaction brings none, and takes none away as long as the commit's snapshot is kept."""
+        files: list[str] = []
+        for number in self.versions():
+            if number > version and (until is None or number <= until):
+                mine = F.col("file").startswith(f"data/{number:012d}-") & ~F.col("file").contains("-compact")
+                files += [f for f, in self.manifest(number).where(mine).select("file").distinct().collect()]
+        return newest(self._rows(files))
 
     @staticmethod
     def _in_range(parts: DataFrame, exchange, symbol, start, stop) -> DataFrame:

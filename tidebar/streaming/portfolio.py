@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.strategy import Strategy, with_actions, with_datapoints
 from ..sources.bars import read_store
+from ..sources.store import BarStore
 
 ACTIONS = "symbol string, ts timestamp, close double, action string"
 STATE = "cash double, position_qty double, avg_price double, equity double, last timestamp"
@@ -84,12 +85,24 @@ def watch(spark: SparkSession, store: str, s: Strategy, folder: str, once: bool
     """Two streams over a store of bars that others append to: new bars' actions to ``folder``/actions, and the portfolio's log to ``folder``/log.
 
     ``once``: each takes what is there and ends; otherwise they run ``every`` so often.
+    Of a store of snapshots each commit's bars are judged once, however files are put
+    together later; of a partitioned folder each file's.
     """
     trigger = {"availableNow": True} if once else {"processingTime": every}
-    bars = spark.readStream.schema(read_store(spark, store).schema).parquet(store)
+    held = BarStore(spark, store)
+    committed = bool(held.versions())
+    if committed:
+        bars = spark.readStream.option("wholetext", "true").text(f"{store}/snapshots").select(F.col("_metadata.file_name").cast("long").alias("version"))
+    else:
+        bars = spark.readStream.schema(read_store(spark, store).schema).parquet(store)
 
     def append(new: DataFrame, _: int) -> None:
-        judge_new(new.sparkSession, store, new, s).write.mode("append").parquet(f"{folder}/actions")
+        if committed:
+            first, last = new.agg(F.min("version"), F.max("version")).first()
+            if first is None:
+                return
+            new = held.since(first - 1, last)
+        judge_new(spark, store, new, s).write.mode("append").parquet(f"{folder}/actions")
 
     judged = bars.writeStream.foreachBatch(append).option("checkpointLocation", f"{folder}/.judged").trigger(**trigger).start()
     if once:
@@ -104,3 +117,26 @@ def watch(spark: SparkSession, store: str, s: Strategy, folder: str, once: bool
 def traded(log: DataFrame) -> DataFrame:
     """The trades of a portfolio's log."""
     return log.where("side is not null")
+
+
+def status(spark: SparkSession, folder: str) -> DataFrame:
+    """The state of a watched portfolio: the last row of each symbol's log."""
+    rows = spark.read.schema(LOG).parquet(f"{folder}/log")
+    last = F.max_by(F.struct(*(c for c in rows.columns if c != "symbol")), "ts").alias("last")
+    return rows.groupBy("symbol").agg(last).select("symbol", "last.*")
+
+
+def follow(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of a watched portfolio as a stream of its rows, as they come."""
+    return spark.readStream.schema(LOG).parquet(f"{folder}/log")
+
+
+def tail(spark: SparkSession, folder: str, n: int = 20) -> DataFrame:
+    """The last ``n`` rows of the log in time, latest first."""
+    return spark.read.schema(LOG).parquet(f"{folder}/log").orderBy(F.desc("ts"), "symbol").limit(n)
+
+
+def passed_over(spark: SparkSession, folder: str) -> DataFrame:
+    """Judged bars that the portfolio did not take as they are, since a later bar or the same one had been taken: late bars and corrections."""
+    taken = spark.read.schema(LOG).parquet(f"{folder}/log").select("symbol", "ts", F.col("price").alias("close"))
+    return spark.read.schema(ACTIONS).parquet(f"{folder}/actions").join(taken, ["symbol", "ts", "close"], "left_anti")
