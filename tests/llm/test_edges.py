@@ -225,22 +225,35 @@ def test_decontamination_equals_a_plain_search(spark, edges):
     assert decontaminate.find_contamination(edges, bench, max_index=600).count() == len(EDGES)
 
 
-def bucket(word):
-    return xxhash.xxh64_intdigest(word.encode(), seed=42) & (rules.BUCKETS - 1)
+def chained(hashes):
+    """Spark's hash of several longs: each one's hash is the seed of the next."""
+    seed = 42
+    for h in hashes:
+        seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=seed)
+    return seed
+
+
+def grams(words):
+    """The (order, bucket) of a text's n-grams of one to three words."""
+    h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    longer = [(n - 1, chained(h[k : k + n])) for n in (2, 3) for k in range(len(h) - n + 1)]
+    return [(o, x & (rules.BUCKETS[o] - 1)) for o, x in [(0, x) for x in h] + longer]
 
 
 def plain_verdicts(rows, good):
-    """{id: (llr, kept)} by counting words in dictionaries."""
+    """{id: (llr, kept)} by counting n-grams in dictionaries."""
     words = [(i, WORD.findall(t or "")) for i, t in rows]
-    raw, target = collections.Counter(), collections.Counter()
+    raw, target, r, t = (collections.Counter() for _ in range(4))
     for i, w in words:
-        b = [bucket(x) for x in w]
-        raw.update(b)
-        target.update(b if i in good else [])
-    r, t = sum(raw.values()), sum(target.values())
+        for g in grams(w):
+            raw[g] += 1
+            r[g[0]] += 1
+            target[g] += i in good
+            t[g[0]] += i in good
     out = {}
     for (i, text), (_, w) in zip(rows, words, strict=True):
-        ratio = [math.log((target[b] + rules.PRIOR * raw[b] / r) / ((t + rules.PRIOR) * raw[b] / r)) if t else 0.0 for b in map(bucket, w)]
+        prior = {g: raw[g] / r[g[0]] for g in grams(w)}
+        ratio = [math.log((target[g] + rules.PRIOR * prior[g]) / ((t[g[0]] + rules.PRIOR) * prior[g])) if t[g[0]] else 0.0 for g in grams(w)]
         seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
         repeated = {k + j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(3)}
         llr = sum(ratio) / len(w) if w else 0.0
@@ -248,7 +261,9 @@ def plain_verdicts(rows, good):
     return out
 
 
-def test_verdicts_equal_plain_counts(spark, edges, labels):
+@pytest.mark.parametrize("bits", [24, 8])  # with few bits most ids are joined
+def test_verdicts_equal_plain_counts(spark, edges, labels, monkeypatch, bits):
+    monkeypatch.setattr(rules, "_ID_BITS", bits)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
     want = plain_verdicts([tuple(r) for r in docs.collect()], good)

@@ -1,12 +1,20 @@
 """Quality rules with DataFrame functions only: heuristics, and an n-gram log-likelihood ratio.
 
 The ratio compares two multinomials over hashed n-grams, one of trusted documents
-and one of the whole corpus. The n-grams are the whole words, where stuck-on
-symbols, shouting, table bars and junk show at any place. The trusted counts are smoothed
-by ``PRIOR`` n-grams spread as in the corpus, so that with few trusted documents
-all ratios near 0. A document's verdict is the mean log ratio of its n-grams against a fixed
-threshold, so it is the same on every run. All counts cover all documents and
-all labels; only one number per bucket reaches the driver or every task.
+and one of the whole corpus, for each order from one to three words; an order has
+buckets of its own, so that the many rare n-grams of three words don't drown the
+words. The trusted counts of an order are smoothed by ``PRIOR`` n-grams spread as
+in the corpus, so that with few trusted documents all ratios near 0. A document's
+verdict is the sum of the log ratios of all its n-grams, divided by its number of
+words, against a fixed threshold, so it is the same on every run. All counts cover
+all documents and all labels; only one number per bucket reaches the driver or
+every task.
+
+Texts stay where they are while counts are made: which documents are trusted is
+told by two bit tables of fixed size, one of the trusted ids and one of the other
+ids that the first can't tell from them. Only documents set in both are joined
+with the trusted ids; with more ids than the tables can tell apart that is, by
+degrees, all of them, and the counts are the same.
 
 Expressions are laid out in steps, each a projection, so that splitting, sorting
 and set operations run in generated code on primitive arrays; lambdas, which
@@ -18,11 +26,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 16
+#: Buckets of the n-grams of one, two and three words; powers of two.
+BUCKETS = (1 << 16, 1 << 15, 1 << 15)
 PRIOR = 4096.0
 THRESHOLD = -0.5
 MIN_WORDS, MAX_REPEATED = 50, 50
 _PLACE_BITS = 20
+#: Bits of a table of ids, as a power of two: two megabytes.
+_ID_BITS = 24
 # White space and symbols.
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 
@@ -31,8 +42,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _bucket(h: Column, order: int) -> Column:
+    """The bucket of a hashed n-gram of ``order`` + 1 words; those of lower orders come first."""
+    return h.bitwiseAND(F.lit(BUCKETS[order] - 1)).cast("int") + sum(BUCKETS[:order])
 
 
 def trusted_ids(labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> DataFrame:
@@ -40,22 +52,63 @@ def trusted_ids(labels: DataFrame, label: str = "quality", id_col: str = "doc_id
     return labels.where(F.col(label) == 1).select(id_col).distinct()
 
 
+def _place(id_col: str) -> tuple[Column, Column]:
+    """The long of a bit table in which an id's bit is, and that bit."""
+    h = F.xxhash64(id_col).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+    return F.shiftright(h, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _bits(ids: DataFrame, id_col: str) -> Column:
+    """A bit table of ids, as a scalar array of longs."""
+    at, bit = _place(id_col)
+    some = ids.select(at.alias("k"), bit.alias("v")).groupBy("k").agg(F.bit_or("v").alias("v"))
+    every = ids.sparkSession.range(1 << (_ID_BITS - 6)).select(F.col("id").cast("int").alias("k")).join(some, "k", "left").na.fill(0, ["v"])
+    return every.agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("b")).select(F.col("b")["v"]).scalar()
+
+
+def _has(bits: Column, id_col: str) -> Column:
+    at, bit = _place(id_col)
+    return F.col(id_col).isNotNull() & (F.get(bits, at).bitwiseAND(bit) != 0)
+
+
+def _grams(h: Column) -> tuple[Column, Column]:
+    """Hashes of the n-grams of two and of three words, from those of the words."""
+    first = lambda n: F.slice(h, 1, F.greatest(F.size(h) - n, F.lit(0)))
+    return F.transform(first(1), lambda x, i: F.xxhash64(x, F.get(h, i + 1))), F.transform(first(2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+
+
+def _counted(texts: DataFrame, good: Column, text_col: str) -> DataFrame:
+    """(bucket, raw, target): how many n-grams of all texts and of the good ones are in each bucket."""
+    hashed = texts.select(good.cast("long").alias("good"), F.transform(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda x: F.xxhash64(x)).alias("_h"))
+    grams = hashed.select("good", "_h", *(g.alias(n) for g, n in zip(_grams(F.col("_h")), ("_b", "_g"), strict=True)))
+    ends = F.size("_h").alias("n1"), (F.size("_h") + F.size("_b")).alias("n2")
+    each = grams.select("good", *ends, F.posexplode(F.concat("_h", "_b", "_g")).alias("at", "g"))
+    bucket = F.when(F.col("at") < F.col("n1"), _bucket(F.col("g"), 0)).when(F.col("at") < F.col("n2"), _bucket(F.col("g"), 1)).otherwise(_bucket(F.col("g"), 2))
+    return each.select("good", bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
+
+
 def bucket_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row with one array: the log ratio of every bucket, trusted over corpus, from all documents."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = df.select(id_col, text_col).join(trusted.select(id_col).distinct().withColumn("good", F.lit(1)).hint("shuffle_hash"), id_col, "left")
-    words = marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(words_of(text)).alias("w"))
-    grams = words.select("good", _bucket(F.xxhash64("w")).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target"))
-    every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
-    listed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "target", "raw"))).alias("b"), F.sum("target").alias("t"), F.sum("raw").alias("r"))
-    prior = lambda x: x["raw"] / F.col("r")
-    ratio = F.transform("b", lambda x: F.when(x["raw"] > 0, F.log((x["target"] + PRIOR * prior(x)) / ((F.col("t") + PRIOR) * prior(x)))).otherwise(0.0))
-    return listed.select(F.when(F.col("t") > 0, ratio).otherwise(F.transform("b", lambda x: F.lit(0.0))).alias("ratios"))
+    ids = trusted.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    texts = df.select(id_col, text_col)
+    likely = _has(_bits(ids, id_col), id_col)
+    unsure = _has(_bits(texts.select(id_col).where(likely).join(ids, id_col, "left_anti"), id_col), id_col)
+    counts = _counted(texts, likely & ~unsure, text_col)
+    # the few that the tables leave open; their n-grams are among the raw ones already
+    told = _counted(texts.where(likely & unsure).join(ids, id_col, "left_semi"), F.lit(1), text_col).withColumn("raw", F.lit(0).cast("long"))
+    counts = counts.unionByName(told).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    every = df.sparkSession.range(sum(BUCKETS)).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
+    order = F.when(F.col("bucket") < BUCKETS[0], 0).when(F.col("bucket") < sum(BUCKETS[:2]), 1).otherwise(2)
+    sums = [F.array(*(F.sum(F.when(order == k, F.col(c)).otherwise(0)) for k in range(3))).alias(n) for c, n in (("target", "t"), ("raw", "r"))]
+    listed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "target", "raw", order.alias("order")))).alias("b"), *sums)
+    total = lambda n, x: F.get(F.col(n), x["order"])
+    prior = lambda x: x["raw"] / total("r", x)
+    known = lambda x: (x["raw"] > 0) & (total("t", x) > 0)
+    return listed.select(F.transform("b", lambda x: F.when(known(x), F.log((x["target"] + PRIOR * prior(x)) / ((total("t", x) + PRIOR) * prior(x)))).otherwise(0.0)).alias("ratios"))
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    """Adds _repeat, the words in three-word windows found twice or more, from _h, the words' 64-bit hashes.
+    """Adds _repeat, the words in three-word windows found twice or more, from _g, the windows' 64-bit hashes.
 
     Most texts repeat no window, which the set of the windows' hashes shows. In
     the others, windows are sorted by hash with their places in the low bits;
@@ -63,10 +116,8 @@ def _repeated(df: DataFrame) -> DataFrame:
     three words or as many as lie before the next one. Texts with more windows than
     the low bits can number sort pairs of hash and place. The work is n log n.
     """
-    h, g, s, p = (F.col(c) for c in ("_h", "_g", "_s", "_p"))
+    g, s, p = (F.col(c) for c in ("_g", "_s", "_p"))
     place = (1 << _PLACE_BITS) - 1
-    full = F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0)))
-    df = df.withColumn("_g", F.transform(full, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))))
     placed = F.transform(g, lambda x, i: x.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))
     pairs = F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
     some, long = F.size(F.array_distinct(g)) < F.size(g), F.size(g) > place + 1
@@ -85,6 +136,10 @@ def _repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("_repeat", F.coalesce(covered, F.lit(0)).cast("long"))
 
 
+def _score(grams: str, order: int) -> Column:
+    return F.aggregate(grams, F.lit(0.0), lambda a, x: a + F.get(F.col("_ratios"), _bucket(x, order)))
+
+
 def apply_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept.
 
@@ -97,11 +152,10 @@ def apply_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
     kept = [c for c in df.columns if c not in names]
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    w, r = F.col("_w"), F.col("_ratios")
+    w = F.col("_w")
     ratios = bucket_ratios(df, trusted, id_col, text_col).scalar()
     found = df.select(
         *kept,
-        ratios.alias("_ratios"),
         words_of(text).alias("_w"),
         lines.alias("_lines"),
         (F.size(F.split(text, f"[{SYMBOLS}]")) - 1).cast("long").alias("n_symbols"),
@@ -113,8 +167,10 @@ def apply_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform(w, lambda x: F.xxhash64(x)).alias("_h"),
-        F.aggregate(w, F.lit(0.0), lambda a, x: a + F.get(r, _bucket(F.xxhash64(x)))).alias("_llr"),
     )
+    both = (g.alias(n) for g, n in zip(_grams(F.col("_h")), ("_b", "_g"), strict=True))
+    found = found.select(*kept, "n_symbols", "n_words", "word_chars", "n_dup_lines", ratios.alias("_ratios"), "_h", *both)
+    found = found.select(*kept, "n_symbols", "n_words", "word_chars", "n_dup_lines", "_g", sum(map(_score, ("_h", "_b", "_g"), range(3))).alias("_llr"))
     n, repeated = F.col("n_words"), F.col("_repeat")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n)
     # Always true, but of a kind that Spark doesn't push filters through: a filter on the verdict would else be
