@@ -11,9 +11,9 @@ all documents and all labels; only one number per bucket reaches the driver or
 every task.
 
 Texts stay where they are while counts are made: which documents are trusted is
-told by two bit tables of fixed size, one of the trusted ids and one of the other
+told by two Bloom filters of fixed size, one of the trusted ids and one of the other
 ids that the first can't tell from them. Only documents set in both are joined
-with the trusted ids; with more ids than the tables can tell apart that is, by
+with the trusted ids; with more ids than the filters can tell apart that is, by
 degrees, all of them, and the counts are the same.
 
 Expressions are laid out in steps, each a projection, so that splitting, sorting
@@ -23,6 +23,8 @@ Spark interprets, are kept few and small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ PRIOR = 4096.0
 THRESHOLD = -0.5
 MIN_WORDS, MAX_REPEATED = 50, 50
 _PLACE_BITS = 20
-#: Bits of a table of ids, as a power of two: two megabytes.
-_ID_BITS = 24
+#: Bits of a table of ids, as a power of two (two megabytes), and bits of each id in it.
+_ID_BITS, _ID_HASHES = 24, 4
 # White space and symbols.
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 
@@ -52,23 +54,23 @@ def trusted_ids(labels: DataFrame, label: str = "quality", id_col: str = "doc_id
     return labels.where(F.col(label) == 1).select(id_col).distinct()
 
 
-def _place(id_col: str) -> tuple[Column, Column]:
-    """The long of a bit table in which an id's bit is, and that bit."""
-    h = F.xxhash64(id_col).bitwiseAND(F.lit((1 << _ID_BITS) - 1))
-    return F.shiftright(h, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+def _places(id_col: str) -> list[tuple[Column, Column]]:
+    """The longs of a bit table in which an id's bits are, and those bits."""
+    hashes = [F.xxhash64(F.col(id_col), F.lit(k)).bitwiseAND(F.lit((1 << _ID_BITS) - 1)) for k in range(_ID_HASHES)]
+    return [(F.shiftright(h, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) for h in hashes]
 
 
 def _bits(ids: DataFrame, id_col: str) -> Column:
-    """A bit table of ids, as a scalar array of longs."""
-    at, bit = _place(id_col)
-    some = ids.select(at.alias("k"), bit.alias("v")).groupBy("k").agg(F.bit_or("v").alias("v"))
+    """A bit table (Bloom filter) of ids, as a scalar array of longs."""
+    placed = ids.select(F.inline(F.array(*(F.struct(at.alias("k"), bit.alias("v")) for at, bit in _places(id_col)))))
+    some = placed.groupBy("k").agg(F.bit_or("v").alias("v"))
     every = ids.sparkSession.range(1 << (_ID_BITS - 6)).select(F.col("id").cast("int").alias("k")).join(some, "k", "left").na.fill(0, ["v"])
     return every.agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("b")).select(F.col("b")["v"]).scalar()
 
 
 def _has(bits: Column, id_col: str) -> Column:
-    at, bit = _place(id_col)
-    return F.col(id_col).isNotNull() & (F.get(bits, at).bitwiseAND(bit) != 0)
+    """Whether all bits of an id are set, as those of every id in the table are; never for a null."""
+    return reduce(Column.__and__, (F.get(bits, at).bitwiseAND(bit) != 0 for at, bit in _places(id_col)), F.col(id_col).isNotNull())
 
 
 def _grams(h: Column) -> tuple[Column, Column]:
