@@ -10,12 +10,6 @@ words, against a fixed threshold, so it is the same on every run. All counts cov
 all documents and all labels; only one number per bucket reaches the driver or
 every task.
 
-Texts stay where they are while counts are made: which documents are trusted is
-told by two Bloom filters of fixed size, one of the trusted ids and one of the other
-ids that the first can't tell from them. Only documents set in both are joined
-with the trusted ids; with more ids than the filters can tell apart that is, by
-degrees, all of them, and the counts are the same.
-
 Expressions are laid out in steps, each a projection, so that splitting, sorting
 and set operations run in generated code on primitive arrays; lambdas, which
 Spark interprets, are kept few and small.
@@ -23,8 +17,6 @@ Spark interprets, are kept few and small.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +26,6 @@ PRIOR = 4096.0
 THRESHOLD = -0.5
 MIN_WORDS, MAX_REPEATED = 50, 50
 _PLACE_BITS = 20
-#: Bits of a table of ids, as a power of two (two megabytes), and bits of each id in it.
-_ID_BITS, _ID_HASHES = 24, 4
 # White space and symbols.
 SPACE, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 
@@ -54,25 +44,6 @@ def trusted_ids(labels: DataFrame, label: str = "quality", id_col: str = "doc_id
     return labels.where(F.col(label) == 1).select(id_col).distinct()
 
 
-def _places(id_col: str) -> list[tuple[Column, Column]]:
-    """The longs of a bit table in which an id's bits are, and those bits."""
-    hashes = [F.xxhash64(F.col(id_col), F.lit(k)).bitwiseAND(F.lit((1 << _ID_BITS) - 1)) for k in range(_ID_HASHES)]
-    return [(F.shiftright(h, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) for h in hashes]
-
-
-def _bits(ids: DataFrame, id_col: str) -> Column:
-    """A bit table (Bloom filter) of ids, as a scalar array of longs."""
-    placed = ids.select(F.inline(F.array(*(F.struct(at.alias("k"), bit.alias("v")) for at, bit in _places(id_col)))))
-    some = placed.groupBy("k").agg(F.bit_or("v").alias("v"))
-    every = ids.sparkSession.range(1 << (_ID_BITS - 6)).select(F.col("id").cast("int").alias("k")).join(some, "k", "left").na.fill(0, ["v"])
-    return every.agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("b")).select(F.col("b")["v"]).scalar()
-
-
-def _has(bits: Column, id_col: str) -> Column:
-    """Whether all bits of an id are set, as those of every id in the table are; never for a null."""
-    return reduce(Column.__and__, (F.get(bits, at).bitwiseAND(bit) != 0 for at, bit in _places(id_col)), F.col(id_col).isNotNull())
-
-
 def _grams(h: Column) -> tuple[Column, Column]:
     """Hashes of the n-grams of two and of three words, from those of the words."""
     first = lambda n: F.slice(h, 1, F.greatest(F.size(h) - n, F.lit(0)))
@@ -91,14 +62,8 @@ def _counted(texts: DataFrame, good: Column, text_col: str) -> DataFrame:
 
 def bucket_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row with one array: the log ratio of every bucket, trusted over corpus, from all documents."""
-    ids = trusted.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    texts = df.select(id_col, text_col)
-    likely = _has(_bits(ids, id_col), id_col)
-    unsure = _has(_bits(texts.select(id_col).where(likely).join(ids, id_col, "left_anti"), id_col), id_col)
-    counts = _counted(texts, likely & ~unsure, text_col)
-    # the few that the tables leave open; their n-grams are among the raw ones already
-    told = _counted(texts.where(likely & unsure).join(ids, id_col, "left_semi"), F.lit(1), text_col).withColumn("raw", F.lit(0).cast("long"))
-    counts = counts.unionByName(told).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    marked = df.select(id_col, text_col).join(trusted.select(id_col).distinct().withColumn("good", F.lit(1)).hint("shuffle_hash"), id_col, "left")
+    counts = _counted(marked, F.coalesce("good", F.lit(0)), text_col)
     every = df.sparkSession.range(sum(BUCKETS)).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
     order = F.when(F.col("bucket") < BUCKETS[0], 0).when(F.col("bucket") < sum(BUCKETS[:2]), 1).otherwise(2)
     sums = [F.array(*(F.sum(F.when(order == k, F.col(c)).otherwise(0)) for k in range(3))).alias(n) for c, n in (("target", "t"), ("raw", "r"))]
