@@ -24,21 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .textio import sliced
 from .tokencount import byte_symbols
 
 LIMIT = 4096
 BLOCK_TOKENS = 1 << 20
+TEXT_BYTES = 8 << 20
 SENTENCE_COST, FORCED_COST, SPACING = 4.0, 48.0, 256
 END_ID = 2
 MAX_CACHED_RUNS = 1_000_000
 
 
-# Punctuation that makes pre-tokens of its own wherever it stands; an apostrophe may begin a contraction.
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
-_MARK_BYTES = _MARKS.encode()
+# Punctuation makes pre-tokens of its own wherever it stands, but for an apostrophe, which may begin a contraction.
+_MARKS = "[!-&(-/:-@\\[-`{-~]*"
+_SIMPLE = f"^(?P<before>{_MARKS})(?P<word>[A-Za-zªµºÀ-ÖØ-öø-ÿ]*)(?P<after>{_MARKS})$"
+LONG_RUN = 256
 
 
 class _Known(dict):
@@ -57,9 +62,10 @@ class _Known(dict):
 class RunEncoder:
     """Token ids of texts, from a bounded cache by white-space separated run; no token crosses white space.
 
-    A new run of Latin-1 letters with punctuation around it is at most three
-    pre-tokens, each known or given to the library's model; any other run goes
-    through the whole library.
+    Arrow splits a slice of texts and numbers its different runs, each of which is
+    looked up once; NumPy lays out their ids by number. A new run of Latin-1 letters
+    with punctuation around it is at most three pre-tokens, each known or given to
+    the library's model; any other run goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -69,45 +75,55 @@ class RunEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.cache = _Known(self._run, MAX_CACHED_RUNS)
-        self.plain = _Known(self._ascii, MAX_CACHED_RUNS // 2)
+        self.cache: dict[str, bytes] = {}
         self.pieces = _Known(self._piece, MAX_CACHED_RUNS // 2)
         words = self.library.get_vocab()
         self.ends_sentence = np.zeros(max(words.values()) + 1, bool)
         self.ends_sentence[[i for w, i in words.items() if w.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
         self.symbols = str.maketrans({b: s for b, s in byte_symbols().items()})
 
-    def _packed(self, symbols: str) -> bytes:
-        tokens = self.model.tokenize(symbols) if symbols else []
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-
-    def _ascii(self, piece: bytes) -> bytes:
-        return self._packed(piece.decode("ascii"))  # printable ASCII stands for itself
-
     def _piece(self, piece: str) -> bytes:
-        return self._packed(piece.encode().decode("latin-1").translate(self.symbols))
-
-    def _run(self, run: bytes) -> bytes:
-        if len(run) <= 256 and b"<|" not in run:
-            rest = run.lstrip(_MARK_BYTES)
-            word = rest.rstrip(_MARK_BYTES)
-            if word.isalpha():  # ASCII letters, with marks around them or none
-                got = self.plain[word.lower()]
-                if len(rest) < len(run):
-                    got = self.plain[run[: len(run) - len(rest)]] + got
-                return got + self.plain[rest[len(word) :]] if len(word) < len(rest) else got
-            text = run.decode("utf-8", "replace")
-            rest = text.lstrip(_MARKS)
-            word = rest.rstrip(_MARKS)
-            if not word or word.isalpha() and max(word) < "\u0100":
-                return self.pieces[text[: len(text) - len(rest)]] + self.pieces[word.lower()] + self.pieces[rest[len(word) :]]
-        return np.array(self.library.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers, with the end id."""
-        end = np.array([END_ID], "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, t.encode("utf-8", "surrogatepass").split())) + end if isinstance(t, str) else end for t in texts]
+        symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)  # printable ASCII stands for itself
+        ids = [t.id for t in self.model.tokenize(symbols)] if piece else []
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _made(self, runs: list[str]) -> Iterator[bytes]:
+        parts = pc.extract_regex(pa.array(runs, pa.large_string()), _SIMPLE)
+        before, word, after = (parts.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(3))
+        lower, get = [w.lower() if w else w for w in word], self.pieces.__getitem__
+        for run, known, a, w, b in zip(runs, parts.is_valid().to_numpy(zero_copy_only=False).tolist(), before, lower, after, strict=True):
+            if not known or len(run) > LONG_RUN or "<|" in run:
+                yield np.array(self.library.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+            elif a or b:
+                yield get(a) + get(w) + get(b)
+            else:
+                yield get(w)
+
+    def _ids(self, runs: list[str]) -> list[bytes]:
+        if len(self.cache) > MAX_CACHED_RUNS:
+            self.cache.clear()
+        found = [*map(self.cache.get, runs)]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, self._made([runs[k] for k in new]), strict=True):
+            found[k] = self.cache[runs[k]] = ids
+        return found
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, each with the end id, and the number of ids of each text."""
+        offsets = np.cumsum([0, *map(len, texts)])
+        whole = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(b"".join(texts)))
+        split = pc.ascii_split_whitespace(whole)
+        found = split.flatten().dictionary_encode()
+        runs = [*self._ids(found.dictionary.to_numpy(zero_copy_only=False).tolist()), struct.pack("<I", END_ID)]
+        pool = np.frombuffer(b"".join(runs), "<u4")
+        many = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        bounds = split.offsets.to_numpy()[1:]
+        at = np.insert(found.indices.to_numpy(), bounds, len(runs) - 1)
+        count = many[at]
+        ends = np.cumsum(count)
+        place = np.repeat(((np.cumsum(many) - many)[at] - (ends - count)).astype(np.int32), count)
+        place += np.arange(len(place), dtype=np.int32)
+        return pool[place], np.diff(ends[bounds + np.arange(len(texts))], prepend=0)
 
 
 def best_cuts(at: np.ndarray, cost: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -153,28 +169,27 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, limit: int = LIMIT) -> np.ndarra
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Places where a block may be cut, and the cost of each."""
     total = len(ids)
-    sentence = np.flatnonzero(ends_sentence[np.minimum(ids, len(ends_sentence) - 1)]) + 1
-    at = np.unique(np.concatenate([[0, total], doc_ends, sentence]))
+    price = np.full(total + 1, np.inf, np.float32)  # by place: infinite where no cut may lie
+    price[np.flatnonzero(ends_sentence[np.minimum(ids, len(ends_sentence) - 1)]) + 1] = SENTENCE_COST
+    price[doc_ends] = 0.0
+    price[[0, total]] = np.minimum(price[[0, total]], FORCED_COST)
+    at = np.flatnonzero(price < np.inf)
     spacing = min(SPACING, limit)
-    gaps = np.flatnonzero(np.diff(at) > spacing)
-    between = [np.arange(at[g] + spacing, at[g + 1], spacing) for g in gaps]
-    rest, tails = total, []
+    for g in np.flatnonzero(np.diff(at) > spacing).tolist():
+        price[at[g] + spacing : at[g + 1] : spacing] = FORCED_COST
+    rest = total
     for k in range(limit.bit_length() - 1, -1, -1):  # the end of a block may fall into powers of two
         if total >> k & 1 and 1 << k < limit:
             rest -= 1 << k
-            tails.append(rest)
-    tails = [t for t in tails if t > 0]
-    at = np.unique(np.concatenate([at, *between, np.array(tails, np.int64)])).astype(np.int64)
-    cost = np.full(len(at), FORCED_COST)
-    cost[np.isin(at, sentence)] = SENTENCE_COST
-    cost[np.isin(at, doc_ends)] = 0.0
-    return at, cost
-
-
-def _pack(names: list, raws: list[bytes], encoder: RunEncoder, limit: int, first: int, with_ids: bool) -> tuple[pd.DataFrame, int]:
-    raw = b"".join(raws)
-    ids = np.frombuffer(raw, "<u4")
-    size = np.array([len(r) // 4 for r in raws], np.int64)
+            if rest > 0:
+                price[rest] = min(price[rest], FORCED_COST)
+    at = np.flatnonzero(price < np.inf)
+    return at, price[at]
+
+
+def _pack(names: list, parts: list[np.ndarray], sizes: list[int], encoder: RunEncoder, limit: int, first: int, with_ids: bool) -> tuple[pd.DataFrame, int]:
+    ids = np.concatenate(parts)
+    size = np.array(sizes, np.int64)
     ends = np.cumsum(size)
     at, cost = candidates(ids, ends, encoder.ends_sentence, limit)
     cuts = at[best_cuts(at, cost, limit)]
@@ -182,7 +197,7 @@ def _pack(names: list, raws: list[bytes], encoder: RunEncoder, limit: int, first
     begin, end = edges[:-1], edges[1:]
     doc = np.searchsorted(ends, begin, side="right")
     seq = np.searchsorted(cuts, begin, side="right") - 1
-    view = memoryview(raw)
+    view = memoryview(ids.tobytes())
     out = {
         "doc": [names[d] for d in doc.tolist()],
         "start": begin - (ends - size)[doc],
@@ -217,20 +232,27 @@ def pack_documents(df: DataFrame, vocabulary: str, limit: int = LIMIT, id_col: s
             _encoders[vocabulary] = RunEncoder(vocabulary)
         encoder = _encoders[vocabulary]
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        names, raws, held = [], [], 0
+        names, parts, sizes, held = [], [], [], 0
         for batch in batches:
-            for k in range(0, len(batch), 128):
-                some = batch.iloc[k : k + 128]
-                for name, raw in zip(some["id"], encoder.encode(list(some["text"])), strict=True):
-                    names.append(None if pd.isna(name) else name)
-                    raws.append(raw)
-                    held += len(raw) // 4
+            for start, texts in sliced(batch["text"], TEXT_BYTES):
+                ids, count = encoder.encode(texts)
+                given = batch["id"].iloc[start : start + len(texts)].tolist()
+                done = 0
+                # blocks end with the document that fills them
+                while done < len(texts):
+                    until = np.cumsum(count[done:])
+                    n = min(int(np.searchsorted(until, BLOCK_TOKENS - held)) + 1, len(until))
+                    names += [None if pd.isna(x) else x for x in given[done : done + n]]
+                    sizes += count[done : done + n].tolist()
+                    part, ids = np.split(ids, [until[n - 1]])
+                    parts.append(part)
+                    held, done = held + len(part), done + n
                     if held >= BLOCK_TOKENS:
-                        out, sequence = _pack(names, raws, encoder, limit, sequence, with_ids)
+                        out, sequence = _pack(names, parts, sizes, encoder, limit, sequence, with_ids)
                         yield out.rename(columns={"doc": id_col})
-                        names, raws, held = [], [], 0
+                        names, parts, sizes, held = [], [], [], 0
         if names:
-            out, sequence = _pack(names, raws, encoder, limit, sequence, with_ids)
+            out, sequence = _pack(names, parts, sizes, encoder, limit, sequence, with_ids)
             yield out.rename(columns={"doc": id_col})
 
     kind = df.schema[id_col].dataType.simpleString()
