@@ -47,7 +47,8 @@ def trusted_ids(labels: DataFrame, label: str = "quality", id_col: str = "doc_id
 def _grams(h: Column) -> tuple[Column, Column]:
     """Hashes of the n-grams of two and of three words, from those of the words."""
     first = lambda n: F.slice(h, 1, F.greatest(F.size(h) - n, F.lit(0)))
-    return F.transform(first(1), lambda x, i: F.xxhash64(x, F.get(h, i + 1))), F.transform(first(2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
+    pairs = F.zip_with(first(1), F.slice(h, 2, F.size(h)), lambda x, y: F.xxhash64(x, y))
+    return pairs, F.transform(first(2), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
 
 
 def _counted(texts: DataFrame, good: Column, text_col: str) -> DataFrame:
@@ -75,36 +76,36 @@ def bucket_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 
 
 def _repeated(df: DataFrame) -> DataFrame:
-    """Adds _repeat, the words in three-word windows found twice or more, from _g, the windows' 64-bit hashes.
+    """Adds _repeat, the words in three-word windows found twice or more, from _g, the windows' 64-bit hashes, and their number _n.
 
     Most texts repeat no window, which the set of the windows' hashes shows. In
-    the others, windows are sorted by hash with their places in the low bits;
-    neighbours with equal full hashes are repeats, and each repeated place covers
-    three words or as many as lie before the next one. Texts with more windows than
-    the low bits can number sort pairs of hash and place. The work is n log n.
+    the others, windows are sorted by hash with their places in the low bits, and
+    those that share their high bits with a neighbour are repeats, unless these
+    hold more hashes than high bits. Such texts, and those with more windows than
+    the low bits can number, sort pairs of hash and place. A repeat covers three
+    words. The work is n log n.
     """
-    g, s, p = (F.col(c) for c in ("_g", "_s", "_p"))
+    g, s, p, v = (F.col(c) for c in ("_g", "_s", "_p", "_v"))
     place = (1 << _PLACE_BITS) - 1
+    high = lambda x: F.shiftright(x, _PLACE_BITS)
     placed = F.transform(g, lambda x, i: x.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))
     pairs = F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
-    some, long = F.size(F.array_distinct(g)) < F.size(g), F.size(g) > place + 1
-    # windows that share their high bits and no more would hide repeats from each other
-    alike = F.size(F.array_distinct(F.transform(placed, lambda x: F.shiftright(x, _PLACE_BITS)))) < F.size(F.array_distinct(g))
-    df = df.withColumn("_some", some).withColumn("_long", F.when(F.col("_some"), long | alike))
-    df = df.withColumn("_s", F.when(~F.col("_long"), F.sort_array(placed))).withColumn("_v", F.when(F.col("_long"), F.sort_array(pairs)))
-    here = lambda x: x.bitwiseAND(F.lit(place)).cast("int")
-    twice = F.filter(s, lambda x, i: (F.shiftright(x, _PLACE_BITS) == F.shiftright(F.get(s, i + 1), _PLACE_BITS)) & (F.get(g, here(x)) == F.get(g, here(F.get(s, i + 1)))))
-    after = F.filter(F.transform(s, lambda x, i: F.when((F.shiftright(x, _PLACE_BITS) == F.shiftright(F.get(s, i - 1), _PLACE_BITS)) & (F.get(g, here(x)) == F.get(g, here(F.get(s, i - 1)))), here(x))), lambda x: x.isNotNull())
-    v = F.col("_v")
+    df = df.withColumn("_some", F.size(F.array_distinct(g)) < F.col("_n")).withColumn("_long", F.col("_n") > place + 1)
+    df = df.withColumn("_s", F.when(F.col("_some") & ~F.col("_long"), F.sort_array(placed)))
+    df = df.withColumn("_s", F.filter(s, lambda x, i: (high(x.bitwiseXOR(F.get(s, i + 1))) == 0) | (high(x.bitwiseXOR(F.get(s, i - 1))) == 0)))
+    df = df.withColumn("_p", F.transform(s, lambda x: x.bitwiseAND(F.lit(place)).cast("int")))
+    alike = F.size(F.array_distinct(F.transform(s, high))) < F.size(F.array_distinct(F.transform(p, lambda i: F.get(g, i))))
+    df = df.withColumn("_long", F.col("_some") & (F.col("_long") | alike)).withColumn("_v", F.when(F.col("_long"), F.sort_array(pairs)))
     paired = F.filter(v, lambda x, i: F.coalesce((x["h"] == F.get(v, i + 1)["h"]) | (x["h"] == F.get(v, i - 1)["h"]), x["h"] == F.get(v, i - 1)["h"], x["h"] == F.get(v, i + 1)["h"]))
-    packed = F.array_union(F.transform(twice, here), after)
-    df = df.withColumn("_p", F.sort_array(F.when(F.col("_long"), F.transform(paired, lambda x: x["i"])).otherwise(packed)))
-    covered = F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1), x + 3) - x)), F.lit(0), lambda a, b: a + b)
-    return df.withColumn("_repeat", F.coalesce(covered, F.lit(0)).cast("long"))
+    df = df.withColumn("_p", F.when(F.col("_long"), F.transform(paired, lambda x: x["i"])).otherwise(p))
+    covered = F.size(F.array_distinct(F.concat(p, F.transform(p, lambda i: i + 1), F.transform(p, lambda i: i + 2))))
+    return df.withColumn("_repeat", F.when(F.col("_some"), covered).otherwise(0).cast("long"))
 
 
 def _score(grams: str, order: int) -> Column:
-    return F.aggregate(grams, F.lit(0.0), lambda a, x: a + F.get(F.col("_ratios"), _bucket(x, order)))
+    """The sum of the log ratios of all n-grams of an order, from the array of ratios in _r and the order."""
+    at = lambda x: x.bitwiseAND(F.lit(BUCKETS[order] - 1)) + sum(BUCKETS[:order])
+    return F.aggregate(grams, F.lit(0.0), lambda a, x: a + F.col(f"_r{order}")[at(x)])
 
 
 def apply_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,8 +137,12 @@ def apply_rules(df: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD,
         F.transform(w, lambda x: F.xxhash64(x)).alias("_h"),
     )
     both = (g.alias(n) for g, n in zip(_grams(F.col("_h")), ("_b", "_g"), strict=True))
-    found = found.select(*kept, "n_symbols", "n_words", "word_chars", "n_dup_lines", ratios.alias("_ratios"), "_h", *both)
-    found = found.select(*kept, "n_symbols", "n_words", "word_chars", "n_dup_lines", "_g", sum(map(_score, ("_h", "_b", "_g"), range(3))).alias("_llr"))
+    counts = ["n_symbols", "n_words", "word_chars", "n_dup_lines"]
+    found = found.select(*kept, *counts, "_h", *both)
+    # The array of ratios is named once for each use, and above columns that are used twice: so Spark looks it up where it
+    # is used. As a column of its own, its megabyte would be copied for each row.
+    found = found.select(*kept, *counts, "_h", "_b", "_g", F.size("_g").alias("_n"), *(ratios.alias(f"_r{k}") for k in range(3)))
+    found = found.select(*kept, *counts, "_g", "_n", sum(map(_score, ("_h", "_b", "_g"), range(3))).alias("_llr"))
     n, repeated = F.col("n_words"), F.col("_repeat")
     failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEATED * n)
     # Always true, but of a kind that Spark doesn't push filters through: a filter on the verdict would else be
